@@ -1,9 +1,13 @@
 """The registered queries of the text operators, and the SQL of those that SQL can express."""
 
+from .byte_bpe import op10_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .packing import op6_best_fit_packing
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL = {
