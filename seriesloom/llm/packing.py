@@ -16,6 +16,8 @@ own; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,14 @@ from pyspark.sql import types as T
 
 from .common import need, written
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_200_000
 MAX_FILE_BYTES = 50_000_000
 #: Signs that a word may end in and that form a token apart from the letters before them.
 SIGNS = ".,;:!?*$&%#|()\"-"
 #: Characters that Python's str.split() parts at, though the tokenizer doesn't take them as white space.
-ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: So many words of letters are encoded as one text.
+WORDS_AT_ONCE = 500
 
 
 class WordTokenizer:
@@ -62,6 +66,11 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_str(self.definition)
         self._tokenizer.encode_special_tokens = True
+        model = json.loads(self.definition)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self._ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix:
+            self._ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self._memo: dict[str, bytes] = {}
         self._end = int(self.end_id).to_bytes(4, "little")
 
@@ -85,9 +94,23 @@ class WordTokenizer:
             memo[word] = memo[stem] + memo[tail]
 
     def _encode(self, words: list[str]) -> None:
-        memo = self._memo
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
+        """Words of letters go together as one text: each ends at a token with the end-of-word suffix."""
+        memo, letters, others = self._memo, [], []
+        for word in words:
+            (letters if word.isalpha() else others).append(word)
+        for at in range(0, len(letters), WORDS_AT_ONCE):
+            some = letters[at : at + WORDS_AT_ONCE]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(ends) != len(some):
+                others += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                memo[word] = raw[start:end]
+                start = end
+        for at in range(0, len(others), 2000):
+            some = others[at : at + 2000]
             for word, code in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 memo[word] = np.array(code.ids, "<u4").tobytes()
 
@@ -97,7 +120,7 @@ class WordTokenizer:
             self._open()
         out = []
         for at in range(0, len(texts), 256):
-            runs = [[t] if not ODD_SPACE.isdisjoint(t) else t.split() for t in texts[at : at + 256]]
+            runs = [[t] if ODD_SPACE(t) else t.split() for t in texts[at : at + 256]]
             new = set().union(*runs).difference(self._memo)
             if len(self._memo) + len(new) > MEMO_ENTRIES:
                 self._memo.clear()
