@@ -3,13 +3,18 @@
 from .byte_bpe import op10_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op6_best_fit_packing
+from .simhash import op3_simhash
+from .topk import OP1_SQL, op1_exact_topk
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op3_simhash": op3_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL = {
+    "op1_exact_topk": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
 }
