@@ -235,8 +235,9 @@ def ids_array(ids: Column) -> Column:
 def op10_byte_bpe(spark, sf_dir: str, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    from .common import table
+    from .common import small_batches, table
 
+    small_batches(spark)
     model = spark.sparkContext.broadcast(ByteBpe.from_file(public_tokenizers.path(name), public_tokenizers.PATTERN))
     coded = table(spark, sf_dir, "documents").select("doc_id", encode(model, F.col("text")).alias("ids"))
     both = coded.withColumn("decoded", decode(model, F.col("ids")))

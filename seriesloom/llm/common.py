@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +31,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers of this session get at most so many rows at a time: whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where it is set.
 
@@ -104,11 +110,3 @@ def _settled(edges: DataFrame) -> bool:
     twice = edges.groupBy("u").count().where("count > 1").limit(1)
     chained = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").limit(1)
     return twice.unionByName(chained.select("u", F.lit(1).cast("long").alias("count"))).isEmpty()
-
-
-def hex_of(column: Column) -> Column:
-    return F.lower(F.hex(column))
-
-
-def columns_of(df: DataFrame, names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]

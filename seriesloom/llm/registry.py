@@ -2,14 +2,22 @@
 
 from .byte_bpe import op10_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .minhash import op4_minhash
 from .packing import op6_best_fit_packing
+from .pii import op5_pii
+from .quality import op2_quality
 from .simhash import op3_simhash
 from .topk import OP1_SQL, op1_exact_topk
+from .url_filter import op7_url_filter
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_minhash": op4_minhash,
+    "op5_pii": op5_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
