@@ -130,12 +130,12 @@ def votes(text: str, kind: str, start: int, end: int, regex: int) -> list[int]:
     near = set(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", text[max(0, start - 40) : start].lower())[-4:])
     context = 1 if near & NEAR_WORDS[kind] else -1 if near & FAR_WORDS else 0
     before, after = text[start - 1 : start], text[end : end + 1]
-    edges = -1 if before.isalnum() or after.isalnum() or before in ("=", "_", "/") and before else 1
+    edges = -1 if before.isalnum() or after.isalnum() or before in ("=", "_", "/") else 1
     return [regex, form, gazetteer, context, edges]
 
 
-def _candidates(text: str) -> list[tuple[int, int, int, bool, int]]:
-    """(kind, start, end, base, pattern of votes); failed base matches count for the statistics only."""
+def _candidates(text: str) -> list[tuple[int, int, int, bool, int, bool]]:
+    """(kind, start, end, base, pattern of votes, usable); failed base matches count for the statistics only."""
     base = base_matches(text)
     out = []
     for k, kind in enumerate(KINDS):
@@ -202,22 +202,40 @@ def span_classifier(counts: np.ndarray, post: np.ndarray, rounds: int = 200, pen
     return (1 / (1 + np.exp(-x @ theta))).reshape(len(KINDS), PATTERNS)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
-    """The rows without their text, with ``spans``: an array of (kind, start, end, base), in order of kind and start."""
-    need(docs, id_col, text_col)
-    small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    found = written(docs.select(*rest, F.xxhash64(text_col).alias("_sl_text_hash"), candidates(F.col(text_col)).alias("_sl_found")), "pii")
+def accepted_patterns(found: DataFrame, threshold: float = 0.9) -> list[int]:
+    """Codes (kind, pattern of votes) of further candidates that the classifier takes; found: rows with _sl_found."""
     seen = found.select(F.explode("_sl_found").alias("c")).groupBy("c.kind", "c.pattern").count().collect()  # at most 4 * 3**5 rows
     counts = np.zeros((len(KINDS), PATTERNS))
     for r in seen:
         counts[r["kind"], r["pattern"]] = r["count"]
     accepted = span_classifier(counts, reliabilities(counts)[0]) >= threshold
-    codes = [int(k * PATTERNS + p) for k, p in zip(*np.nonzero(accepted), strict=True)]
+    return [int(k * PATTERNS + p) for k, p in zip(*np.nonzero(accepted), strict=True)]
+
+
+def chosen_spans(found: Column, codes: list[int]) -> Column:
+    """The base spans and the accepted further ones, in order of kind and start."""
     added = F.array(*(F.lit(c) for c in codes)) if codes else F.array().cast("array<int>")
     keep = lambda c: c["base"] | (c["usable"] & F.array_contains(added, c["kind"] * PATTERNS + c["pattern"]))
     short = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))
-    return found.select(*rest, "_sl_text_hash", F.array_sort(F.transform(F.filter("_sl_found", keep), short)).alias("spans"))
+    return F.array_sort(F.transform(F.filter(found, keep), short))
+
+
+def find_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> DataFrame:
+    """The rows without their text, with ``spans``: an array of (kind, start, end, base), in order of kind and start."""
+    need(docs, text_col)
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text_col]
+    found = written(docs.select(*rest, candidates(F.col(text_col)).alias("_sl_found")), "pii")
+    return found.select(*rest, chosen_spans(F.col("_sl_found"), accepted_patterns(found, threshold)).alias("spans"))
+
+
+def hide_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> DataFrame:
+    """The rows with every span of their text replaced by its kind; candidates are found again rather than joined to texts."""
+    need(docs, text_col)
+    small_batches(docs.sparkSession)
+    found = docs.withColumn("_sl_found", candidates(F.col(text_col)))
+    codes = accepted_patterns(found.select("_sl_found"), threshold)
+    return found.withColumn(text_col, mask(F.col(text_col), chosen_spans(F.col("_sl_found"), codes))).drop("_sl_found")
 
 
 def span_list(spans: Column) -> Column:

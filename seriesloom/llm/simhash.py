@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, need, written
+from .common import ascii_lower, components, need, small_batches, written
 
 SEED = 42
 BITS = 64
 SHARD_ROWS = 4096
 CHUNK = 1 << 15
+KEY_MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 62, 16, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def shingles(text: str, words_per_shingle: int) -> list[bytes]:
@@ -44,13 +45,13 @@ def shingles(text: str, words_per_shingle: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(words_per_shingle)), strict=False)))
 
 
-def fingerprint_of(text: str, words_per_shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one text."""
-    parts = shingles(text, words_per_shingle)
-    if not parts:
-        return 0
+def shingle_hashes(text: str, words_per_shingle: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in parts], "<u8")
+    return np.array([digest(s, SEED) for s in shingles(text, words_per_shingle)], "<u8")
+
+
+def _bits_to_int(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         bits = np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,6 +59,11 @@ def fingerprint_of(text: str, words_per_shingle: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str, words_per_shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one text."""
+    return _bits_to_int(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprint(text: Column, words_per_shingle: int = 3) -> Column:
     """A long column with the fingerprint's 64 bits."""
 
@@ -91,25 +97,32 @@ class BKTree:
                 return
             at = below
 
-    def near(self, value: int, radius: int) -> list[int]:
-        """Places of all values within the radius."""
-        found, todo = [], [0] if self.values else []
+    def near(self, value: int, radius: int) -> Iterator[tuple[int, int]]:
+        """(distance, place) of all values within the radius."""
+        todo = [0] if self.values else []
         while todo:
             at = todo.pop()
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield d, at
             if below := self.children[at]:
                 if len(below) > 2 * radius + 1:
                     todo += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
                 else:
                     todo += [c for k, c in below.items() if -radius <= k - d <= radius]
-        return found
 
 
-def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links within the radius that connect whatever the values' links connect."""
+def spanning_links(values: list[int], radius: int, sure: int | None = None, tries: int = 1) -> list[tuple[int, int]]:
+    """Links (places of two values) within the radius that connect whatever all such links connect.
+
+    Links within ``sure`` join their groups at once, so that few for each value and group follow, and a search ends when
+    it has met every group so. Links beyond ``sure`` join nothing. For each group the nearest ``tries`` are
+    reported: more than one where a stricter test that follows may refuse the nearest.
+    """
+    sure = radius if sure is None else sure
+    values = [v % (1 << BITS) for v in values]  # signed longs as the bits they hold
     tree, parent, links = BKTree(), [], []
+    groups = 0
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -118,11 +131,26 @@ def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         return i
 
     for i, value in enumerate(values):
+        best: dict[int, list[tuple[int, int]]] = {}
+        done = 0
+        for d, j in tree.near(value, radius):
+            near = best.setdefault(root(j), [])
+            near.append((d, j))
+            if len(near) > 1:
+                near.sort()
+            done += len(near) == tries and near[-1][0] <= sure
+            if len(near) > tries:
+                done += near[tries - 1][0] <= sure < near[tries][0]
+                near.pop()
+            if done >= groups:
+                break
         parent.append(i)
-        for j in tree.near(value, radius):
-            if (r := root(j)) != (own := root(i)):
-                parent[r] = own
-                links.append((value, values[j]))
+        groups += 1
+        for r, near in best.items():
+            links += [(i, j) for _, j in near]
+            if near[0][0] <= sure:
+                parent[r] = i
+                groups -= 1
         tree.add(value)
     return links
 
@@ -141,19 +169,19 @@ def near_links(fps: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
     """(a, b): links between distinct fingerprints (column ``fp``) that connect all those within the radius."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(key, values):
-            return spanning_links(values, radius) if len(values) > 1 else []
+        def links(values: list[int]) -> list[tuple[int, int]]:
+            return [(values[i], values[j]) for i, j in spanning_links(values, radius)] if len(values) > 1 else []
 
         open_key, values, found = None, [], []
         for pdf in batches:
             for mask, part, fp in zip(pdf["mask"].tolist(), pdf["part"].tolist(), pdf["fp"].tolist(), strict=True):
                 if (mask, part) != open_key:
-                    found += links(open_key, values)
+                    found += links(values)
                     open_key, values = (mask, part), []
                 values.append(fp)
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
             found = []
-        yield pd.DataFrame(links(open_key, values), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(values), columns=["a", "b"], dtype="int64")
 
     masks = _blocks(0, radius + 1)
     rows = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
@@ -188,13 +216,109 @@ def groups(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, shard_r
     return prints.join(named, "fp")
 
 
-def near_dedup(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, **how) -> DataFrame:
-    """The documents without those whose group holds a smaller id; of rows with one id and one text, one stays."""
-    found = groups(docs, radius, words_per_shingle, **how)
-    stay = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_sl_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_sl_id"]), "left_semi")
-    return kept.withColumn("_sl_nth", F.row_number().over(once)).where("_sl_nth = 1 or doc_id is null").drop("_sl_nth")
+def text_key(text: Column) -> Column:
+    """A hash of the text's words, whatever white space and case of A-Z: texts with equal keys are one text."""
+    words = F.btrim(F.regexp_replace(ascii_lower(text), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return F.xxhash64(words)
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 22, sure: int = 6, tries: int = 4, keys: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, th, component_id) of every row, for likenesses that are too far apart for blocks of equal bits.
+
+    Texts meet in shards by their smallest shingle under each of ``keys`` hashes: two of Jaccard likeness s share one with
+    probability 1 - (1 - s)**keys. A shard's BK-tree finds fingerprints within ``radius``, and links are kept if the
+    shingle sets themselves are at least as alike as ``similarity``. Texts with the same words are one text. A shard
+    above ``shard_rows`` is dealt again by its next key as well, until keys run out.
+    """
+    need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    word_key = text_key(text)
+
+    @F.pandas_udf("struct<fp:long,keys:array<long>>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            h = shingle_hashes(t, words_per_shingle)
+            least = [int(((h ^ (h >> np.uint64(29))) * m >> np.uint64(1)).min()) for m in KEY_MULTIPLIERS[:keys]] if len(h) else []
+            out.append((_bits_to_int(h), least))
+        frame = pd.DataFrame(out, columns=["fp", "keys"])
+        frame["fp"] = np.array(frame["fp"].tolist(), np.uint64).view(np.int64)
+        return frame
+
+    @F.pandas_udf(T.BinaryType())
+    def shingle_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words_per_shingle)).astype("<u8").tobytes() for t in texts], dtype=object)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            found = spanning_links([fp for fp, _ in members], radius, sure, tries) if len(members) > 1 else []
+            return [(members[i][1], members[j][1]) for i, j in found]
+
+        open_key, members, found = None, [], []
+        for pdf in batches:
+            for slot, key, fp, th in zip(pdf["slot"].tolist(), pdf["key"].tolist(), pdf["fp"].tolist(), pdf["th"].tolist(), strict=True):
+                if (slot, key) != open_key:
+                    found += links(members)
+                    open_key, members = (slot, key), []
+                members.append((fp, th))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = []
+        yield pd.DataFrame(links(members), columns=["a", "b"], dtype="int64")
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(common >= similarity * (len(a) + len(b) - common))
+        return pd.Series(out, dtype=bool)
+
+    described = written(docs.select("doc_id", word_key.alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
+    distinct = described.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    distinct = written(distinct, "distinct-texts")
+    at = distinct.select("th", "fp", "keys", F.posexplode("keys").alias("slot", "key"))
+    at = written(at.join(at.groupBy("slot", "key").count().where("count > 1"), ["slot", "key"]), "shards")
+    ready, depth = None, 1
+    while True:
+        small = at.where((F.col("count") <= shard_rows) | F.lit(depth >= keys)).select("slot", "key", "fp", "th")
+        ready = small if ready is None else ready.unionByName(small)
+        large = at.where((F.col("count") > shard_rows) & F.lit(depth < keys)).drop("count")
+        if large.isEmpty():
+            break
+        finer = large.withColumn("key", F.xxhash64("key", F.element_at("keys", F.pmod(F.col("slot") + depth, F.lit(keys)) + 1)))
+        at, depth = written(finer.join(finer.groupBy("slot", "key").count().where("count > 1"), ["slot", "key"]), "shards"), depth + 1
+    dealt = ready.repartition("slot", "key").sortWithinPartitions("slot", "key", "fp")
+    pairs = dealt.mapInPandas(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    owners = distinct.join(ends, "th", "left_semi").select("th", F.col("least").alias("doc_id"))
+    owners = described.join(owners, ["th", "doc_id"], "left_semi").select("th", "doc_id").distinct()
+    texts = docs.select("doc_id", text.alias("text")).join(owners.hint("shuffle_hash"), "doc_id").select("th", "text")
+    sets = texts.select("th", shingle_set("text").alias("shingles")).dropDuplicates(["th"])
+    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("y")), "b")
+    roots = components(both.where(alike("x", "y")).select("a", "b")).select(F.col("node").alias("th"), "root")
+    rooted = distinct.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
+    return described.select("doc_id", "th").join(named, "th")
+
+
+def near_dedup(docs: DataFrame, **how) -> DataFrame:
+    """One document of each group of similar ones: the one with the smallest id; of rows that repeat an id and a text, one.
+
+    Rows without an id stay, one for each text, where their group has no id at all.
+    """
+    found = written(similar_groups(docs, **how), "groups")
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", "_sl_hash").orderBy(F.lit(1))
+    first = lambda df: df.withColumn("_sl_hash", F.xxhash64("text")).withColumn("_sl_nth", F.row_number().over(same)).where("_sl_nth = 1").drop("_sl_hash", "_sl_nth")
+    named = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    alone = found.where("doc_id is null and component_id is null").select("th").distinct()
+    nameless = docs.where("doc_id is null").withColumn("_sl_th", text_key(F.coalesce("text", F.lit(""))))
+    nameless = nameless.join(alone, nameless["_sl_th"] == alone["th"], "left_semi").select(docs.columns)
+    return first(named).unionByName(first(nameless))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
