@@ -7,6 +7,7 @@ from .packing import op6_best_fit_packing
 from .pii import op5_pii
 from .quality import op2_quality
 from .simhash import op3_simhash
+from .suffix_dedup import op9_suffix_dedup
 from .topk import OP1_SQL, op1_exact_topk
 from .url_filter import op7_url_filter
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
