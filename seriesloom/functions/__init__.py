@@ -1 +1 @@
-
+"""Column helpers that operators share."""
