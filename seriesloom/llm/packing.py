@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, written
+from .common import need, small_batches, written
 
-MEMO_ENTRIES = 1_200_000
+MEMO_ENTRIES = 400_000
 MAX_FILE_BYTES = 50_000_000
 #: Signs that a word may end in and that form a token apart from the letters before them.
 SIGNS = ".,;:!?*$&%#|()\"-"
@@ -223,6 +223,7 @@ def sequences(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, model, tokens: int = 4096, **how) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of the documents."""
     need(docs, "doc_id", "text")
+    small_batches(docs.sparkSession)
     coded = docs.select("doc_id", token_ids(model, F.col("text")).alias("ids"))
     cut = pieces(coded, tokens=tokens).select("doc_id", "piece", "start", "length", F.crc32("piece_ids").alias("ids_crc32"))
     return pack(cut, tokens, **how)

@@ -33,7 +33,7 @@ from .common import need, small_batches, written
 BITS = 14
 SHAPE_BITS = 12
 BUCKETS = 2 * (1 << BITS) + (1 << SHAPE_BITS)
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 SAMPLE_ROWS = 20_000
 #: Weight, in n-grams, with which the target model leans on the raw one.
 LEAN = 20_000.0
