@@ -6,7 +6,7 @@ All take returns (series_id, rn, r, n) and give one row for each series (and lag
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Lags and orders of the contract; fixed values.
@@ -16,15 +16,20 @@ LJUNG_BOX_ORDERS = [5, 10, 20, 50]
 VARIANCE_RATIO_STEPS = [2, 5, 10]
 HURST_MIN, HURST_MAX, HURST_COUNT, HURST_SCALES = 16, 256, 12, 4
 
-_ORDER = Window.partitionBy("series_id").orderBy("rn")
-_ALL = Window.partitionBy("series_id")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("rn")
+
+
+def _all() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def acf(returns: DataFrame, lags: list[int] = ACF_LAGS, value: Column | None = None) -> DataFrame:
     """(series_id, n, lag, acf): biased, about the mean of all; null beyond the series. One window pass for all lags."""
     x = F.col("r") if value is None else value
-    rows = returns.select("series_id", "rn", x.alias("x")).withColumn("d", F.col("x") - F.avg("x").over(_ALL))
-    rows = rows.select("series_id", "d", *(F.lead("d", k).over(_ORDER).alias(f"d{k}") for k in lags))
+    rows = returns.select("series_id", "rn", x.alias("x")).withColumn("d", F.col("x") - F.avg("x").over(_all()))
+    rows = rows.select("series_id", "d", *(F.lead("d", k).over(_order()).alias(f"d{k}") for k in lags))
     square = F.sum(F.col("d") * F.col("d"))
     sums = rows.groupBy("series_id").agg(F.count("*").alias("n"), *(F.try_divide(F.sum(F.col("d") * F.col(f"d{k}")), square).alias(f"a{k}") for k in lags))
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"a{k}").alias("acf")) for k in lags)))
@@ -49,7 +54,7 @@ def variance_ratio(returns: DataFrame, steps: list[int] = VARIANCE_RATIO_STEPS)
     """Variance of overlapping sums of q returns against q times the variance of one."""
     sums = returns
     for q in steps:
-        sums = sums.withColumn(f"s{q}", F.when(F.col("rn") >= q - 1, F.sum("r").over(_ORDER.rowsBetween(-(q - 1), 0))))
+        sums = sums.withColumn(f"s{q}", F.when(F.col("rn") >= q - 1, F.sum("r").over(_order().rowsBetween(-(q - 1), 0))))
     ratio = lambda q: F.when(F.count("*") > q + 2, F.try_divide(F.var_samp(f"s{q}"), q * F.var_samp("r")))
     wide = sums.groupBy("series_id").agg(*(ratio(q).alias(f"v{q}") for q in steps))
     pairs = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"v{q}").alias("variance_ratio")) for q in steps)))
@@ -85,7 +90,7 @@ def hurst_rs(returns: DataFrame) -> DataFrame:
 
 def hurst_dfa(returns: DataFrame) -> DataFrame:
     """Detrended fluctuation: slope of the log mean residual root mean square over the log window length."""
-    profile = returns.withColumn("d", F.col("r") - F.avg("r").over(_ALL)).select("series_id", "n", "rn", F.sum("d").over(_ORDER).alias("x"))
+    profile = returns.withColumn("d", F.col("r") - F.avg("r").over(_all())).select("series_id", "n", "rn", F.sum("d").over(_order()).alias("x"))
     rows = _chunks(profile).withColumn("t", F.expr("cast(rn % w as double)"))
     rest = F.regr_syy("x", "t") - F.regr_sxy("x", "t") * F.regr_sxy("x", "t") / F.regr_sxx("x", "t")
     spans = rows.groupBy("series_id", "w", "chunk").agg(F.sqrt(F.greatest(rest, F.lit(0.0)) / F.count("*")).alias("f"))

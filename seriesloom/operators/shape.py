@@ -5,36 +5,42 @@ All take returns (series_id, rn, r, n). Tail measures are about the series' mean
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import bias_corrected_kurtosis, bias_corrected_skewness, divide
 
-_ORDER = Window.partitionBy("series_id").orderBy("rn")
-_ALL = Window.partitionBy("series_id")
 HILL_SHARE, HILL_LEAST, HILL_ROWS = 0.05, 5, 50
 VOLATILITY_WINDOW = 20
 AMI_BINS = 24
 
 
+def _order() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("rn")
+
+
+def _all() -> WindowSpec:
+    return Window.partitionBy("series_id")
+
+
 def noise_fn(returns: DataFrame) -> DataFrame:
     """Deviation of first differences against that of the series."""
-    steps = returns.withColumn("d", F.col("r") - F.lag("r").over(_ORDER))
+    steps = returns.withColumn("d", F.col("r") - F.lag("r").over(_order()))
     return steps.groupBy("series_id").agg(divide(F.stddev_samp("d"), F.stddev_samp("r")).alias("noise_fn"))
 
 
 def permutation_entropy(returns: DataFrame) -> DataFrame:
     """Entropy of the orders of three successive values, ties by place, against that of six equal shares."""
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    rows = returns.select("series_id", F.col("r").alias("a"), F.lead("r", 1).over(_ORDER).alias("b"), F.lead("r", 2).over(_ORDER).alias("c")).where("c is not null")
+    rows = returns.select("series_id", F.col("r").alias("a"), F.lead("r", 1).over(_order()).alias("b"), F.lead("r", 2).over(_order()).alias("c")).where("c is not null")
     kind = F.when((a <= b) & (b <= c), 0).when((a <= c) & (c < b), 1).when((b < a) & (a <= c), 2).when((b <= c) & (c < a), 3).when((c < a) & (a <= b), 4).otherwise(5)
     counts = rows.groupBy("series_id", kind.alias("kind")).agg(F.count("*").alias("k"))
-    share = counts.withColumn("p", F.col("k") / F.sum("k").over(_ALL))
+    share = counts.withColumn("p", F.col("k") / F.sum("k").over(_all()))
     return share.groupBy("series_id").agg((-F.sum(F.col("p") * F.log("p")) / F.log(F.lit(6.0))).alias("permutation_entropy"))
 
 
 def _centred(returns: DataFrame) -> DataFrame:
-    return returns.select("series_id", "rn", (F.col("r") - F.avg("r").over(_ALL)).alias("x"))
+    return returns.select("series_id", "rn", (F.col("r") - F.avg("r").over(_all())).alias("x"))
 
 
 def fisher_kurtosis(returns: DataFrame) -> DataFrame:
@@ -59,18 +65,18 @@ def tail_ratios(returns: DataFrame) -> DataFrame:
 def hill_index(returns: DataFrame) -> DataFrame:
     """Tail index from the largest absolute values over the next one below them."""
     rows = _centred(returns).where("x <> 0").select("series_id", F.abs("x").alias("a"), "rn")
-    rows = rows.withColumn("nth", F.row_number().over(_ALL.orderBy(F.desc("a"), "rn"))).withColumn("n", F.count("*").over(_ALL)).where(F.col("n") >= HILL_ROWS)
+    rows = rows.withColumn("nth", F.row_number().over(_all().orderBy(F.desc("a"), "rn"))).withColumn("n", F.count("*").over(_all())).where(F.col("n") >= HILL_ROWS)
     rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(F.col("n") * HILL_SHARE)), F.col("n") - 1))
-    rows = rows.where("nth <= k + 1").withColumn("bound", F.max(F.when(F.col("nth") == F.col("k") + 1, F.col("a"))).over(_ALL))
+    rows = rows.where("nth <= k + 1").withColumn("bound", F.max(F.when(F.col("nth") == F.col("k") + 1, F.col("a"))).over(_all()))
     return rows.where("nth <= k").groupBy("series_id").agg(F.first("k").alias("k"), divide(F.lit(1.0), F.avg(F.log(F.col("a") / F.col("bound")))).alias("hill"))
 
 
 def mutual_information(returns: DataFrame, lag: int = 1, bins: int = AMI_BINS) -> DataFrame:
     """Mutual information of values ``lag`` apart, from a histogram of equal bins over each axis."""
-    pairs = returns.select("series_id", F.col("r").alias("a"), F.lead("r", lag).over(_ORDER).alias("b")).where("b is not null")
-    place = lambda c: F.least(F.floor((F.col(c) - F.min(c).over(_ALL)) / (F.max(c).over(_ALL) - F.min(c).over(_ALL)) * bins), F.lit(bins - 1))
+    pairs = returns.select("series_id", F.col("r").alias("a"), F.lead("r", lag).over(_order()).alias("b")).where("b is not null")
+    place = lambda c: F.least(F.floor((F.col(c) - F.min(c).over(_all())) / (F.max(c).over(_all()) - F.min(c).over(_all())) * bins), F.lit(bins - 1))
     cells = pairs.select("series_id", place("a").alias("i"), place("b").alias("j")).groupBy("series_id", "i", "j").agg(F.count("*").alias("k"))
-    cells = cells.withColumns({"n": F.sum("k").over(_ALL), "ki": F.sum("k").over(Window.partitionBy("series_id", "i")), "kj": F.sum("k").over(Window.partitionBy("series_id", "j"))})
+    cells = cells.withColumns({"n": F.sum("k").over(_all()), "ki": F.sum("k").over(Window.partitionBy("series_id", "i")), "kj": F.sum("k").over(Window.partitionBy("series_id", "j"))})
     term = F.col("k") / F.col("n") * F.log(F.col("k").cast("double") * F.col("n") / (F.col("ki").cast("double") * F.col("kj")))
     return cells.groupBy("series_id").agg(F.sum(term).alias("ami"))
 
@@ -84,13 +90,13 @@ def lyapunov_time(rates: DataFrame, rate: str, least: float = 1e-3) -> DataFrame
 
 def rolling_volatility(returns: DataFrame, window: int = VOLATILITY_WINDOW) -> DataFrame:
     """Population deviation of the last ``window`` returns, where there are so many."""
-    return returns.withColumn("vol", F.when(F.col("rn") >= window - 1, F.stddev_pop("r").over(_ORDER.rowsBetween(-(window - 1), 0)))).where("vol is not null")
+    return returns.withColumn("vol", F.when(F.col("rn") >= window - 1, F.stddev_pop("r").over(_order().rowsBetween(-(window - 1), 0)))).where("vol is not null")
 
 
 def basic_features(returns: DataFrame) -> DataFrame:
     rows = returns.withColumns({
-        "before": F.lag("r").over(_ORDER),
-        "vol": F.when(F.col("rn") >= VOLATILITY_WINDOW - 1, F.stddev_pop("r").over(_ORDER.rowsBetween(-(VOLATILITY_WINDOW - 1), 0))),
+        "before": F.lag("r").over(_order()),
+        "vol": F.when(F.col("rn") >= VOLATILITY_WINDOW - 1, F.stddev_pop("r").over(_order().rowsBetween(-(VOLATILITY_WINDOW - 1), 0))),
     })
     share = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0))
     r, before = F.col("r"), F.col("before")
