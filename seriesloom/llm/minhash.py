@@ -34,6 +34,8 @@ BANDS = 32
 CHUNK = 2048
 MEMO_ENTRIES = 300_000
 BUCKET_ROWS = 2000
+#: Stands for a null id inside, so that ids stay whole numbers in tasks.
+NO_ID = -(1 << 63)
 
 _random = np.random.default_rng(20_240_601)
 MULTIPLIERS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -186,8 +188,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or 4 * shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     ids = rows.select("id")
     top = ids.agg(F.max("id")).first()[0]
     ends = ids.select(F.percentile_approx("id", F.array(*(F.lit(i / parts) for i in range(1, parts))), 10 * parts)).first()[0] if parts > 1 else []
@@ -215,23 +216,25 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         signer, part, before, served = Signer(), None, None, False
         for pdf in batches:
             out = []
-            for doc_id, text, p, last in pdf[["doc_id", "text", "part", "last"]].itertuples(index=False):
+            for an_id, text, p, last in pdf[["id", "text", "part", "last"]].itertuples(index=False):
                 if p != part:
                     part, before, served = p, None, False
                 if served:
                     continue
                 own = signer.signature(text)
                 if before is not None:
-                    an_id, a_text, a_sign = before
+                    a_id, a_text, a_sign = before
                     half = len(a_text) // 2
                     edited = a_text[: len(a_text) - half] + text[:half]
                     changed = signer.signature(edited)
-                    out.append((an_id, len(a_text), hashlib.sha256(edited.encode()).hexdigest(), hex_of(a_sign), hex_of(changed), likeness(a_sign, changed), likeness(a_sign, own)))
-                before, served = (doc_id, text, own), last
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInPandas(stream, schema)
+                    out.append((a_id, len(a_text), hashlib.sha256(edited.encode()).hexdigest(), hex_of(a_sign), hex_of(changed), likeness(a_sign, changed), likeness(a_sign, own)))
+                before, served = (an_id, text, own), last
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    found = with_next(docs).mapInPandas(stream, schema)
+    doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
+    return found.select(doc_id, *(c for c in found.columns if c != "id"))
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

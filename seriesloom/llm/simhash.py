@@ -20,7 +20,7 @@ one shingle; a row without an id is grouped but is never the smallest id; extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,14 +112,12 @@ class BKTree:
                     todo += [c for k, c in below.items() if -radius <= k - d <= radius]
 
 
-def spanning_links(values: list[int], radius: int, sure: int | None = None, tries: int = 1) -> list[tuple[int, int]]:
-    """Links (places of two values) within the radius that connect whatever all such links connect.
+def spanning_links(values: list[int], radius: int, accept: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links (places of two values) that connect whatever all links within the radius connect, if accepted.
 
-    Links within ``sure`` join their groups at once, so that few for each value and group follow, and a search ends when
-    it has met every group so. Links beyond ``sure`` join nothing. For each group the nearest ``tries`` are
-    reported: more than one where a stricter test that follows may refuse the nearest.
+    A value is tested against the members of each group until one is accepted, and its search ends once it has met
+    every group; so a group of copies costs its members few tests, not all pairs.
     """
-    sure = radius if sure is None else sure
     values = [v % (1 << BITS) for v in values]  # signed longs as the bits they hold
     tree, parent, links = BKTree(), [], []
     groups = 0
@@ -131,26 +129,18 @@ def spanning_links(values: list[int], radius: int, sure: int | None = None, trie
         return i
 
     for i, value in enumerate(values):
-        best: dict[int, list[tuple[int, int]]] = {}
-        done = 0
-        for d, j in tree.near(value, radius):
-            near = best.setdefault(root(j), [])
-            near.append((d, j))
-            if len(near) > 1:
-                near.sort()
-            done += len(near) == tries and near[-1][0] <= sure
-            if len(near) > tries:
-                done += near[tries - 1][0] <= sure < near[tries][0]
-                near.pop()
-            if done >= groups:
-                break
+        met = set()
+        for _, j in tree.near(value, radius):
+            r = root(j)
+            if r not in met and (accept is None or accept(i, j)):
+                met.add(r)
+                links.append((i, j))
+                if len(met) == groups:
+                    break
         parent.append(i)
-        groups += 1
-        for r, near in best.items():
-            links += [(i, j) for _, j in near]
-            if near[0][0] <= sure:
-                parent[r] = i
-                groups -= 1
+        for r in met:
+            parent[r] = i
+        groups += 1 - len(met)
         tree.add(value)
     return links
 
@@ -222,20 +212,21 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(words)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 22, sure: int = 6, tries: int = 4, keys: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 22, keys: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, th, component_id) of every row, for likenesses that are too far apart for blocks of equal bits.
 
     Texts meet in shards by their smallest shingle under each of ``keys`` hashes: two of Jaccard likeness s share one with
-    probability 1 - (1 - s)**keys. A shard's BK-tree finds fingerprints within ``radius``, and links are kept if the
-    shingle sets themselves are at least as alike as ``similarity``. Texts with the same words are one text. A shard
-    above ``shard_rows`` is dealt again by its next key as well, until keys run out.
+    probability 1 - (1 - s)**keys. A shard's BK-tree finds fingerprints within ``radius``, and a link is kept if the
+    shingle sets themselves are at least as alike as ``similarity``. Texts with the same words are one text, and
+    shards with the same members are one shard.
+
+    A shard above ``shard_rows`` is dealt to several tasks by a hash of text and key. What belongs together there
+    shares most of its keys, each dealt anew, so its parts are linked through one another.
     """
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    word_key = text_key(text)
-
     @F.pandas_udf("struct<fp:long,keys:array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
@@ -249,57 +240,51 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
 
     @F.pandas_udf(T.BinaryType())
     def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words_per_shingle)).astype("<u8").tobytes() for t in texts], dtype=object)
+        """The shingles' hashes, 32 bits of each."""
+        return pd.Series([np.unique((shingle_hashes(t, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts], dtype=object)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
-            found = spanning_links([fp for fp, _ in members], radius, sure, tries) if len(members) > 1 else []
+        def links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+            def alike(i: int, j: int) -> bool:
+                a, b = members[i][2], members[j][2]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    return False
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                return common >= similarity * (len(a) + len(b) - common)
+
+            found = spanning_links([m[0] for m in members], radius, alike) if len(members) > 1 else []
             return [(members[i][1], members[j][1]) for i, j in found]
 
-        open_key, members, found = None, [], []
+        now, members, found = None, [], []
         for pdf in batches:
-            for slot, key, fp, th in zip(pdf["slot"].tolist(), pdf["key"].tolist(), pdf["fp"].tolist(), pdf["th"].tolist(), strict=True):
-                if (slot, key) != open_key:
+            for slot, key, part, fp, th, shingles in pdf[["slot", "key", "part", "fp", "th", "shingles"]].itertuples(index=False):
+                if (slot, key, part) != now:
                     found += links(members)
-                    open_key, members = (slot, key), []
-                members.append((fp, th))
+                    now, members = (slot, key, part), []
+                members.append((fp, th, np.frombuffer(shingles, "<u4")))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
             found = []
         yield pd.DataFrame(links(members), columns=["a", "b"], dtype="int64")
 
-    @F.pandas_udf(T.BooleanType())
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(common >= similarity * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
-
-    described = written(docs.select("doc_id", word_key.alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
+    described = written(docs.select("doc_id", text_key(text).alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
     distinct = described.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     distinct = written(distinct, "distinct-texts")
-    at = distinct.select("th", "fp", "keys", F.posexplode("keys").alias("slot", "key"))
-    at = written(at.join(at.groupBy("slot", "key").count().where("count > 1"), ["slot", "key"]), "shards")
-    ready, depth = None, 1
-    while True:
-        small = at.where((F.col("count") <= shard_rows) | F.lit(depth >= keys)).select("slot", "key", "fp", "th")
-        ready = small if ready is None else ready.unionByName(small)
-        large = at.where((F.col("count") > shard_rows) & F.lit(depth < keys)).drop("count")
-        if large.isEmpty():
-            break
-        finer = large.withColumn("key", F.xxhash64("key", F.element_at("keys", F.pmod(F.col("slot") + depth, F.lit(keys)) + 1)))
-        at, depth = written(finer.join(finer.groupBy("slot", "key").count().where("count > 1"), ["slot", "key"]), "shards"), depth + 1
-    dealt = ready.repartition("slot", "key").sortWithinPartitions("slot", "key", "fp")
-    pairs = dealt.mapInPandas(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    owners = distinct.join(ends, "th", "left_semi").select("th", F.col("least").alias("doc_id"))
-    owners = described.join(owners, ["th", "doc_id"], "left_semi").select("th", "doc_id").distinct()
-    texts = docs.select("doc_id", text.alias("text")).join(owners.hint("shuffle_hash"), "doc_id").select("th", "text")
+    at = distinct.select("th", "fp", F.posexplode("keys").alias("slot", "key"))
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("y")]
+    shards = at.groupBy("slot", "key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("slot", "key")).alias("k")).select("k.*", "n")
+    at = written(at.join(shards, ["slot", "key"]), "shards")
+    # a text is read from the row of its smallest id, or from rows without an id if only those have it
+    wanted = at.select("th").distinct()
+    owners = distinct.join(wanted, "th", "left_semi").select(F.col("th").alias("_sl_th"), F.col("least").alias("doc_id"))
+    keyed = docs.select("doc_id", text.alias("text"))
+    named_texts = keyed.join(owners.where("doc_id is not null").hint("shuffle_hash"), "doc_id").withColumn("th", text_key(F.col("text"))).where("th = _sl_th")
+    other_texts = keyed.where("doc_id is null").withColumn("th", text_key(F.col("text")))
+    other_texts = other_texts.join(owners.where("doc_id is null").select(F.col("_sl_th").alias("th")), "th", "left_semi")
+    texts = named_texts.select("th", "text").unionByName(other_texts.select("th", "text"))
     sets = texts.select("th", shingle_set("text").alias("shingles")).dropDuplicates(["th"])
-    both = pairs.join(sets.select(F.col("th").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("th").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(both.where(alike("x", "y")).select("a", "b")).select(F.col("node").alias("th"), "root")
+    parts = F.ceil(F.col("n") / shard_rows).cast("int")
+    dealt = at.withColumn("part", F.pmod(F.xxhash64("th", "slot"), parts)).join(sets, "th").repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part", "fp")
+    roots = components(dealt.mapInPandas(search, "a long, b long")).select(F.col("node").alias("th"), "root")
     rooted = distinct.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
     return described.select("doc_id", "th").join(named, "th")

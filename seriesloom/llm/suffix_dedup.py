@@ -259,7 +259,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                     mark, id_, th, a, twice, *_ = rows[o]
                     low = a + int(p - begin[o])
                     out.append((mark, id_, th, low, -1 if twice or p in hit else low + length, k))
-            return pd.DataFrame(out, columns=columns).astype({"string": "Int64"})
+            # a column of its own: hashes beside nulls must not pass through doubles
+            return pd.DataFrame([r[:5] for r in out], columns=columns[:5]).assign(string=pd.array([r[5] for r in out], dtype="Int64"))
 
         rows, starts, now, group, group_starts = [], 0, None, [], 0
         for pdf in batches:
