@@ -53,12 +53,12 @@ def sort_violations(rows: DataFrame, series: str, ordinal: str, date: str) -> Da
     return rows.withColumn("_before", before).groupBy(series).agg(F.count_if(F.col(date) < F.col("_before")).alias("n_backwards"))
 
 
-def core_profile(catalog: DataFrame, seed: int = 42) -> DataFrame:
-    """All series of the first market and as many of the second, drawn by a seeded hash of their ids."""
+def core_profile(catalog: DataFrame, seed: int = 42, most: int | None = None) -> DataFrame:
+    """All series of the first market and as many (or ``most``) of the second, drawn by a seeded hash of their ids."""
     ru = catalog.where("market = 'RU'").select("series_id", "market")
     us = catalog.where("market = 'US'").select("series_id", "market")
     drawn = us.withColumn("nth", F.row_number().over(Window.partitionBy("market").orderBy(F.md5(F.concat("series_id", F.lit(f":{seed}"))), "series_id")))
-    quota = ru.agg(F.count("*").alias("quota"))
+    quota = ru.agg(F.count("*").alias("quota") if most is None else F.lit(most).alias("quota"))
     return drawn.join(F.broadcast(quota)).where("nth <= quota").select("series_id", "market").unionByName(ru)
 
 
@@ -67,3 +67,15 @@ def resume_upsert(old: DataFrame, new: DataFrame, keys: list[str], ordinal: str)
     both = old.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_src"), F.desc(ordinal)))
     return both.withColumn("_nth", nth).where("_nth = 1").drop("_src", "_nth")
+
+
+def keep_last_per_date(rows: DataFrame, series: str, date: str, ordinal: str) -> DataFrame:
+    """Of rows that share a series and a date, the one with the largest ordinal."""
+    nth = F.row_number().over(Window.partitionBy(series, date).orderBy(F.desc(ordinal)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def flag_breakdown(rows: DataFrame, flags: str, separator: str = ";") -> DataFrame:
+    """How often each warning flag occurs in a column of joined flags."""
+    one = rows.select(F.explode(F.split(flags, separator)).alias("flag")).where("flag <> ''")
+    return one.groupBy("flag").agg(F.count("*").alias("n"))

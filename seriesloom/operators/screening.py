@@ -5,6 +5,9 @@ Features are long rows (series_id, feature, value), so a table of any width is t
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +127,38 @@ def robust_scale(features: DataFrame) -> DataFrame:
     q = features.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     spread = F.col("q")[2] - F.col("q")[0]
     return features.join(q, "feature").select("series_id", "feature", ((F.col("value") - F.col("q")[1]) / F.when(spread == 0, 1.0).otherwise(spread)).alias("scaled"))
+
+
+def class_information(features: DataFrame, labels: DataFrame, bins: int = 5) -> DataFrame:
+    """Mutual information of each feature, in equal bins over its range, with the series' class."""
+    own = Window.partitionBy("feature")
+    low, high = F.min("value").over(own), F.max("value").over(own)
+    rows = features.where("value is not null").join(labels, "series_id")
+    place = F.when(high > low, F.least(F.floor((F.col("value") - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    cells = rows.withColumn("bin", place).groupBy("feature", "bin", "label").agg(F.count("*").cast("double").alias("k"))
+    cells = cells.withColumns({"n": F.sum("k").over(own), "ki": F.sum("k").over(Window.partitionBy("feature", "bin")), "kj": F.sum("k").over(Window.partitionBy("feature", "label"))})
+    return cells.groupBy("feature").agg(F.sum(F.col("k") / F.col("n") * F.log(F.col("k") * F.col("n") / (F.col("ki") * F.col("kj")))).alias("information"))
+
+
+def correlation_prune(pairs: DataFrame, names: list[str]) -> list[str]:
+    """Names that stay when, pair by pair in order of names, the one more correlated on average goes.
+
+    pairs: correlated pairs with ``pearson``; there are as many names as the feature table has columns.
+    """
+    found = {(r["feature_1"], r["feature_2"]): abs(r["pearson"] or 0.0) for r in pairs.select("feature_1", "feature_2", "pearson").collect()}
+    mean = {n: sum(v for k, v in found.items() if n in k) / max(len(names) - 1, 1) for n in names}
+    gone: set[str] = set()
+    for a, b in sorted(found):
+        if a not in gone and b not in gone:
+            gone.add(a if mean[a] > mean[b] else b)
+    return [n for n in sorted(names) if n not in gone]
+
+
+def quantile_normal(features: DataFrame) -> DataFrame:
+    """Each value as the normal quantile of its mean rank among the feature's values."""
+    @F.pandas_udf("double")
+    def probit(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf)
+
+    rows = features.where("value is not null").withColumns({"rank": average_rank(F.col("value"), "feature"), "n": F.count("*").over(Window.partitionBy("feature"))})
+    return rows.select("series_id", "feature", probit((F.col("rank") - 0.5) / F.col("n")).alias("normal"))

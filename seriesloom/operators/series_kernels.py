@@ -119,6 +119,48 @@ def forecast_tasks(returns: DataFrame, names: Sequence[str], horizons: Sequence[
     return spread.mapInPandas(run, "series_id string, horizon int, model string, fold int, i long, y double, prediction double, train_mean double, train_step double, seconds double, status string")
 
 
+def tune(returns: DataFrame, name: str, candidates: dict[str, dict], horizons: Sequence[int] = (5,)) -> DataFrame:
+    """Task measures of each candidate's settings of one model, under ``candidate``."""
+    from .forecasts import TASK, task_metrics
+
+    out = None
+    for key, settings in candidates.items():
+        part = task_metrics(forecast_tasks(returns, [name], horizons, settings={name: settings}).where("status = 'success'"), TASK).withColumn("candidate", F.lit(key))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def best_candidates(tuned: DataFrame, metric: str = "mae") -> DataFrame:
+    """The candidate of the smallest mean for each model and horizon; ties to the smaller name."""
+    means = tuned.groupBy("model", "horizon", "candidate").agg(F.avg(metric).alias("mean"))
+    best = F.min_by(F.struct("candidate", "mean"), F.struct(F.round("mean", 12), "candidate"))
+    return means.groupBy("model", "horizon").agg(best.alias("b"), F.count("*").alias("n_candidates")).select("model", "horizon", "b.candidate", "b.mean", "n_candidates")
+
+
+def registry_table(spark, active: Sequence[str], supported: Sequence[str]) -> DataFrame:
+    """Every registered model: in use, usable, or only registered."""
+    rows = [(n, "active" if n in active else "inactive_but_supported" if n in supported else "registered_not_selected") for n in sorted(models.REGISTRY)]
+    return spark.createDataFrame(rows, "model string, status string")
+
+
+def permuted_target_ratio(returns: DataFrame, name: str = "ridge_lag", horizon: int = 1, seed: int = 2026) -> DataFrame:
+    """Error of a model trained on shuffled targets against the honest one, for each series: near one or above it if nothing leaks."""
+
+    def ratio(r: np.ndarray) -> dict[str, float | None]:
+        x, y = windows_of(r, horizon, WINDOWS[horizon])
+        at = len(y) - max(1, len(y) // (FOLDS + 1))
+        if at < 20:
+            return {"honest": None, "permuted": None}
+        out = {}
+        for key, t in (("honest", y[:at]), ("permuted", np.random.default_rng(seed).permutation(y[:at]))):
+            model = models.make(name)
+            model.fit(x[:at], t)
+            out[key] = float(np.sqrt(((model.predict(x[at:]) - y[at:]) ** 2).mean()))
+        return out
+
+    return _each(as_arrays(returns), ratio, "honest double, permuted double").withColumn("ratio", F.try_divide("permuted", "honest"))
+
+
 def speed_summary(predictions: DataFrame) -> DataFrame:
     """Time and failures of each model."""
     tasks = predictions.groupBy("model", "series_id", "horizon", "fold").agg(F.first("seconds").alias("seconds"), F.first("status").alias("status"))

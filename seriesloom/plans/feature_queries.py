@@ -114,3 +114,24 @@ def robust_scale(spark, sf_dir):
 @query("tidy_unpivot", " SELECT series_id, feature, round(value, 6) + 0.0 AS value FROM lf")
 def tidy_unpivot(spark, sf_dir):
     return features(spark, sf_dir).withColumn("value", rounded(F.col("value")))
+
+
+@query("class_information", """, cb AS (SELECT l.feature, c.market AS label, value, min(value) OVER (PARTITION BY l.feature) AS lo, max(value) OVER (PARTITION BY l.feature) AS hi FROM lf l JOIN cat c ON c.series_id = l.series_id WHERE value IS NOT NULL),
+  cc AS (SELECT feature, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 5), 4) ELSE 0 END AS bin, label, count(*)::DOUBLE AS k FROM cb GROUP BY ALL), cd AS (SELECT *, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, bin) AS ki, sum(k) OVER (PARTITION BY feature, label) AS kj FROM cc)
+  SELECT feature, round(sum(k / n * ln(k * n / (ki * kj))), 6) + 0.0 AS information FROM cd GROUP BY feature""")
+def class_information(spark, sf_dir):
+    labels = all_returns(spark, sf_dir).select("series_id", F.col("market").alias("label")).distinct()
+    return screening.class_information(features(spark, sf_dir), labels).withColumn("information", rounded(F.col("information")))
+
+
+def correlation_prune(spark, sf_dir):
+    long = features(spark, sf_dir)
+    kept = screening.correlation_prune(screening.correlated_pairs(long), sorted([*BASIC, "twice_std", "constant"]))
+    return spark.createDataFrame([(n,) for n in kept], "feature string")
+
+
+def quantile_normal(spark, sf_dir):
+    return screening.quantile_normal(features(spark, sf_dir))
+
+
+QUERIES |= {"correlation_prune": correlation_prune, "quantile_normal": quantile_normal}

@@ -290,3 +290,9 @@ def pair_comparison(spark, sf_dir):
     wide = routing.task_matrix(series(spark, sf_dir), ["naive_mean", "naive_zero"])
     gap = F.col("naive_mean") - F.col("naive_zero")
     return wide.groupBy("horizon").agg(F.count("*").alias("n"), rounded(F.avg(gap)).alias("mean_difference"), rounded(F.median(gap)).alias("median_difference"), rounded(F.avg(F.when(gap < 0, 1.0).otherwise(0.0))).alias("share_better"))
+
+
+@query("winner_distribution", _SERIES + _WINS + ", wd AS (SELECT horizon, max(wins) AS top, sum(wins) AS n FROM wc GROUP BY horizon) SELECT horizon, n::BIGINT AS n, round(top / n, 6) AS majority_share FROM wd")
+def winner_distribution(spark, sf_dir):
+    w = forecasts.model_wins(series(spark, sf_dir)).groupBy("horizon").agg(F.sum("wins").alias("n"), F.max("wins").alias("top"))
+    return w.select("horizon", "n", rounded(F.col("top") / F.col("n")).alias("majority_share"))

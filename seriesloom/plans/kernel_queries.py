@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions.columns import rounded
 from ..operators import clusters, dependence, forecasts, meta_models, returns, routing, series_kernels, shape
 from ..sources.panels import table
@@ -138,3 +139,22 @@ def routing_forest(spark, sf_dir):
 @query("routing_regression")
 def routing_regression(spark, sf_dir):
     return meta_models.route_by_regression(_meta_rows(spark, sf_dir), BASIC, forecasts.MODELS)
+
+
+@query("ridge_tuning")
+def ridge_tuning(spark, sf_dir):
+    grid = {f"alpha_{a}": {"alpha": a} for a in (0.001, 0.1, 10.0)}
+    return series_kernels.best_candidates(series_kernels.tune(eligible(spark, sf_dir), "ridge_lag", grid))
+
+
+@query("permuted_target_ratio")
+def permuted_target_ratio(spark, sf_dir):
+    return series_kernels.permuted_target_ratio(eligible(spark, sf_dir))
+
+
+_ACTIVE, _SUPPORTED = ["naive_zero", "naive_mean", "ridge_lag", "esn"], ["chaotic_esn", "vanilla_mlp", "lstm_forecast"]
+
+
+@query("registry_table", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{'active' if m in _ACTIVE else 'inactive_but_supported' if m in _SUPPORTED else 'registered_not_selected'}')" for m in sorted(models.REGISTRY)) + ") t(model, status)")
+def registry_table(spark, sf_dir):
+    return series_kernels.registry_table(spark, _ACTIVE, _SUPPORTED)

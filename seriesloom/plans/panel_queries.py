@@ -324,3 +324,22 @@ BASIC = ["mean", "std", "skew", "kurt", "positive_share", "negative_share", "sig
 def basic_features(spark, sf_dir):
     b = shape.basic_features(eligible(spark, sf_dir))
     return b.select("series_id", "n_obs", *(rounded(F.col(c)).alias(c) for c in BASIC))
+
+
+@query("extended_profile_hash", """+ u AS (SELECT series_id, market, row_number() OVER (ORDER BY md5(series_id || ':42'), series_id) AS nth FROM cat WHERE market = 'US')
+    SELECT series_id, market FROM u WHERE nth <= 800 UNION ALL SELECT series_id, market FROM cat WHERE market = 'RU'""")
+def extended_profile_hash(spark, sf_dir):
+    return catalog.core_profile(catalog.series_catalog(prices(spark, sf_dir)), most=800)
+
+
+@query("dedup_keep_last", "+ k AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 10 + l_linenumber DESC) AS nth FROM lineitem) SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_orderkey * 10 + l_linenumber AS ordinal FROM k WHERE nth = 1")
+def dedup_keep_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return catalog.keep_last_per_date(rows, "l_suppkey", "l_shipdate", "ordinal").withColumn("l_shipdate", day("l_shipdate"))
+
+
+@query("flag_breakdown", "+ f AS (SELECT CASE WHEN n_rows < 1500 THEN 'short;' ELSE '' END || CASE WHEN n_duplicate_dates > 0 THEN 'duplicates;' ELSE '' END || status AS flags FROM judged) SELECT flag, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM f) WHERE flag <> '' GROUP BY flag")
+def flag_breakdown(spark, sf_dir):
+    c = catalog.series_catalog(prices(spark, sf_dir))
+    flags = F.concat(F.when(F.col("n_rows") < 1500, "short;").otherwise(""), F.when(F.col("n_duplicate_dates") > 0, "duplicates;").otherwise(""), "status")
+    return catalog.flag_breakdown(c.select(flags.alias("flags")), "flags")
