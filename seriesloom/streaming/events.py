@@ -11,7 +11,7 @@ from ..operators.catalog import resume_upsert
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Count and mean value by event type and window; rows later than ``late`` behind the newest are dropped."""
-    kept = events.withWatermark("ts", late)
+    kept = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return kept.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
 
 

@@ -14,7 +14,7 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = {(r.window.start, r.event_type): r.n for r in spark.table("counts").collect()}
-    want = {(r.window.start, r.event_type): r.n for r in source.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).collect()}
+    want = {(r.window.start, r.event_type): r.n for r in source.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want and want
 
 
