@@ -171,10 +171,10 @@ def top_k(scored: DataFrame, k: int, key_col: str = "key", bins: int = 1000) ->
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, quality: int, rows: int) -> DataFrame:
-    """At most so many documents with this label; the ids are few, so they are broadcast."""
+    """At most so many documents with this label, in a few files; the ids are few, so they are broadcast."""
     ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").alias("_sl_id")).where("_sl_id is not null").distinct()
     some = ids.orderBy(F.xxhash64("_sl_id", F.lit(3)), "_sl_id").limit(rows)
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_sl_id"), "left_semi").select("doc_id", "text")
+    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_sl_id"), "left_semi").select("doc_id", "text").repartition(6)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, sample_rows: int = SAMPLE_ROWS, max_loss: float = 0.002, seed: int = 42) -> DataFrame:
