@@ -39,17 +39,23 @@ def best_by_cluster(perf: DataFrame) -> DataFrame:
 def utility(perf: DataFrame, metric: str = "rmse_mean", low_is_better: bool = True) -> DataFrame:
     """Gain of the best model of each cluster over the one best model, weighted by series; diversity and rank spread."""
     sign = 1.0 if low_is_better else -1.0
-    own = ["config", "horizon"]
-    rows = perf.where(F.col(metric).isNotNull()).withColumn("cost", sign * F.col(metric))
-    weighted = lambda v: divide(F.sum(F.col(v) * F.col("n_series")), F.sum("n_series").cast("double"))
-    whole = rows.groupBy(*own, "model").agg(weighted("cost").alias("cost"))
-    one = whole.groupBy(*own).agg(F.min_by(F.struct("model", "cost"), F.struct(F.round("cost", 12), "model")).alias("best")).select(*own, F.col("best.model").alias("global_best"), F.col("best.cost").alias("global_cost"))
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.round("cost", 12), "model"))
-    best = rows.withColumn("nth", nth).where("nth = 1").groupBy(*own).agg(weighted("cost").alias("cluster_cost"), F.count_distinct("model").alias("n_best_models"))
-    ranks = rows.withColumn("cost", F.round("cost", 12)).withColumn("rank", average_rank(F.col("cost"), *KEY))
-    spread = ranks.groupBy(*own, "model").agg(F.var_pop("rank").alias("v")).groupBy(*own).agg(F.avg("v").alias("rank_variance"))
-    out = one.join(best, own).join(spread, own)
-    return out.select(*own, "global_best", (sign * F.col("global_cost")).alias("global_score"), (sign * F.col("cluster_cost")).alias("cluster_score"), (F.col("global_cost") - F.col("cluster_cost")).alias("regret_improvement"), "n_best_models", "rank_variance")
+    own, by_model = Window.partitionBy("config", "horizon"), Window.partitionBy("config", "horizon", "model")
+    n = F.col("n_series")
+    rows = perf.where(F.col(metric).isNotNull()).withColumn("cost", F.round(sign * F.col(metric), 12))
+    rows = rows.withColumn("whole", divide(F.sum(F.col("cost") * n).over(by_model), F.sum(n).over(by_model).cast("double")))
+    rows = rows.withColumns({
+        "best": F.min(F.struct(F.round("whole", 12).alias("at"), F.col("model"), F.col("whole"))).over(own),
+        "nth": F.row_number().over(Window.partitionBy(*KEY).orderBy("cost", "model")),
+        "rank": average_rank(F.col("cost"), *KEY),
+    })
+    rows = rows.withColumns({"spread": F.var_pop("rank").over(by_model), "once": F.row_number().over(by_model.orderBy("cluster"))})
+    first = F.col("nth") == 1
+    out = rows.groupBy("config", "horizon").agg(
+        F.first("best").alias("best"), divide(F.sum(F.when(first, F.col("cost") * n)), F.sum(F.when(first, n)).cast("double")).alias("cluster_cost"),
+        F.count_distinct(F.when(first, F.col("model"))).alias("n_best_models"), F.avg(F.when(F.col("once") == 1, F.col("spread"))).alias("rank_variance"),
+    )
+    gain = F.col("best.whole") - F.col("cluster_cost")
+    return out.select("config", "horizon", F.col("best.model").alias("global_best"), (sign * F.col("best.whole")).alias("global_score"), (sign * F.col("cluster_cost")).alias("cluster_score"), gain.alias("regret_improvement"), "n_best_models", "rank_variance")
 
 
 def kruskal_h(series: DataFrame, assignments: DataFrame, metric: str = "rmse_mean") -> DataFrame:

@@ -28,17 +28,26 @@ def folded_targets(returns: DataFrame, horizons: Sequence[int] = (1, 5, 20)) ->
     return out
 
 
-def train_facts(folded: DataFrame) -> DataFrame:
-    """Of each fold's training rows: their mean, the mean over all but the last fifth, and the mean absolute step."""
-    key = ["series_id", "horizon", "fold"]
-    rows = folded.where("part = 'train'").withColumn("step", F.abs(F.col("y") - F.lag("y").over(Window.partitionBy(*key).orderBy("i"))))
+def with_train_facts(folded: DataFrame) -> DataFrame:
+    """Every row with its fold's training facts: the mean, the mean over all but the last fifth, the mean absolute step.
+
+    Windows over the fold's rows, which are together anyway: no join back, and the folds are made once.
+    """
+    own = Window.partitionBy("series_id", "horizon", "fold")
+    train = F.col("part") == "train"
     tail = F.greatest(F.lit(1), F.floor(F.col("train_n") * 0.2))
-    return rows.groupBy(*key).agg(F.avg("y").alias("train_mean"), F.avg(F.when(F.col("i") < F.col("train_n") - tail, F.col("y"))).alias("fit_mean"), F.avg("step").alias("train_step"))
+    rows = folded.withColumn("_step", F.when(train, F.abs(F.col("y") - F.lag("y").over(own.orderBy("i")))))
+    facts = {
+        "train_mean": F.avg(F.when(train, F.col("y"))).over(own),
+        "fit_mean": F.avg(F.when(train & (F.col("i") < F.col("train_n") - tail), F.col("y"))).over(own),
+        "train_step": F.avg("_step").over(own),
+    }
+    return rows.withColumns(facts).drop("_step")
 
 
 def naive_predictions(folded: DataFrame) -> DataFrame:
     """Test rows with the predictions zero, mean of the fitted part, and last trailing sum."""
-    rows = folded.where("part = 'test'").join(train_facts(folded), ["series_id", "horizon", "fold"])
+    rows = with_train_facts(folded).where("part = 'test'")
     said = F.array(*(F.struct(F.lit(m).alias("model"), v.cast("double").alias("prediction")) for m, v in (("naive_zero", F.lit(0.0)), ("naive_mean", F.col("fit_mean")), ("naive_last", F.col("last")))))
     flat = rows.withColumn("s", F.explode(said))
     return flat.select("series_id", "market", "horizon", "fold", "i", "date", "y", "train_mean", "train_step", "s.model", "s.prediction")
@@ -93,8 +102,9 @@ def model_ranking(tasks: DataFrame, metric: str = "rmse", ascending: bool = True
 
 def model_wins(series: DataFrame, metric: str = "rmse_mean", ascending: bool = True) -> DataFrame:
     """How many series each model is best for, with its share; models without a win have zero."""
-    won = winners(series, metric, ["series_id", "horizon"], ascending).groupBy("horizon", "model").agg(F.count("*").alias("wins"))
-    every = series.select("horizon", "model").distinct().join(won, ["horizon", "model"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
+    value = F.col(metric)
+    order = Window.partitionBy("series_id", "horizon").orderBy(value.asc_nulls_last() if ascending else value.desc_nulls_last(), "model")
+    every = series.withColumn("nth", F.row_number().over(order)).groupBy("horizon", "model").agg(F.count_if(F.col("nth") == 1).alias("wins"))
     return every.withColumn("share", F.col("wins") / F.sum("wins").over(Window.partitionBy("horizon")))
 
 

@@ -19,10 +19,10 @@ def candidate_sets(series: DataFrame, top: int, metric: str = "rmse_mean", low:
     """The best ``top`` models of each horizon by mean, wins and name; with a tolerance, those close to the best come first."""
     value = F.col(metric)
     rows = series.where(value.isNotNull()).select("series_id", "horizon", "model", F.round(value if low else -value, 12).alias("cost"))
-    wins = rows.withColumn("nth", F.row_number().over(Window.partitionBy("series_id", "horizon").orderBy("cost", "model"))).where("nth = 1").groupBy("horizon", "model").agg(F.count("*").alias("wins"))
-    means = rows.groupBy("horizon", "model").agg(F.avg("cost").alias("mean")).join(wins, ["horizon", "model"], "left")
+    nth = F.row_number().over(Window.partitionBy("series_id", "horizon").orderBy("cost", "model"))
+    means = rows.withColumn("nth", nth).groupBy("horizon", "model").agg(F.avg("cost").alias("mean"), F.count_if(F.col("nth") == 1).alias("wins"))
     own = Window.partitionBy("horizon")
-    means = means.withColumn("gap", F.col("mean") - F.min("mean").over(own)).withColumn("wins", F.coalesce("wins", F.lit(0)))
+    means = means.withColumn("gap", F.col("mean") - F.min("mean").over(own))
     close = F.when(F.col("gap") / F.greatest(F.abs(F.min("mean").over(own)), F.lit(1e-12)) <= tolerance, 1).otherwise(0) if tolerance is not None else F.lit(0)
     means = means.withColumn("close", close)
     order = own.orderBy(F.desc("close"), F.round("gap", 12), F.desc("wins"), "model")
