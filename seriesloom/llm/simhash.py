@@ -212,16 +212,44 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(words)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 22, keys: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _shards(distinct: DataFrame, keys: int, rungs: int, shard_rows: int) -> DataFrame:
+    """(th, fp, slot, key): the shards of each text (with ``keys``, ``rungs`` of them for each hash).
+
+    Every text goes by its first rung under each hash. Where that shard is too large, it goes by its next rung as well,
+    until one is not; of the rungs above the first, only those in shards that are not too large are returned.
+    """
+    rung = lambda slot, r: F.element_at("keys", (slot * rungs + r + 1).cast("int"))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("slot")
+    at = distinct.where(F.size("keys") > 0).select("th", "fp", "keys", slots).select("th", "fp", "slot", F.lit(0).alias("rung"), rung(F.col("slot"), F.lit(0)).alias("key"))
+    at = written(at, "keys")
+    while True:
+        large = written(at.groupBy("slot", "key").count().where(F.col("count") > shard_rows).select("slot", "key"), "large-keys")
+        stuck = at.join(large, ["slot", "key"], "left_semi").groupBy("th", "slot").agg((F.max("rung") + 1).alias("rung")).where(F.col("rung") < rungs)
+        # those that have gone on already are left out
+        on = stuck.join(at.select("th", "slot", "rung"), ["th", "slot", "rung"], "left_anti")
+        more = on.join(distinct, "th").select("th", "fp", "slot", "rung", rung(F.col("slot"), F.col("rung")).alias("key")).where("key is not null")
+        more = written(more, "keys")
+        if more.isEmpty():
+            break
+        at = at.unionByName(more)
+    first = at.where("rung = 0")
+    later = at.where("rung > 0").join(large, ["slot", "key"], "left_anti").select(at.columns)
+    return first.unionByName(later).select("th", "fp", "slot", "key")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 24, keys: int = 8, rungs: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, th, component_id) of every row, for likenesses that are too far apart for blocks of equal bits.
 
     Texts meet in shards by their smallest shingle under each of ``keys`` hashes: two of Jaccard likeness s share one with
-    probability 1 - (1 - s)**keys. A shard's BK-tree finds fingerprints within ``radius``, and a link is kept if the
-    shingle sets themselves are at least as alike as ``similarity``. Texts with the same words are one text, and
-    shards with the same members are one shard.
-
-    A shard above ``shard_rows`` is dealt to several tasks by a hash of text and key. What belongs together there
-    shares most of its keys, each dealt anew, so its parts are linked through one another.
+    probability 1 - (1 - s)**keys. A shard's BK-tree finds fingerprints (here of distinct shingles, so that they go with
+    Jaccard likeness) within ``radius``, and a link is kept if the shingle sets themselves are at least as alike as
+    ``similarity``. Texts with the same words are one text, and shards with the same members are one shard.
+
+    A shard above ``shard_rows`` has a shingle that very many texts share, such as a passage's. Its texts also meet by
+    their next smallest shingles under that hash, up to the first that is not as common (or the ``rungs``-th), so
+    what is alike besides the passage meets whatever the passage's share. The shard itself is dealt to several tasks
+    by a hash of text and key, for those whose shingles are mostly the common ones: they are alike one another and
+    share most of their keys, each dealt anew, so the parts are linked through one another.
     """
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
@@ -229,14 +257,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
 
     @F.pandas_udf("struct<fp:long,keys:array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        """The fingerprint, and the ``rungs`` smallest shingles under each hash, null where there are fewer."""
+        fps, ladders = [], []
         for t in texts:
-            h = shingle_hashes(t, words_per_shingle)
-            least = [int(((h ^ (h >> np.uint64(29))) * m >> np.uint64(1)).min()) for m in KEY_MULTIPLIERS[:keys]] if len(h) else []
-            out.append((_bits_to_int(h), least))
-        frame = pd.DataFrame(out, columns=["fp", "keys"])
-        frame["fp"] = np.array(frame["fp"].tolist(), np.uint64).view(np.int64)
-        return frame
+            h = np.unique(shingle_hashes(t, words_per_shingle))
+            fps.append(_bits_to_int(h))
+            ladder = []
+            for m in KEY_MULTIPLIERS[:keys] if len(h) else ():
+                x = (h ^ (h >> np.uint64(29))) * m >> np.uint64(1)
+                least = np.sort(np.partition(x, rungs - 1)[:rungs] if len(x) > rungs else x).tolist()
+                ladder += least + [None] * (rungs - len(least))
+            ladders.append(ladder)
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": pd.Series(ladders, dtype=object)})
 
     @F.pandas_udf(T.BinaryType())
     def shingle_set(texts: pd.Series) -> pd.Series:
@@ -269,7 +301,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     described = written(docs.select("doc_id", text_key(text).alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
     distinct = described.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     distinct = written(distinct, "distinct-texts")
-    at = distinct.select("th", "fp", F.posexplode("keys").alias("slot", "key"))
+    at = _shards(distinct, keys, rungs, shard_rows)
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("y")]
     shards = at.groupBy("slot", "key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("slot", "key")).alias("k")).select("k.*", "n")
     at = written(at.join(shards, ["slot", "key"]), "shards")

@@ -1,6 +1,7 @@
 """Operators that learn or estimate: held-out accuracy, error of estimates, and the pipeline against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pandas as pd
@@ -134,6 +135,23 @@ def test_near_duplicate_classes(spark):
         assert wrong <= len(want) * 0.01
 
 
+def test_near_copies_that_share_a_passage(spark, documents):
+    """Every shard of the passage's shingles is above its bound; near copies must meet all the same."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = " ".join(word() for _ in range(300)), {}
+    for n in range(40):
+        own = [word() for _ in range(100)]
+        twin = own[:30] + [word()] + own[31:70] + [word()] + own[71:]
+        texts |= {2 * n: f"{passage} {' '.join(own)}", 2 * n + 1: f"{passage} {' '.join(twin)}"}
+    # a text whose repeats outvote what it shares with its near copy
+    texts |= {200: texts[0].replace(passage, "") + " again and again it says so" * 300, 201: texts[0].replace(passage, "") + " again and again it says so" * 2}
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 41
+    got = simhash.similar_groups(documents(list(texts.items())), shard_rows=8).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == want
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what the stage before it kept."""
     from tests.llm.test_exact import brute_base, brute_lines
