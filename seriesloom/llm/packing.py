@@ -44,19 +44,19 @@ class WordTokenizer:
     Equal words between white space have equal ids; each is encoded once and kept in a bounded memo.
     """
 
-    def __init__(self, definition: str, end_id: int):
+    def __init__(self, definition: str, end_id: int, memo_entries: int = MEMO_ENTRIES):
         if len(definition) > MAX_FILE_BYTES:
             raise ValueError("the tokenizer file is too large to broadcast")
-        self.definition, self.end_id = definition, end_id
+        self.definition, self.end_id, self.memo_entries = definition, end_id, memo_entries
         self._tokenizer = None
 
     @classmethod
-    def from_file(cls, path: str, end_id: int = 1) -> WordTokenizer:
+    def from_file(cls, path: str, end_id: int = 1, memo_entries: int = MEMO_ENTRIES) -> WordTokenizer:
         with open(path, encoding="utf-8") as f:
-            return cls(f.read(), end_id)
+            return cls(f.read(), end_id, memo_entries)
 
     def __getstate__(self) -> dict:
-        return {"definition": self.definition, "end_id": self.end_id, "_tokenizer": None}
+        return {"definition": self.definition, "end_id": self.end_id, "memo_entries": self.memo_entries, "_tokenizer": None}
 
     def _open(self) -> None:
         import os
@@ -122,7 +122,7 @@ class WordTokenizer:
         for at in range(0, len(texts), 256):
             runs = [[t] if ODD_SPACE(t) else t.split() for t in texts[at : at + 256]]
             new = set().union(*runs).difference(self._memo)
-            if len(self._memo) + len(new) > MEMO_ENTRIES:
+            if len(self._memo) + len(new) > self.memo_entries:
                 self._memo.clear()
                 new = set().union(*runs)
             self._learn(list(new))
