@@ -212,32 +212,70 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(words)
 
 
-def _shards(distinct: DataFrame, keys: int, rungs: int, shard_rows: int) -> DataFrame:
-    """(th, fp, slot, key): the shards of each text (with ``keys``, ``rungs`` of them for each hash).
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) reach the Jaccard likeness."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common)
 
-    Every text goes by its first rung under each hash. Where that shard is too large, it goes by its next rung as well,
-    until one is not; of the rungs above the first, only those in shards that are not too large are returned.
+
+def rare_links(members: list[tuple[int, int, int, bool, np.ndarray]], similarity: float, across: bool) -> list[tuple[int, int]]:
+    """Links (places of two members) between groups that a shard's texts have, whatever their fingerprints.
+
+    A member is (group, size, rest, upper, shingles): how many shingles it has, and how many that another text holds
+    from the shard's one on. Two texts can only be alike if the lesser rest makes up the likeness, where the shard's shingle is
+    their first common one. With ``across``, only upper members meet lower ones.
     """
-    rung = lambda slot, r: F.element_at("keys", (slot * rungs + r + 1).cast("int"))
-    slots = F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("slot")
-    at = distinct.where(F.size("keys") > 0).select("th", "fp", "keys", slots).select("th", "fp", "slot", F.lit(0).alias("rung"), rung(F.col("slot"), F.lit(0)).alias("key"))
-    at = written(at, "keys")
-    while True:
-        large = written(at.groupBy("slot", "key").count().where(F.col("count") > shard_rows).select("slot", "key"), "large-keys")
-        stuck = at.join(large, ["slot", "key"], "left_semi").groupBy("th", "slot").agg((F.max("rung") + 1).alias("rung")).where(F.col("rung") < rungs)
-        # those that have gone on already are left out
-        on = stuck.join(at.select("th", "slot", "rung"), ["th", "slot", "rung"], "left_anti")
-        more = on.join(distinct, "th").select("th", "fp", "slot", "rung", rung(F.col("slot"), F.col("rung")).alias("key")).where("key is not null")
-        more = written(more, "keys")
-        if more.isEmpty():
-            break
-        at = at.unionByName(more)
-    first = at.where("rung = 0")
-    later = at.where("rung > 0").join(large, ["slot", "key"], "left_anti").select(at.columns)
-    return first.unionByName(later).select("th", "fp", "slot", "key")
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 24, keys: int = 8, rungs: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    group, size, rest = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    upper = np.array([m[3] for m in members], bool)
+    low, links = np.flatnonzero(~upper), []
+    for i in np.flatnonzero(upper).tolist() if across else range(1, len(members)):
+        others = low if across else np.arange(i)
+        needed = similarity / (1 + similarity) * (size[others] + size[i]) - 1e-6
+        for j in others[(group[others] != group[i]) & (np.minimum(rest[others], rest[i]) >= needed)].tolist():
+            if group[j] != group[i] and _alike(members[i][4], members[j][4], similarity):
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
+
+
+def _rare_shards(sets: DataFrame, groups: DataFrame, similarity: float, shard_rows: int) -> DataFrame:
+    """(key, low, high, upper, th, root, size, rest, shingles): a prefix-filter join of all the sets (th, shingles).
+
+    Shingles are ordered by the number of texts that hold them, rarest first. Two sets that are alike have their first common
+    shingle so early in both that what is left of each makes up the likeness; so a set goes to the shards of its
+    early shingles only, and of those to the ones where another can be alike. Of shards with the same members the
+    one of the first shingle is kept, and none whose members are one group (th, root) already. A shard above ``shard_rows``
+    is dealt to a task for each pair of its blocks (low, high).
+    """
+
+    @F.pandas_udf("array<int>")
+    def numbers(held: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(h, "<i4") for h in held], dtype=object)
+
+    share = similarity / (1 + similarity)
+    each = written(sets.select("th", F.explode(numbers("shingles")).alias("key"), (F.length("shingles") / 4).cast("int").alias("size")), "shingles")
+    holders = each.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
+    order = Window.partitionBy("th").orderBy(F.desc("holders"), F.desc("key"))
+    early = each.join(holders, "key").withColumn("rest", F.row_number().over(order)).where(F.col("rest") >= F.col("size") * similarity - 1e-6)
+    early = written(early, "early-shingles")
+    # the smaller of two alike sets has the shingle earlier still
+    smaller = early.where(F.col("rest") >= F.col("size") * (2 * share) - 1e-6).groupBy("key").agg(F.min("size").alias("least"))
+    able = early.join(smaller, "key").where(F.col("rest") >= (F.col("size") + F.col("least")) * share - 1e-6)
+    able = written(able.join(groups, "th", "left").withColumn("root", F.coalesce("root", "th")), "able-shingles")
+    members = [F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("y")]
+    shards = able.groupBy("key", "holders").agg(*members).where("a < b")
+    shards = shards.groupBy("n", "x", "y").agg(F.min(F.struct("holders", "key")).alias("k")).select("k.key", "n")
+    blocks = F.when(F.col("n") > shard_rows, F.ceil(F.col("n") * 2 / shard_rows)).otherwise(1).cast("int")
+    dealt = able.join(shards, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("th"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select("key", low.alias("low"), high.alias("high"), (F.col("block") > F.col("other")).alias("upper"), "th", "root", "size", "rest")
+    return dealt.join(sets, "th").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "th")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, radius: int = 24, keys: int = 8, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, th, component_id) of every row, for likenesses that are too far apart for blocks of equal bits.
 
     Texts meet in shards by their smallest shingle under each of ``keys`` hashes: two of Jaccard likeness s share one with
@@ -245,11 +283,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     Jaccard likeness) within ``radius``, and a link is kept if the shingle sets themselves are at least as alike as
     ``similarity``. Texts with the same words are one text, and shards with the same members are one shard.
 
-    A shard above ``shard_rows`` has a shingle that very many texts share, such as a passage's. Its texts also meet by
-    their next smallest shingles under that hash, up to the first that is not as common (or the ``rungs``-th), so
-    what is alike besides the passage meets whatever the passage's share. The shard itself is dealt to several tasks
-    by a hash of text and key, for those whose shingles are mostly the common ones: they are alike one another and
-    share most of their keys, each dealt anew, so the parts are linked through one another.
+    A shard above ``shard_rows`` has a shingle that very many texts share, such as a passage's. It is dealt to several
+    tasks by a hash of text and key, which links groups of many near copies; then all texts of such shards also meet by a
+    prefix-filter join of their shingle sets (:func:`_rare_shards`), which is exact: it misses no pair among them,
+    whatever the passage's share and however many hold it.
     """
     need(docs, "doc_id", "text")
     small_batches(docs.sparkSession)
@@ -257,18 +294,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
 
     @F.pandas_udf("struct<fp:long,keys:array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
-        """The fingerprint, and the ``rungs`` smallest shingles under each hash, null where there are fewer."""
-        fps, ladders = [], []
+        """The fingerprint, and the smallest shingle under each hash."""
+        fps, firsts = [], []
         for t in texts:
             h = np.unique(shingle_hashes(t, words_per_shingle))
             fps.append(_bits_to_int(h))
-            ladder = []
-            for m in KEY_MULTIPLIERS[:keys] if len(h) else ():
-                x = (h ^ (h >> np.uint64(29))) * m >> np.uint64(1)
-                least = np.sort(np.partition(x, rungs - 1)[:rungs] if len(x) > rungs else x).tolist()
-                ladder += least + [None] * (rungs - len(least))
-            ladders.append(ladder)
-        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": pd.Series(ladders, dtype=object)})
+            firsts.append([int(((h ^ (h >> np.uint64(29))) * m >> np.uint64(1)).min()) for m in KEY_MULTIPLIERS[:keys]] if len(h) else [])
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": pd.Series(firsts, dtype=object)})
 
     @F.pandas_udf(T.BinaryType())
     def shingle_set(texts: pd.Series) -> pd.Series:
@@ -278,11 +310,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
             def alike(i: int, j: int) -> bool:
-                a, b = members[i][2], members[j][2]
-                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                    return False
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                return common >= similarity * (len(a) + len(b) - common)
+                return _alike(members[i][2], members[j][2], similarity)
 
             found = spanning_links([m[0] for m in members], radius, alike) if len(members) > 1 else []
             return [(members[i][1], members[j][1]) for i, j in found]
@@ -298,10 +326,26 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
             found = []
         yield pd.DataFrame(links(members), columns=["a", "b"], dtype="int64")
 
+    def search_rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(now: tuple[int, int, int] | None, members: list, names: list[int]) -> list[tuple[int, int]]:
+            return [(names[i], names[j]) for i, j in rare_links(members, similarity, now[1] != now[2])] if len(members) > 1 else []
+
+        now, members, names, found = None, [], [], []
+        for pdf in batches:
+            for key, low, high, upper, th, root, size, rest, shingles in pdf[["key", "low", "high", "upper", "th", "root", "size", "rest", "shingles"]].itertuples(index=False):
+                if (key, low, high) != now:
+                    found += links(now, members, names)
+                    now, members, names = (key, low, high), [], []
+                members.append((root, size, rest, upper, np.frombuffer(shingles, "<u4")))
+                names.append(th)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            found = []
+        yield pd.DataFrame(links(now, members, names), columns=["a", "b"], dtype="int64")
+
     described = written(docs.select("doc_id", text_key(text).alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
     distinct = described.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     distinct = written(distinct, "distinct-texts")
-    at = _shards(distinct, keys, rungs, shard_rows)
+    at = written(distinct.select("th", "fp", F.posexplode("keys").alias("slot", "key")), "keys")
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("y")]
     shards = at.groupBy("slot", "key").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("slot", "key")).alias("k")).select("k.*", "n")
     at = written(at.join(shards, ["slot", "key"]), "shards")
@@ -314,9 +358,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     other_texts = other_texts.join(owners.where("doc_id is null").select(F.col("_sl_th").alias("th")), "th", "left_semi")
     texts = named_texts.select("th", "text").unionByName(other_texts.select("th", "text"))
     sets = texts.select("th", shingle_set("text").alias("shingles")).dropDuplicates(["th"])
+    crowded = written(at.where(F.col("n") > shard_rows).select("th").distinct(), "crowded")
+    crowd = not crowded.isEmpty()
+    sets = written(sets, "shingle-sets") if crowd else sets
     parts = F.ceil(F.col("n") / shard_rows).cast("int")
     dealt = at.withColumn("part", F.pmod(F.xxhash64("th", "slot"), parts)).join(sets, "th").repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part", "fp")
-    roots = components(dealt.mapInPandas(search, "a long, b long")).select(F.col("node").alias("th"), "root")
+    links = dealt.mapInPandas(search, "a long, b long")
+    if crowd:
+        links = written(links, "links")
+        linked = written(components(links).select(F.col("node").alias("th"), "root"), "linked")
+        rare = _rare_shards(sets.join(crowded, "th", "left_semi"), linked, similarity, shard_rows)
+        links = links.unionByName(rare.mapInPandas(search_rare, "a long, b long"))
+    roots = components(links).select(F.col("node").alias("th"), "root")
     rooted = distinct.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
     return described.select("doc_id", "th").join(named, "th")

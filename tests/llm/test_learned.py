@@ -152,6 +152,34 @@ def test_near_copies_that_share_a_passage(spark, documents):
     assert got == want
 
 
+@pytest.mark.parametrize("share", [75, 80, 85])
+def test_lone_pairs_that_share_a_passage(spark, documents, share):
+    """Pairs just above the threshold, alike in little besides a passage that all texts hold, more than a shard takes."""
+    rng = random.Random(share)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = " ".join(word() for _ in range(3 * share + 4)), {}
+    for n in range(60):
+        shared = " ".join(word() for _ in range(273 - 3 * share + n % 5))
+        texts |= {2 * n + side: f"{passage} {shared} {' '.join(word() for _ in range(27 - n % 5))}" for side in (0, 1)}
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 60
+    got = simhash.similar_groups(documents(list(texts.items())), shard_rows=8).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_crowded_texts_of_any_length(spark, documents, seed):
+    """Texts that hold more or less of one passage: blocks of crowded shards meet, and links are those of brute force."""
+    rng = random.Random(seed)
+    passage, texts = [f"p{i}" for i in range(200)], {}
+    for n in range(150):
+        at, long = rng.randrange(60), rng.randrange(100, 200)
+        texts[n] = " ".join(passage[at : at + long] + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60))])
+    want = brute_classes(texts)
+    got = simhash.similar_groups(documents(list(texts.items())), shard_rows=4).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == want
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what the stage before it kept."""
     from tests.llm.test_exact import brute_base, brute_lines
