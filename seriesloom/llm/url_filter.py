@@ -4,8 +4,9 @@ A rule is a host with a path prefix; it fits the host and all its subdomains; th
 Where none fits, host labels are split into words by a unigram Viterbi search, and multinomial naive Bayes over the
 words and the path's tokens decides; it learns from the URLs that a rule covers, all of them.
 
-Word counts come from all pages' visible text. The word list and the token list are broadcast; each holds only what
-makes up at least one in ``WORD_SHARE`` (``TOKEN_SHARE``) of all occurrences, so neither can have more entries than that.
+Word counts come from all pages' visible text. All words and all tokens count, however rare; neither list is collected or
+broadcast: the stretches of each distinct host are joined with the word counts, and the tokens of each distinct
+host and path with the tokens' odds.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the prior;
 equal scores allow; rows that repeat are judged alike; with no URL under a rule, all others are allowed.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,10 +24,9 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, need, written
 
-WORD_SHARE = 20_000
-TOKEN_SHARE = 50_000
 LONGEST_WORD = 24
-MEMO_ENTRIES = 50_000
+PIECES = re.compile(r"[a-z]+|[0-9]+")
+PARTS = re.compile(r"[^\W_]+")
 
 #: The production rules: (verdict, host and path). Fixed values.
 RULES = [
@@ -59,14 +58,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return (none, none) if rule is None else (rule, verdict)
 
 
-def word_counts(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Log probabilities of the words that make up at least one in WORD_SHARE of the pages' visible words."""
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n): all words of the pages' visible text."""
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("word")).where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
-    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") * WORD_SHARE >= total).collect()  # at most WORD_SHARE rows
-    return {r["word"]: math.log(r["n"] / total) for r in kept}
+    return written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
 def segment(name: str, words: dict[str, float], unknown: float = -12.0) -> list[str]:
@@ -89,61 +85,76 @@ def segment(name: str, words: dict[str, float], unknown: float = -12.0) -> list[
     return parts[::-1]
 
 
-def tokens(model, host: Column, path: Column) -> Column:
-    """Words of the host's labels, and the path's tokens with numbers by their length. model: broadcast words."""
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, words): the words of each distinct host's labels, split by the counts (word, n) of its own stretches."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        memo: dict[str, list[str]] = {}
-        pieces, parts = re.compile(r"[a-z]+|[0-9]+").findall, re.compile(r"[^\W_]+").findall
+    def stretches(names: pd.Series) -> pd.Series:
+        """All stretches of letters that may be words."""
+        return pd.Series([list({p[i:j] for p in PIECES.findall(h) if p[0] > "9" for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1)}) for h in names], dtype=object)
 
-        def words_of(host: str) -> list[str]:
-            if (found := memo.get(host)) is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                found = memo[host] = ["h:" + w for p in pieces(host) for w in (segment(p, model.value) if p[0] > "9" else [f"#{len(p)}"])]
-            return found
+    total = counts.agg(F.sum("n")).first()[0] or 0
 
-        for hosts, paths in batches:
-            yield pd.Series([words_of(h) + [f"p:#{len(t)}" if t.isdecimal() else "p:" + t for t in parts(p.lower())] for h, p in zip(hosts, paths, strict=True)], dtype=object)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(names: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
+        out = []
+        for host, known, n in zip(names, words, times, strict=True):
+            costs = {} if known is None else {w: math.log(k / total) for w, k in zip(known, n, strict=True)}
+            out.append(["h:" + w for p in PIECES.findall(host) for w in (segment(p, costs) if p[0] > "9" else [f"#{len(p)}"])])
+        return pd.Series(out, dtype=object)
 
-    return split(host, path)
+    each = hosts.select("host").distinct()
+    found = each.select("host", F.explode(stretches("host")).alias("word")).join(counts, "word")
+    known = found.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return each.join(known, "host", "left").select("host", split("host", F.col("known.word"), F.col("known.n")).alias("words"))
 
 
-def naive_bayes(labelled: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds of block against allow for each token, and the prior's, from rows (tokens, verdict)."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def path_tokens(paths: pd.Series) -> pd.Series:
+    """The path's tokens, numbers by their length."""
+    return pd.Series([[f"p:#{len(t)}" if t.isdecimal() else "p:" + t for t in PARTS.findall(p.lower())] for p in paths], dtype=object)
+
+
+def token_odds(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """(token, odds): log odds of block against allow for each token; and the prior's, from rows (tokens, verdict)."""
     blocked = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("block")
     prior = labelled.agg(F.count("*").alias("all"), blocked).first()
     counts = labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("all"), blocked)
     counts = written(counts, "tokens")
-    totals = counts.agg(F.sum("all").alias("all"), F.sum("block").alias("block")).first()
-    n, bad = totals["all"] or 0, totals["block"] or 0
-    kept = counts.where(F.col("all") * TOKEN_SHARE >= n).collect()  # at most TOKEN_SHARE rows
-    v = len(kept) + 1
-    odds = {r["token"]: math.log((r["block"] + 1) / (bad + v)) - math.log((r["all"] - r["block"] + 1) / (n - bad + v)) for r in kept}
+    totals = counts.agg(F.sum("all").alias("all"), F.sum("block").alias("block"), F.count("*").alias("kinds")).first()
+    n, bad, v = totals["all"] or 0, totals["block"] or 0, totals["kinds"] + 1
+    odds = F.log((F.col("block") + 1) / F.lit(float(bad + v))) - F.log((F.col("all") - F.col("block") + 1) / F.lit(float(n - bad + v)))
     some = prior["all"] or 0
-    return odds, math.log(((prior["block"] or 0) + 1) / (some - (prior["block"] or 0) + 1)) if some else 0.0
+    return counts.select("token", odds.alias("odds")), math.log(((prior["block"] or 0) + 1) / (some - (prior["block"] or 0) + 1)) if some else 0.0
+
+
+def naive_bayes(labelled: DataFrame) -> tuple[dict[str, float], float]:
+    """:func:`token_odds` of a small table, as a dictionary; the filter itself joins the odds."""
+    odds, prior = token_odds(labelled)
+    return {r["token"]: r["odds"] for r in odds.collect()}, prior
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page; score: log odds of block, where no rule fits."""
     need(pages, "page_id", "url", "html")
-    sc = pages.sparkSession.sparkContext
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    words = sc.broadcast(word_counts(pages))
-    cut = parts.withColumns({"rule": rule, "says": says, "tokens": tokens(words, F.col("host"), F.col("path"))})
-    judged = written(cut, "urls")
-    odds, prior = naive_bayes(judged.where("says is not null").select("tokens", F.col("says").alias("verdict")))
-    model = sc.broadcast(odds)
-
-    @F.pandas_udf(T.DoubleType())
-    def score(rows: pd.Series) -> pd.Series:
-        get = model.value.get
-        return pd.Series([prior + sum(get(t, 0.0) for t in row) for row in rows], dtype=float)
-
-    by_model = judged.withColumn("score", F.when(F.col("says").isNull(), score("tokens")))
+    cut = written(parts.withColumns({"rule": rule, "says": says}), "urls")
+    words = written(host_words(cut, word_counts(pages)), "host-words")
+    same = ["host", "path"]
+    urls = cut.groupBy(*same, "says").agg(F.count("*").alias("times")).join(words, "host")
+    urls = written(urls.select(*same, "says", "times", F.concat("words", path_tokens("path")).alias("tokens")), "url-tokens")
+    labelled = urls.where("says is not null").select("tokens", F.col("says").alias("verdict"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    odds, prior = token_odds(labelled)
+    # summed in the order of the tokens, so that scores are equal whatever the order of rows
+    open_urls = urls.where("says is null")
+    found = open_urls.select(*same, F.posexplode("tokens").alias("at", "token")).join(odds, "token")
+    found = found.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("found"))
+    total = F.aggregate("found", F.lit(0.0), lambda x, f: x + f["odds"])
+    scores = open_urls.select(*same).join(found, same, "left").select(*same, (F.lit(prior) + F.coalesce(total, F.lit(0.0))).alias("model"))
+    judged = cut.join(scores, same, "left")
+    by_model = judged.withColumn("score", F.when(F.col("says").isNull(), F.col("model")))
     verdict = F.coalesce("says", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return by_model.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

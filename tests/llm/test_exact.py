@@ -1,6 +1,7 @@
 """Operators with exact contracts, against brute force and libraries on whole small tables and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -334,6 +335,17 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, rules=[]).collect()} == {"allow"}
 
 
+def test_rare_words_and_tokens_count(spark):
+    """A host's word and a path's token that are rare among very many others are known all the same."""
+    html = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}q" for i in range(60_000)) + " casino win" * 2
+    rows = [(0, "http://casinowin.example.com/seldom", html), (500, "http://1/seldom", None), *((i, f"http://block.me/seldom/{chr(97 + i % 26)}", "") for i in range(1, 3)), *((i, "http://other.org/" + "/".join(f"t{i}x{k}" for k in range(1000)), "") for i in range(3, 160))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = url_filter.host_words(spark.createDataFrame([("casinowin.example.com",)], "host string"), url_filter.word_counts(pages)).first().words
+    assert words[:2] == ["h:casino", "h:win"]
+    got = {r.page_id: r for r in url_filter.url_filter(pages, rules=[("block", "me/"), ("allow", "org/")]).collect()}
+    assert got[500].score > math.log(3 / 158) + 1
+
+
 def test_segmentation():
     import math
 
