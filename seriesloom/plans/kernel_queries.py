@@ -56,16 +56,16 @@ def ljung_box_p(spark, sf_dir):
     return dependence.ljung_box(eligible(spark, sf_dir)).withColumn("p", series_kernels.chi2_tail("q", "order"))
 
 
-def _forecast(name: str, names: list[str], horizons: tuple[int, ...], settings: dict | None = None):
+def _forecast(name: str, names: list[str], horizons: tuple[int, ...]):
     @query(name)
     def run(spark, sf_dir):
-        return forecasts.task_metrics(series_kernels.forecast_tasks(eligible(spark, sf_dir), names, horizons, settings=settings))
+        return forecasts.task_metrics(series_kernels.forecast_tasks(eligible(spark, sf_dir), names, horizons))
 
 
 _forecast("ridge_forecast", ["naive_zero", "naive_mean", "ridge_lag"], (1, 5, 20))
-_forecast("esn_forecast", ["esn", "chaotic_esn", "transient_chaotic_esn"], (5,))
-_forecast("mlp_forecast", ["vanilla_mlp", "chaotic_mlp", "chaotic_logistic_net"], (5,))
-_forecast("lstm_forecast", ["lstm_forecast", "chaotic_lstm_forecast"], (20,), {"lstm_forecast": {"epochs": 6}, "chaotic_lstm_forecast": {"epochs": 6}})
+_forecast("esn_forecast", ["esn", "chaotic_esn", "transient_chaotic_esn"], (1, 5, 20))
+_forecast("mlp_forecast", ["vanilla_mlp", "chaotic_mlp", "chaotic_logistic_net"], (1, 5, 20))
+_forecast("lstm_forecast", ["lstm_forecast", "chaotic_lstm_forecast"], (1, 5, 20))
 
 
 @query("speed_summary")
@@ -79,22 +79,22 @@ def _matrix(spark, sf_dir):
 
 @query("gmm_clusters")
 def gmm_clusters(spark, sf_dir):
-    return series_kernels.cluster_grid(_matrix(spark, sf_dir), dims=(4,), methods=("gmm",))
+    return series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("gmm",))
 
 
 @query("ward_clusters")
 def ward_clusters(spark, sf_dir):
-    return series_kernels.cluster_grid(_matrix(spark, sf_dir), dims=(4,), methods=("ward",))
+    return series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("ward",))
 
 
 @query("cluster_grid_balance")
 def cluster_grid_balance(spark, sf_dir):
-    return clusters.balance(series_kernels.cluster_grid(_matrix(spark, sf_dir), dims=(2, 4)))
+    return clusters.balance(series_kernels.cluster_grid(_matrix(spark, sf_dir)))
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf_dir):
-    runs = series_kernels.cluster_grid(_matrix(spark, sf_dir), dims=(4,), ks=(3, 5), bootstraps=10)
+    runs = series_kernels.cluster_grid(_matrix(spark, sf_dir), bootstraps=30)
     return runs.groupBy("config").agg(F.count("*").alias("n"), F.avg("ari").alias("ari_mean"), F.stddev_samp("ari").alias("ari_std"))
 
 

@@ -227,3 +227,23 @@ def test_routing(spark):
 def test_keep_last(spark):
     rows = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "k int, o int, v string")
     assert by_cluster.keep_last(rows, ["k"], "o").first().v == "y"
+
+
+def test_kernel_queries_run_whole_jobs(spark, monkeypatch):
+    """Registered over all horizons, the models' own settings, the whole grid and 30 bootstraps."""
+    from unittest.mock import MagicMock
+
+    from seriesloom.plans import kernel_queries as k
+
+    tasks, grid = MagicMock(), MagicMock()
+    monkeypatch.setattr(k.series_kernels, "forecast_tasks", tasks)
+    monkeypatch.setattr(k.series_kernels, "cluster_grid", grid)
+    monkeypatch.setattr(k.forecasts, "task_metrics", MagicMock())
+    monkeypatch.setattr(k.clusters, "balance", MagicMock())
+    for name in ("esn_forecast", "mlp_forecast", "lstm_forecast"):
+        k.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert tasks.call_args.args[2] == (1, 5, 20) and not tasks.call_args.kwargs.get("settings")
+    for name in ("gmm_clusters", "ward_clusters", "cluster_grid_balance", "bootstrap_stability"):
+        k.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not {"dims", "ks"} & set(grid.call_args.kwargs)
+    assert grid.call_args.kwargs["bootstraps"] == 30
