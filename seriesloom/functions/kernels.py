@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+from statistics import NormalDist
+
 import numpy as np
 
 # ---- special functions -------------------------------------------------------------------------------------------
@@ -245,14 +247,47 @@ def principal(x: np.ndarray, k: int) -> np.ndarray:
     return c @ vt[:k].T
 
 
+def robust(x: np.ndarray) -> np.ndarray:
+    """(value - median) / quartile range of each column; a range of zero divides by one."""
+    low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+    return (x - mid) / np.where(high > low, high - low, 1.0)
+
+
+def normal_scores(x: np.ndarray) -> np.ndarray:
+    """Each column's values as normal quantiles of their mean ranks."""
+    out, probit = np.empty(x.shape), NormalDist().inv_cdf
+    for c in range(x.shape[1]):
+        _, at, times = np.unique(x[:, c], return_inverse=True, return_counts=True)
+        rank = np.cumsum(times) - (times - 1) / 2
+        out[:, c] = np.array([probit((r - 0.5) / len(x)) for r in rank])[at]
+    return out
+
+
+SCALERS = {"identity": lambda x: x, "robust": robust, "quantile": normal_scores}
+
+
 def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by merging the two whose union costs least variance, updating distances as clusters grow."""
+    """Labels of k clusters by merging the two whose union costs least variance.
+
+    Follows chains of nearest neighbours, so it takes time in the square of the rows; it holds their squared distances.
+    """
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    square = (x * x).sum(axis=1)
+    d = np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0)
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - min(k, n)):
-        i, j = sorted(divmod(int(d.argmin()), n))
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
+        merges.append((d[i, j], i, j))
         rest = alive.copy()
         rest[[i, j]] = False
         s = size[rest]
@@ -261,12 +296,14 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
         d[j, :] = d[:, j] = np.inf
         size[i] += size[j]
         alive[j] = False
-        label[label == j] = i
+    label = np.arange(n)
+    for _, i, j in sorted(merges)[: n - min(k, n)]:
+        label[label == label[j]] = label[i]
     return np.unique(label, return_inverse=True)[1]
 
 
-def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and largest probabilities of the best of several full-covariance fits."""
+def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, largest probabilities and entropies of the best of several full-covariance fits."""
     rng, best = np.random.default_rng(seed), (-np.inf, None)
     n, m = x.shape
     k = min(k, n)
@@ -291,7 +328,8 @@ def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100,
             before = total.mean()
         if total.mean() > best[0]:
             best = (total.mean(), resp)
-    return best[1].argmax(axis=1), best[1].max(axis=1)
+    sure = best[1]
+    return sure.argmax(axis=1), sure.max(axis=1), -(sure * np.log(np.maximum(sure, 1e-300))).sum(axis=1)
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
@@ -302,3 +340,13 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     expected = rows * cols / all_ if all_ else 0.0
     top = (rows + cols) / 2
     return float((two(cells) - expected) / (top - expected)) if top != expected else 1.0
+
+
+def normalised_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information of two labellings over the mean of their entropies; one where both are constant."""
+    cells = np.zeros((a.max() + 1, b.max() + 1))
+    np.add.at(cells, (a, b), 1)
+    p = cells / cells.sum()
+    entropy = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+    rows, cols, both = entropy(p.sum(axis=1)), entropy(p.sum(axis=0)), entropy(p.ravel())
+    return float(2 * (rows + cols - both) / (rows + cols)) if rows + cols > 0 else 1.0

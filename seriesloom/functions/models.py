@@ -140,10 +140,11 @@ class Trained:
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         rng = np.random.default_rng(self.seed)
         self.mx, self.sx, self.my, self.sy = x.mean(), max(x.std(), 1e-12), y.mean(), max(y.std(), 1e-12)
-        z, t = (x - self.mx) / self.sx, (y - self.my) / self.sy
+        z, t = ((x - self.mx) / self.sx).astype(np.float32), ((y - self.my) / self.sy).astype(np.float32)
         held = max(1, len(z) // 5)
         zt, tt, zv, tv = z[:-held], t[:-held], z[-held:], t[-held:]
         self.start(x.shape[1], rng)
+        self.params = {k: v.astype(np.float32) for k, v in self.params.items()}
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
         best, kept, bad, step = np.inf, None, 0, 0
@@ -153,10 +154,10 @@ class Trained:
                 pick = order[at : at + self.batch]
                 out, cache = self.forward(zt[pick])
                 step += 1
-                for k, g in self.backward(cache, 2 * (out - tt[pick]) / len(pick)).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    s[k] = 0.999 * s[k] + 0.001 * g * g
-                    self.params[k] -= self.rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+                for k, g in self.backward(cache, (out - tt[pick]) * np.float32(2 / len(pick))).items():
+                    m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g
+                    s[k] = np.float32(0.999) * s[k] + np.float32(0.001) * g * g
+                    self.params[k] -= np.float32(self.rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
             loss = float(((self.forward(zv)[0] - tv) ** 2).mean())
             if loss < best - 1e-9:
                 best, kept, bad = loss, {k: v.copy() for k, v in self.params.items()}, 0
@@ -167,7 +168,7 @@ class Trained:
         self.params = kept or self.params
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.mx) / self.sx)[0] * self.sy + self.my
+        return self.forward(((x - self.mx) / self.sx).astype(np.float32))[0].astype(float) * self.sy + self.my
 
 
 @dataclass
@@ -186,7 +187,7 @@ class Perceptron(Trained):
 
     def _act(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.chaos is None:
-            return np.maximum(u, 0), (u > 0).astype(float)
+            return np.maximum(u, 0), (u > 0).astype(u.dtype)
         t = np.tanh(u)
         v = (t + 1) / 2
         return 2 * self.chaos * v * (1 - v) - 1, self.chaos * (1 - 2 * v) * (1 - t * t)
@@ -235,7 +236,7 @@ class Lstm(Trained):
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, object]:
         n = self.size
-        h = c = np.zeros((len(x), n))
+        h = c = np.zeros((len(x), n), x.dtype)
         steps = []
         for t in range(x.shape[1]):
             z = np.hstack([x[:, t, None], h])

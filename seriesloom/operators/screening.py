@@ -66,15 +66,73 @@ def correlated_pairs(features: DataFrame, threshold: float = CORRELATED) -> Data
     return both.where(strength >= threshold).withColumn("relation", relation)
 
 
-def screening(quality: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A status for each feature: all missing, much missing, hardly varying, correlated, or keep."""
-    ends = pairs.select(F.col("feature_1").alias("feature")).union(pairs.select("feature_2")).distinct().withColumn("correlated", F.lit(True))
-    rows = quality.join(ends, "feature", "left").withColumn("correlated", F.coalesce("correlated", F.lit(False)))
-    status = (
-        F.when(F.col("missing_rate") >= 0.99, "drop_candidate").when(F.col("high_missing"), "review_high_missing")
-        .when(F.col("near_constant") | F.col("low_variance"), "review_low_variance").when(F.col("correlated"), "review_highly_correlated").otherwise("keep_candidate")
+def warning_coverage(blocks: dict[str, DataFrame], flags: str = "feature_warning_flags") -> DataFrame:
+    """(block, warning_coverage): the share of each block's rows that carry a flag."""
+    out = None
+    for name, df in blocks.items():
+        part = df.agg(F.avg(F.when(F.coalesce(F.trim(flags), F.lit("")) != "", 1.0).otherwise(0.0)).alias("warning_coverage")).select(F.lit(name).alias("block"), "warning_coverage")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def screening(quality: DataFrame, pairs: DataFrame, block_of: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+    """A status and notes for each feature: all missing, much missing, hardly varying, heavy with warnings, correlated, or keep.
+
+    block_of: (feature, block); coverage: (block, warning_coverage). Features of block D with many warnings are held in reserve.
+    """
+    ends = pairs.select(F.col("feature_1").alias("feature"), F.col("feature_2").alias("partner")).union(pairs.select("feature_2", "feature_1"))
+    ends = ends.groupBy("feature").agg(F.min("partner").alias("partner"))
+    rows = quality.join(ends, "feature", "left").withColumn("correlated", F.col("partner").isNotNull())
+    rows = rows.join(block_of, "feature", "left") if block_of is not None else rows.withColumn("block", F.lit(None).cast("string"))
+    rows = rows.join(coverage, "block", "left") if coverage is not None else rows.withColumn("warning_coverage", F.lit(0.0))
+    heavy = F.coalesce(F.col("warning_coverage") >= WARNING_HEAVY, F.lit(False))
+    cases = [
+        (F.col("missing_rate") >= 0.99, "drop_candidate", F.lit("all values missing")),
+        (F.col("high_missing"), "review_high_missing", F.lit("high missingness")),
+        (F.col("near_constant") | F.col("low_variance"), "review_low_variance", F.lit("very low variance")),
+        (heavy & F.coalesce(F.col("block") == "D", F.lit(False)), "reserve_candidate", F.lit("heavy warning coverage in block D")),
+        (heavy, "review_warning_heavy", F.lit("heavy warning coverage")),
+        (F.col("correlated"), "review_highly_correlated", F.concat(F.lit("highly correlated with "), "partner")),
+    ]
+    status, note = F.when(*[(c, F.lit(n)) for c, n, _ in cases[:1]][0]), F.when(cases[0][0], cases[0][2])
+    for c, n, t in cases[1:]:
+        status, note = status.when(c, n), note.when(c, t)
+    rows = rows.withColumns({"status": status.otherwise("keep_candidate"), "note": note.otherwise("no major issues detected")})
+    also = F.when(F.col("correlated") & ~F.col("status").isin("review_highly_correlated", "drop_candidate"), F.concat(F.lit("highly correlated with "), "partner"))
+    return rows.withColumn("notes", F.concat_ws("; ", "note", also)).drop("note")
+
+
+INCLUDED = ("keep_candidate", "review_highly_correlated", "reserve_candidate")
+EXCLUDED = ("review_high_missing", "review_low_variance", "drop_candidate")
+
+
+def candidate_pool(screened: DataFrame) -> DataFrame:
+    """Whether each feature's status lets it into the pool, and why."""
+    inside = F.col("status").isin(*INCLUDED)
+    reason = F.when(inside, "included_by_screening_status").when(F.col("status").isin(*EXCLUDED), "excluded_by_screening_status").otherwise("excluded_not_whitelisted")
+    return screened.select("feature", "block", "status", inside.alias("included"), reason.alias("reason"))
+
+
+def interpretability(feature: str = "feature"):
+    """How easily a feature is explained, by its name: long lags cost, summaries and spectra gain."""
+    name = F.col(feature)
+    named = lambda *parts: F.when(F.greatest(*(F.coalesce(F.contains(name, F.lit(p)), F.lit(False)) for p in parts)), 1.0).otherwise(0.0)
+    lag = F.expr(f"try_cast(element_at(split({feature}, '_lag_'), -1) AS INT)")
+    return (
+        F.when(name.startswith("iacf_"), 2.5).otherwise(0.0) - F.when(name.startswith("acf_lag_") | name.startswith("abs_acf_lag_"), 2.0).otherwise(0.0)
+        + F.when(name.startswith("lb_"), 0.5).otherwise(0.0) + named("spectral_", "entropy", "kurtosis", "tail_ratio") + named("largest_lyapunov_exponent", "correlation_dimension")
+        - F.when(F.contains(name, F.lit("_lag_")) & lag.isNotNull(), F.least(lag / 100.0, F.lit(2.0))).otherwise(0.0)
     )
-    return rows.withColumn("status", status)
+
+
+def consolidated_sets(screened: DataFrame, chosen: DataFrame, groups: DataFrame) -> DataFrame:
+    """(set_name, feature, block, status): pooled features outside any group, and one of each group; block D only in the extended set."""
+    pool = candidate_pool(screened).where("included").select("feature", "block", "status")
+    single = pool.join(groups.select("feature"), "feature", "left_anti")
+    picked = pool.join(chosen.select(F.col("representative").alias("feature")), "feature", "left_semi")
+    every = single.unionByName(picked)
+    sets = F.when(F.coalesce(F.col("block") == "D", F.lit(False)), F.array(F.lit("with_chaos"))).otherwise(F.array(F.lit("base"), F.lit("with_chaos")))
+    return every.select(F.explode(sets).alias("set_name"), "feature", "block", "status")
 
 
 def feature_groups(pairs: DataFrame) -> DataFrame:
@@ -97,12 +155,13 @@ def feature_groups(pairs: DataFrame) -> DataFrame:
 
 
 def representatives(groups: DataFrame, screened: DataFrame) -> DataFrame:
-    """The member to keep of each group: best status, least missing, largest deviation, shortest and smallest name."""
+    """The member to keep of each group: best status, fewest missing and warnings, largest deviation, easiest to explain, shortest and smallest name."""
     order = {"keep_candidate": 0, "reserve_candidate": 1, "review_highly_correlated": 2}
-    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("status")], F.lit(3))
+    rank = F.coalesce(F.create_map(*(F.lit(x) for kv in order.items() for x in kv))[F.col("status")], F.lit(4))
     rows = groups.join(screened, "feature").withColumn("size", F.count("*").over(Window.partitionBy("root")))
-    nth = F.row_number().over(Window.partitionBy("root").orderBy(rank, "missing_rate", F.desc_nulls_last("std"), F.length("feature"), "feature"))
-    return rows.withColumn("nth", nth).where("nth = 1").select("root", "size", F.col("feature").alias("representative"))
+    filled = lambda c, x: F.coalesce(F.col(c), F.lit(x))
+    own = Window.partitionBy("root").orderBy(rank, filled("missing_rate", 1.0), filled("warning_coverage", 1.0), F.desc(filled("std", 0.0)), F.desc(interpretability()), F.length("feature"), "feature")
+    return rows.withColumn("nth", F.row_number().over(own)).where("nth = 1").select("root", "size", F.col("feature").alias("representative"))
 
 
 def scaling_plan(features: DataFrame) -> DataFrame:
@@ -140,18 +199,31 @@ def class_information(features: DataFrame, labels: DataFrame, bins: int = 5) ->
     return cells.groupBy("feature").agg(F.sum(F.col("k") / F.col("n") * F.log(F.col("k") * F.col("n") / (F.col("ki") * F.col("kj")))).alias("information"))
 
 
-def correlation_prune(pairs: DataFrame, names: list[str]) -> list[str]:
-    """Names that stay when, pair by pair in order of names, the one more correlated on average goes.
+def pearson_pairs(features: DataFrame) -> DataFrame:
+    """(feature_1, feature_2, r): absolute Pearson correlation of every two features over common rows; null where one is constant.
+
+    Each feature also stands with itself, so that a mean over a feature's rows is over all features.
+    """
+    rows = features.where("value is not null")
+    a = rows.select("series_id", F.col("feature").alias("feature_1"), F.col("value").alias("x"))
+    b = rows.select("series_id", F.col("feature").alias("feature_2"), F.col("value").alias("y"))
+    r = divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return a.join(b, "series_id").where("feature_1 <= feature_2").groupBy("feature_1", "feature_2").agg(F.abs(r).alias("r"))
+
+
+def correlation_prune(features: DataFrame, threshold: float = CORRELATED) -> list[str]:
+    """Names that stay when, pair by pair in order of names, of two correlated ones that with the larger mean over all features goes.
 
-    pairs: correlated pairs with ``pearson``; there are as many names as the feature table has columns.
+    There are as many names as the feature table has columns, so the pairs are read by the driver.
     """
-    found = {(r["feature_1"], r["feature_2"]): abs(r["pearson"] or 0.0) for r in pairs.select("feature_1", "feature_2", "pearson").collect()}
-    mean = {n: sum(v for k, v in found.items() if n in k) / max(len(names) - 1, 1) for n in names}
+    found = {(r["feature_1"], r["feature_2"]): round(r["r"] or 0.0, 12) for r in pearson_pairs(features).collect()}
+    names = sorted({n for k in found for n in k})
+    mean = {n: round(sum(v for k, v in found.items() if n in k) / len(names), 12) for n in names}
     gone: set[str] = set()
-    for a, b in sorted(found):
-        if a not in gone and b not in gone:
+    for (a, b), v in sorted(found.items()):
+        if a != b and v > threshold and a not in gone and b not in gone:
             gone.add(a if mean[a] > mean[b] else b)
-    return [n for n in sorted(names) if n not in gone]
+    return [n for n in names if n not in gone]
 
 
 def quantile_normal(features: DataFrame) -> DataFrame:

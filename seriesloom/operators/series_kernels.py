@@ -18,6 +18,13 @@ from ..functions import kernels, models
 from .returns import FOLDS, WINDOWS
 
 MATRIX_BYTES = 64 << 20
+#: Ward holds the squared distances of all rows in one task: at most 8,192 rows.
+WARD_BYTES = 512 << 20
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by the keys to a fixed number of tasks: few rows that each cost much time must not be put together."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def as_arrays(returns: DataFrame) -> DataFrame:
@@ -42,7 +49,7 @@ def _each(arrays: DataFrame, kernel, fields: str) -> DataFrame:
                 out.append((sid, *(found.get(n) for n in names), status))
             yield pd.DataFrame(out, columns=["series_id", *names, "status"])
 
-    return arrays.repartition("series_id").mapInPandas(run, f"series_id string, {fields}, status string")
+    return spread(arrays, "series_id").mapInPandas(run, f"series_id string, {fields}, status string")
 
 
 def spectral_features(returns: DataFrame) -> DataFrame:
@@ -115,8 +122,7 @@ def forecast_tasks(returns: DataFrame, names: Sequence[str], horizons: Sequence[
                     rows = {"i": np.arange(at, at + test), "y": y[at : at + test], "prediction": p}
                     yield pd.DataFrame(rows).assign(series_id=sid, horizon=h, model=name, fold=fold, train_mean=y[:at].mean(), train_step=np.abs(np.diff(y[:at])).mean(), seconds=time.perf_counter() - began, status=status)[columns]
 
-    spread = tasks.repartition("series_id", "horizon", "model")
-    return spread.mapInPandas(run, "series_id string, horizon int, model string, fold int, i long, y double, prediction double, train_mean double, train_step double, seconds double, status string")
+    return spread(tasks, "series_id", "horizon", "model").mapInPandas(run, "series_id string, horizon int, model string, fold int, i long, y double, prediction double, train_mean double, train_step double, seconds double, status string")
 
 
 def tune(returns: DataFrame, name: str, candidates: dict[str, dict], horizons: Sequence[int] = (5,)) -> DataFrame:
@@ -167,32 +173,51 @@ def speed_summary(predictions: DataFrame) -> DataFrame:
     return tasks.groupBy("model").agg(F.count("*").alias("n_tasks"), F.sum("seconds").alias("seconds"), F.count_if(F.col("status") != "success").alias("n_failed"))
 
 
-def cluster_grid(matrix: DataFrame, dims: Sequence[int] = (2, 3, 4, 5, 6), ks: Sequence[int] = range(2, 9), methods: Sequence[str] = ("gmm", "ward"), bootstraps: int = 0, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Labels of every configuration (axes, clusters, method), a configuration in each task.
+def grid_configs(scalers: Sequence[str], dims: Sequence[int | None], ks: Sequence[int], methods: Sequence[str]) -> list[tuple]:
+    """(config, scaler, axes or 0 for the original space, clusters, method) of every combination."""
+    return [(f"{s}_{f'pca{d}' if d else 'original'}_{m}_{k}", s, d or 0, k, m) for s in scalers for d in dims for m in methods for k in ks]
+
+
+def cluster_grid(
+    matrix: DataFrame, scalers: Sequence[str] = ("identity", "robust", "quantile"), dims: Sequence[int | None] = (None, 2, 3, 4, 5, 6), ks: Sequence[int] = range(2, 9), methods: Sequence[str] = ("gmm", "ward"), bootstraps: int = 0, share: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """Labels of every configuration (scaler, axes, method, clusters), a configuration in each task.
 
-    matrix: rows (point, vector), the feature table of a screened panel. It is broadcast, so its size is checked. With bootstraps, rows give
+    matrix: rows (point, vector), the feature table of a screened panel; missing components take their column's median. It is broadcast,
+    so its size is checked. A configuration that fails is one row with its error in ``status``. With bootstraps, rows give
     the agreement of fits on subsamples with the fit on all instead.
     """
     rows = matrix.select("point", "vector").where("vector is not null")
     n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
     if n and n * width * 8 > MATRIX_BYTES:
         raise ValueError(f"a matrix of {n} rows is too large to be clustered in one task; at most {MATRIX_BYTES} bytes")
+    if "ward" in methods and n * n * 8 > WARD_BYTES:
+        raise ValueError(f"Ward holds {n} x {n} distances in one task; at most {WARD_BYTES} bytes")
     local = rows.orderBy("point").collect()
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["point"] for r in local]), np.array([r["vector"] for r in local], float)))
-    grid = [(f"pca{d}_{m}_{k}", d, k, m, b) for d in dims for k in ks for m in methods for b in (range(1, bootstraps + 1) if bootstraps else [0])]
-    configs = rows.sparkSession.createDataFrame(grid, "config string, d int, k int, method string, nth int").repartition(min(len(grid), 200), "config", "nth")
-
-    def fit(x: np.ndarray, d: int, k: int, method: str, nth: int) -> tuple[np.ndarray, np.ndarray]:
-        z = kernels.principal((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12), min(d, *x.shape))
-        return kernels.gaussian_mixture(z, k, seed=seed + nth) if method == "gmm" else (kernels.ward(z, k), np.ones(len(z)))
+    values = np.array([r["vector"] for r in local], float).reshape(len(local), -1)
+    if np.isnan(values).any():
+        values = np.where(np.isnan(values), np.nanmedian(values, axis=0), values)
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["point"] for r in local]), values))
+    grid = [(*c, b) for c in grid_configs(scalers, dims, ks, methods) for b in (range(1, bootstraps + 1) if bootstraps else [0])]
+    configs = rows.sparkSession.createDataFrame(grid, "config string, scaler string, d int, k int, method string, nth int").repartition(min(len(grid), 200), "config", "nth")
+
+    def fit(x: np.ndarray, c, nth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z = kernels.SCALERS[c.scaler](x)
+        z = kernels.principal(z, min(c.d, *z.shape)) if c.d else z
+        if c.method == "ward":
+            return kernels.ward(z, c.k), np.ones(len(z)), np.zeros(len(z))
+        return kernels.gaussian_mixture(z, c.k, seed=seed + nth)
 
     def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, x = shared.value
         for pdf in batches:
             for c in pdf.itertuples(index=False):
                 if len(points) > c.k:
-                    own, sure = fit(x, c.d, c.k, c.method, 0)
-                    yield pd.DataFrame({"config": c.config, "point": points, "cluster": own, "confidence": sure})
+                    try:
+                        own, sure, entropy = fit(x, c, 0)
+                        yield pd.DataFrame({"config": c.config, "point": points, "cluster": own, "confidence": sure, "entropy": entropy, "status": "success"})
+                    except Exception as e:  # noqa: BLE001  one configuration's error is a row, not the job's end
+                        yield pd.DataFrame({"config": [c.config], "point": [None], "cluster": [None], "confidence": [None], "entropy": [None], "status": [f"failed: {type(e).__name__}"]})
 
     def stability(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         points, x = shared.value
@@ -200,10 +225,43 @@ def cluster_grid(matrix: DataFrame, dims: Sequence[int] = (2, 3, 4, 5, 6), ks: S
             for c in pdf.itertuples(index=False):
                 size = int(len(points) * share)
                 if size > c.k:
-                    pick = np.sort(np.random.default_rng(seed + c.nth).choice(len(points), size, replace=False))
-                    whole, part = fit(x, c.d, c.k, c.method, 0)[0], fit(x[pick], c.d, c.k, c.method, c.nth)[0]
-                    yield pd.DataFrame({"config": [c.config], "nth": [c.nth], "ari": [kernels.adjusted_rand(whole[pick], part)]})
+                    try:
+                        pick = np.sort(np.random.default_rng(seed + c.nth).choice(len(points), size, replace=False))
+                        whole, part = fit(x, c, 0)[0], fit(x[pick], c, c.nth)[0]
+                        found, status = (kernels.adjusted_rand(whole[pick], part), kernels.normalised_information(whole[pick], part)), "success"
+                    except Exception as e:  # noqa: BLE001
+                        found, status = (None, None), f"failed: {type(e).__name__}"
+                    yield pd.DataFrame({"config": [c.config], "nth": [c.nth], "ari": [found[0]], "nmi": [found[1]], "status": [status]})
 
     if bootstraps:
-        return configs.mapInPandas(stability, "config string, nth int, ari double")
-    return configs.mapInPandas(labels, "config string, point long, cluster int, confidence double")
+        return configs.mapInPandas(stability, "config string, nth int, ari double, nmi double, status string")
+    return configs.mapInPandas(labels, "config string, point long, cluster int, confidence double, entropy double, status string")
+
+
+def assignment_confidence(labels: DataFrame) -> DataFrame:
+    """Mean and least of the largest probabilities of each configuration's points, and their mean entropy."""
+    return labels.where("status = 'success'").groupBy("config").agg(F.avg("confidence").alias("confidence_mean"), F.min("confidence").alias("confidence_min"), F.avg("entropy").alias("entropy_mean"))
+
+
+def stability_summary(runs: DataFrame) -> DataFrame:
+    """Mean and deviation of the agreement of each configuration's refits, and how many failed."""
+    each = [f(m).alias(f"{m}_{n}") for m in ("ari", "nmi") for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return runs.groupBy("config").agg(F.count_if(F.col("status") == "success").alias("n"), F.count_if(F.col("status") != "success").alias("n_failed"), *each)
+
+
+def mixtures_at_scale(matrix: DataFrame, dims: Sequence[int] = (2, 4), ks: Sequence[int] = (3, 5), seed: int = 42) -> DataFrame:
+    """Labels (config, point, cluster, confidence) of Gaussian mixtures on principal axes, fitted over the distributed table: no bound on rows."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = matrix.where("vector is not null").select("point", array_to_vector("vector").alias("_raw"))
+    scaled = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True).fit(rows).transform(rows).drop("_raw").persist()
+    out = None
+    for d in dims:
+        axes = PCA(k=d, inputCol="_scaled", outputCol="features").fit(scaled).transform(scaled).select("point", "features")
+        for k in ks:
+            said = GaussianMixture(k=k, seed=seed).fit(axes).transform(axes)
+            part = said.select(F.lit(f"pca{d}_gmm_{k}").alias("config"), "point", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
+            out = part if out is None else out.unionByName(part)
+    return out

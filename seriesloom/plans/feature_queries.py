@@ -23,12 +23,24 @@ _PAIRS = """, pr AS (SELECT a.series_id, a.feature AS feature_1, b.feature AS fe
                    rank() OVER (PARTITION BY feature_1, feature_2 ORDER BY y) + (count(*) OVER (PARTITION BY feature_1, feature_2, y) - 1) / 2.0 AS ry FROM pr),
   cp0 AS (SELECT feature_1, feature_2, count(*) AS n, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS pearson, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS spearman FROM rk GROUP BY ALL HAVING count(*) >= 3),
   cp AS (SELECT *, greatest(abs(coalesce(pearson, 0)), abs(coalesce(spearman, 0))) AS strength FROM cp0 WHERE greatest(abs(coalesce(pearson, 0)), abs(coalesce(spearman, 0))) >= 0.9)"""
-_STATUS = _QUALITY + _PAIRS + """, st AS (SELECT *, feature IN (SELECT feature_1 FROM cp UNION SELECT feature_2 FROM cp) AS correlated,
-    CASE WHEN missing_rate >= 0.99 THEN 'drop_candidate' WHEN high_missing THEN 'review_high_missing' WHEN near_constant OR low_variance THEN 'review_low_variance'
-         WHEN feature IN (SELECT feature_1 FROM cp UNION SELECT feature_2 FROM cp) THEN 'review_highly_correlated' ELSE 'keep_candidate' END AS status FROM ql)"""
+#: The block of each basic feature; fixed values of these queries.
+BLOCK_OF = {"sign_change_rate": "A", "zero_crossing_rate": "A", "mean": "B", "mean_abs": "B", "positive_share": "B", "negative_share": "B", "vol_mean": "D", "vol_std": "D"} | {c: "C" for c in ("std", "skew", "kurt", "twice_std", "constant")}
+_STATUS = _QUALITY + _PAIRS + f""", bo(feature, block) AS (VALUES {", ".join(f"('{f}', '{b}')" for f, b in BLOCK_OF.items())}),
+  wc(block, warning_coverage) AS (SELECT 'C', avg((coalesce(kurt < 0, false))::INTEGER) FROM bf UNION ALL SELECT 'D', avg((n_obs < 1500)::INTEGER) FROM bf UNION ALL SELECT 'A', avg((n_obs < 64)::INTEGER) FROM bf UNION ALL SELECT 'B', 0.0),
+  pt AS (SELECT feature, min(partner) AS partner FROM (SELECT feature_1 AS feature, feature_2 AS partner FROM cp UNION ALL SELECT feature_2, feature_1 FROM cp) GROUP BY feature),
+  st0 AS (SELECT ql.*, bo.block, wc.warning_coverage, pt.partner, pt.partner IS NOT NULL AS correlated, wc.warning_coverage >= 0.3 AS heavy FROM ql JOIN bo ON ql.feature = bo.feature LEFT JOIN wc ON wc.block = bo.block LEFT JOIN pt ON pt.feature = ql.feature),
+  st AS (SELECT *, CASE WHEN missing_rate >= 0.99 THEN 'drop_candidate' WHEN high_missing THEN 'review_high_missing' WHEN near_constant OR low_variance THEN 'review_low_variance' WHEN heavy AND block = 'D' THEN 'reserve_candidate'
+         WHEN heavy THEN 'review_warning_heavy' WHEN correlated THEN 'review_highly_correlated' ELSE 'keep_candidate' END AS status,
+         CASE WHEN missing_rate >= 0.99 THEN 'all values missing' WHEN high_missing THEN 'high missingness' WHEN near_constant OR low_variance THEN 'very low variance' WHEN heavy AND block = 'D' THEN 'heavy warning coverage in block D'
+         WHEN heavy THEN 'heavy warning coverage' WHEN correlated THEN 'highly correlated with ' || partner ELSE 'no major issues detected' END AS note FROM st0)"""
 _GROUPS = _STATUS + """, lk AS (SELECT feature_1 AS a, feature_2 AS b FROM cp UNION SELECT feature_2, feature_1 FROM cp), rc AS (SELECT a AS feature, a AS seen FROM lk UNION SELECT r.feature, l.b FROM rc r JOIN lk l ON r.seen = l.a),
   gr AS (SELECT feature, min(seen) AS root FROM rc GROUP BY feature)"""
 
+_POOLED = _STATUS + """, pl AS (SELECT feature FROM st WHERE status IN ('keep_candidate', 'review_highly_correlated', 'reserve_candidate')),
+  plk AS (SELECT feature_1 AS a, feature_2 AS b FROM cp WHERE feature_1 IN (FROM pl) AND feature_2 IN (FROM pl) UNION SELECT feature_2, feature_1 FROM cp WHERE feature_1 IN (FROM pl) AND feature_2 IN (FROM pl)),
+  prc AS (SELECT a AS feature, a AS seen FROM plk UNION SELECT r.feature, l.b FROM prc r JOIN plk l ON r.seen = l.a), pg AS (SELECT feature, min(seen) AS root FROM prc GROUP BY feature),
+  pp AS (SELECT g.feature, row_number() OVER (PARTITION BY g.root ORDER BY CASE s.status WHEN 'keep_candidate' THEN 0 WHEN 'reserve_candidate' THEN 1 ELSE 2 END, s.missing_rate, coalesce(s.warning_coverage, 1), coalesce(s.std, 0) DESC, length(s.feature), s.feature) AS nth FROM pg g JOIN st s ON g.feature = s.feature)"""
+
 
 def query(name: str, sql: str):
     def add(f):
@@ -70,10 +82,33 @@ def high_corr_pairs(spark, sf_dir):
     return p.select("feature_1", "feature_2", "n", rounded(F.col("pearson")).alias("pearson"), rounded(F.col("spearman")).alias("spearman"), "relation")
 
 
+def blocks(spark, sf_dir):
+    """The flags of each block's rows: few returns, or light tails."""
+    b = shape.basic_features(all_returns(spark, sf_dir))
+    flag = lambda bad, name: b.select("series_id", F.when(bad, name).otherwise("").alias("feature_warning_flags"))
+    return {"A": flag(F.col("n_obs") < 64, "hurst_rs_too_short"), "B": flag(F.lit(False), ""), "C": flag(F.col("kurt") < 0, "kurtosis_negative"), "D": flag(F.col("n_obs") < 1500, "series_too_short_for_block_d")}
+
+
 def _screened(spark, sf_dir):
     long = features(spark, sf_dir)
     pairs = screening.correlated_pairs(long)
-    return screening.screening(screening.feature_quality(long), pairs), pairs
+    return screening.screening(screening.feature_quality(long), pairs, spark.createDataFrame(list(BLOCK_OF.items()), "feature string, block string"), screening.warning_coverage(blocks(spark, sf_dir))), pairs
+
+
+@query("warning_coverage", _STATUS + " SELECT block, round(warning_coverage, 6) + 0.0 AS warning_coverage FROM wc")
+def warning_coverage(spark, sf_dir):
+    return screening.warning_coverage(blocks(spark, sf_dir)).withColumn("warning_coverage", rounded(F.col("warning_coverage")))
+
+
+@query("screening_notes", _STATUS + " SELECT feature, block, status, note || CASE WHEN correlated AND status NOT IN ('review_highly_correlated', 'drop_candidate') THEN '; highly correlated with ' || partner ELSE '' END AS notes FROM st")
+def screening_notes(spark, sf_dir):
+    return _screened(spark, sf_dir)[0].select("feature", "block", "status", "notes")
+
+
+@query("candidate_pool", _STATUS + """ SELECT feature, block, status, status IN ('keep_candidate', 'review_highly_correlated', 'reserve_candidate') AS included,
+  CASE WHEN status IN ('keep_candidate', 'review_highly_correlated', 'reserve_candidate') THEN 'included_by_screening_status' WHEN status IN ('review_high_missing', 'review_low_variance', 'drop_candidate') THEN 'excluded_by_screening_status' ELSE 'excluded_not_whitelisted' END AS reason FROM st""")
+def candidate_pool(spark, sf_dir):
+    return screening.candidate_pool(_screened(spark, sf_dir)[0])
 
 
 @query("screening_status", _STATUS + " SELECT feature, correlated, status FROM st")
@@ -86,13 +121,34 @@ def corr_groups(spark, sf_dir):
     return screening.feature_groups(screening.correlated_pairs(features(spark, sf_dir)))
 
 
-@query("representatives", _GROUPS + """, rp AS (SELECT g.root, s.feature, count(*) OVER (PARTITION BY g.root) AS size, row_number() OVER (PARTITION BY g.root ORDER BY CASE s.status WHEN 'keep_candidate' THEN 0 WHEN 'review_highly_correlated' THEN 2 ELSE 3 END,
-    s.missing_rate, s.std DESC NULLS LAST, length(s.feature), s.feature) AS nth FROM gr g JOIN st s ON g.feature = s.feature) SELECT root, size::BIGINT AS size, feature AS representative FROM rp WHERE nth = 1""")
+@query("representatives", _GROUPS + """, rp AS (SELECT g.root, s.feature, count(*) OVER (PARTITION BY g.root) AS size, row_number() OVER (PARTITION BY g.root ORDER BY CASE s.status WHEN 'keep_candidate' THEN 0 WHEN 'reserve_candidate' THEN 1 WHEN 'review_highly_correlated' THEN 2 ELSE 4 END,
+    s.missing_rate, coalesce(s.warning_coverage, 1), coalesce(s.std, 0) DESC, CASE WHEN s.feature LIKE '%kurtosis%' THEN 1 ELSE 0 END DESC, length(s.feature), s.feature) AS nth FROM gr g JOIN st s ON g.feature = s.feature)""" + " SELECT root, size::BIGINT AS size, feature AS representative FROM rp WHERE nth = 1")
 def representatives(spark, sf_dir):
     screened, pairs = _screened(spark, sf_dir)
     return screening.representatives(screening.feature_groups(pairs), screened)
 
 
+@query("consolidated_sets", _POOLED + """, cs AS (SELECT feature, block, status FROM st WHERE status IN ('keep_candidate', 'review_highly_correlated', 'reserve_candidate') AND (feature NOT IN (SELECT feature FROM pg) OR feature IN (SELECT feature FROM pp WHERE nth = 1)))
+  SELECT 'with_chaos' AS set_name, feature, block, status FROM cs UNION ALL SELECT 'base', feature, block, status FROM cs WHERE block <> 'D'""")
+def consolidated_sets(spark, sf_dir):
+    screened, pairs = _screened(spark, sf_dir)
+    pool = screening.candidate_pool(screened).where("included").select("feature")
+    inside = pairs.join(pool.withColumnRenamed("feature", "feature_1"), "feature_1", "left_semi").join(pool.withColumnRenamed("feature", "feature_2"), "feature_2", "left_semi")
+    groups = screening.feature_groups(inside)
+    return screening.consolidated_sets(screened, screening.representatives(groups, screened), groups)
+
+
+_NAMES = ["iacf_abs_1_20", "acf_lag_5", "abs_acf_lag_250", "lb_ret_stat_50", "spectral_entropy", "robust_kurtosis", "tail_ratio_upper", "largest_lyapunov_exponent", "hurst_rs", "cross_lag_x"]
+
+
+@query("interpretability", f", nm AS (SELECT unnest({_NAMES}) AS feature)" + """ SELECT feature, round(CASE WHEN starts_with(feature, 'iacf_') THEN 2.5 ELSE 0 END - CASE WHEN starts_with(feature, 'acf_lag_') OR starts_with(feature, 'abs_acf_lag_') THEN 2 ELSE 0 END
+  + CASE WHEN starts_with(feature, 'lb_') THEN 0.5 ELSE 0 END + CASE WHEN contains(feature, 'spectral_') OR contains(feature, 'entropy') OR contains(feature, 'kurtosis') OR contains(feature, 'tail_ratio') THEN 1 ELSE 0 END
+  + CASE WHEN contains(feature, 'largest_lyapunov_exponent') OR contains(feature, 'correlation_dimension') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(feature, '_lag_[0-9]+$') THEN least(regexp_extract(feature, '([0-9]+)$', 1)::INTEGER / 100.0, 2) ELSE 0 END, 6)::DOUBLE AS score FROM nm""")
+def interpretability(spark, sf_dir):
+    names = spark.createDataFrame([(n,) for n in _NAMES], "feature string")
+    return names.select("feature", rounded(screening.interpretability()).alias("score"))
+
+
 @query("scaling_plan", """, sq AS (SELECT feature, quantile_cont(value, .25) AS a, quantile_cont(value, .75) AS b, CASE WHEN stddev_pop(value) > 0 THEN skewness(value) END AS skew FROM lf GROUP BY feature),
   so AS (SELECT l.feature, avg((value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a))::INTEGER) AS outlier_share, any_value(skew) AS skew FROM lf l JOIN sq ON l.feature = sq.feature WHERE value IS NOT NULL GROUP BY l.feature)
   SELECT feature, round(outlier_share, 6) AS outlier_share, CASE WHEN outlier_share >= 0.15 OR abs(coalesce(skew, 0)) >= 2 THEN 'rank' WHEN outlier_share >= 0.05 OR abs(coalesce(skew, 0)) >= 1 THEN 'robust' ELSE 'standard' END AS scaling FROM so""")
@@ -124,14 +180,16 @@ def class_information(spark, sf_dir):
     return screening.class_information(features(spark, sf_dir), labels).withColumn("information", rounded(F.col("information")))
 
 
+@query("correlation_prune", """, ap AS (SELECT a.feature AS f1, b.feature AS f2, coalesce(round(abs(CASE WHEN stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0 THEN corr(a.value, b.value) END), 12), 0) AS v FROM lf a JOIN lf b ON a.series_id = b.series_id AND a.feature <= b.feature WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL),
+  am AS (SELECT f, round(sum(v) / count(*), 12) AS m FROM (SELECT f1 AS f, v FROM ap UNION ALL SELECT f2, v FROM ap WHERE f1 <> f2) GROUP BY f), an AS (SELECT f1, f2, row_number() OVER (ORDER BY f1, f2) AS n, CASE WHEN x.m > y.m THEN f1 ELSE f2 END AS loser FROM ap JOIN am x ON x.f = f1 JOIN am y ON y.f = f2 WHERE f1 <> f2 AND v > 0.9),
+  ag AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS gone UNION ALL SELECT ag.n + 1, CASE WHEN list_contains(gone, f1) OR list_contains(gone, f2) THEN gone ELSE list_append(gone, loser) END FROM ag JOIN an ON an.n = ag.n + 1)
+  SELECT f AS feature FROM am WHERE NOT list_contains((SELECT gone FROM ag ORDER BY n DESC LIMIT 1), f)""")
 def correlation_prune(spark, sf_dir):
-    long = features(spark, sf_dir)
-    kept = screening.correlation_prune(screening.correlated_pairs(long), sorted([*BASIC, "twice_std", "constant"]))
-    return spark.createDataFrame([(n,) for n in kept], "feature string")
+    return spark.createDataFrame([(n,) for n in screening.correlation_prune(features(spark, sf_dir))], "feature string")
 
 
 def quantile_normal(spark, sf_dir):
     return screening.quantile_normal(features(spark, sf_dir))
 
 
-QUERIES |= {"correlation_prune": correlation_prune, "quantile_normal": quantile_normal}
+QUERIES |= {"quantile_normal": quantile_normal}

@@ -89,13 +89,23 @@ def ward_clusters(spark, sf_dir):
 
 @query("cluster_grid_balance")
 def cluster_grid_balance(spark, sf_dir):
-    return clusters.balance(series_kernels.cluster_grid(_matrix(spark, sf_dir)))
+    return clusters.balance(series_kernels.cluster_grid(_matrix(spark, sf_dir)).where("status = 'success'"))
 
 
+@query("assignment_confidence")
+def assignment_confidence(spark, sf_dir):
+    return series_kernels.assignment_confidence(series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("gmm",)))
+
+
+#: Refits of every configuration take hours on one machine; those of two spaces are registered, all 30 of each.
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf_dir):
-    runs = series_kernels.cluster_grid(_matrix(spark, sf_dir), bootstraps=30)
-    return runs.groupBy("config").agg(F.count("*").alias("n"), F.avg("ari").alias("ari_mean"), F.stddev_samp("ari").alias("ari_std"))
+    return series_kernels.stability_summary(series_kernels.cluster_grid(_matrix(spark, sf_dir), scalers=("robust",), dims=(2, 4), bootstraps=30))
+
+
+@query("mixtures_at_scale")
+def mixtures_at_scale(spark, sf_dir):
+    return series_kernels.mixtures_at_scale(_matrix(spark, sf_dir))
 
 
 def _segments(spark, sf_dir):
