@@ -350,3 +350,13 @@ def normalised_information(a: np.ndarray, b: np.ndarray) -> float:
     entropy = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
     rows, cols, both = entropy(p.sum(axis=1)), entropy(p.sum(axis=0)), entropy(p.ravel())
     return float(2 * (rows + cols - both) / (rows + cols)) if rows + cols > 0 else 1.0
+
+
+def digamma(x: float) -> float:
+    """Derivative of the logarithm of the gamma function, for positive numbers: recurrence up to six, then the asymptotic series."""
+    out = 0.0
+    while x < 6:
+        out -= 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))

@@ -70,3 +70,24 @@ def kruskal_h(series: DataFrame, assignments: DataFrame, metric: str = "rmse_mea
     n = F.col("n")
     h = divide(12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), 1 - F.col("tied") / (n * n * n - n))
     return total.where("n_clusters > 1").select(*key, "n_clusters", h.alias("h"))
+
+
+def missing_baseline(perf: DataFrame, baseline: str = "naive_zero") -> DataFrame:
+    """Clusters and horizons that the baseline model has no measure for."""
+    base = F.max(F.when(F.col("model") == baseline, F.col("rmse_mean"))).over(Window.partitionBy(*KEY))
+    return perf.select(*KEY, base.alias("_base")).where("_base is null").select(*KEY).distinct()
+
+
+def kruskal(series: DataFrame, assignments: DataFrame, metrics=("mae", "rmse", "mase", "directional_accuracy")) -> DataFrame:
+    """(config, model, horizon, metric, n_clusters, h, p, note) for every measure; fewer than two clusters give a note."""
+    from .series_kernels import chi2_tail
+
+    out = None
+    for m in metrics:
+        one = kruskal_h(series, assignments, f"{m}_mean").withColumn("metric", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("_freedom", F.col("n_clusters") - 1).withColumn("p", chi2_tail("h", "_freedom")).drop("_freedom").withColumn("note", F.lit(""))
+    few = series.join(assignments, "series_id").groupBy("config", "model", "horizon").agg(F.count_distinct("cluster").alias("n_clusters")).where("n_clusters < 2")
+    names = F.explode(F.array(*(F.lit(m) for m in metrics))).alias("metric")
+    none = F.lit(None).cast("double")
+    return out.unionByName(few.select("config", "model", "horizon", "n_clusters", names, none.alias("h"), none.alias("p"), F.lit("fewer than two clusters").alias("note")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,84 @@ def evaluation(pairs: DataFrame) -> DataFrame:
     s = class_scores(pairs)
     right = F.sum(F.col("recall") * F.col("support"))
     return s.agg(divide(right, F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
+
+
+def series_split(ids: DataFrame, seed: int = 42, test: float = 0.2, validation: float = 0.1) -> DataFrame:
+    """(series_id, split): sorted ids shuffled by NumPy's generator, cut into test, validation and train. There are as many ids as series."""
+    names = sorted({r["series_id"] for r in ids.select("series_id").collect()})
+    if len(names) < 3 or test <= 0 or validation < 0 or test + validation >= 1:
+        raise ValueError("a split needs three series at least, and shares that leave some to train on")
+    names = np.random.default_rng(seed).permutation(np.array(names)).tolist()
+    n_test, n_val = max(1, round(len(names) * test)), round(len(names) * validation)
+    n_val = max(0, min(n_val, len(names) - n_test - 1))
+    rows = [(s, "test" if i < n_test else "validation" if i < n_test + n_val else "train") for i, s in enumerate(names)]
+    return ids.sparkSession.createDataFrame(rows, "series_id string, split string")
+
+
+def assert_apart(split: DataFrame) -> DataFrame:
+    """The split, or an error if a series is in two parts."""
+    if not split.groupBy("series_id").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("series in several parts of the split")
+    return split
+
+
+def repeat_seeds(base: int, repeats: int) -> list[int]:
+    return [base + 9973 * i for i in range(repeats)]
+
+
+def repeat_summary(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation of each metric over repeats (column ``repeat``); missing keys are a group."""
+    each = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return rows.groupBy(*keys).agg(F.count_distinct("repeat").alias("n_repeats"), *each)
+
+
+OBJECT = ["series_id", "horizon", "fold"]
+
+
+def coverage_checks(tasks: DataFrame, features: DataFrame, names: Sequence[str], metrics: Sequence[str], expected_folds: int) -> DataFrame:
+    """One row of counts that must all be zero before objects (series, horizon, fold) can be routed, and whether they are."""
+    objects, held = tasks.select(*OBJECT).distinct(), features.select(*OBJECT).distinct()
+    folds = features.groupBy("series_id", "horizon").agg(F.count_distinct("fold").alias("n")).where(F.col("n") != expected_folds)
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    cells = features.agg(*(F.count_if(bad(c)).alias(c) for c in names)).select(sum((F.col(c) for c in names), F.lit(0)).cast("long").alias("non_finite_features"))
+    models = tasks.groupBy(*OBJECT).agg(F.count_distinct("model").alias("n"), F.count("*").alias("rows"))
+    sizes = models.agg(F.max("n").alias("models_per_object"), F.sum(F.col("rows") - F.col("n")).alias("duplicate_metrics"))
+    incomplete = models.join(F.broadcast(sizes.select("models_per_object"))).agg(F.count_if(F.col("n") < F.col("models_per_object")).alias("incomplete_objects"))
+    nulls = tasks.agg(sum((F.count_if(bad(m)) for m in metrics), F.lit(0)).alias("missing_metrics"))
+    parts = [
+        objects.join(held, OBJECT, "left_anti").agg(F.count("*").alias("missing_features")), held.join(objects, OBJECT, "left_anti").agg(F.count("*").alias("features_without_metrics")),
+        folds.agg(F.count("*").alias("bad_fold_counts")), cells, sizes, incomplete, nulls,
+    ]
+    one = reduce(lambda a, b: a.join(F.broadcast(b)), parts)  # each is one row
+    failing = [c for c in ("missing_features", "bad_fold_counts", "non_finite_features", "duplicate_metrics", "incomplete_objects", "missing_metrics")]
+    failed = F.array_compact(F.array(*(F.when(F.col(c) > 0, F.lit(c)) for c in failing)))
+    return one.withColumns({"failures": F.array_join(failed, ";"), "status": F.when(F.size(failed) > 0, "failed").otherwise("passed")})
+
+
+def meta_dataset(tasks: DataFrame, features: DataFrame, names: Sequence[str], metrics: Sequence[str], expected_folds: int) -> DataFrame:
+    """Tasks with the features of their object, under ``object_id``; raises if a check of the coverage fails."""
+    found = coverage_checks(tasks, features, names, metrics, expected_folds).first()
+    if found["status"] != "passed":
+        raise ValueError(f"objects can't be routed: {found['failures']}")
+    rows = tasks.select(*OBJECT, "model", *metrics).join(features.select(*OBJECT, *names), OBJECT)
+    return rows.withColumn("object_id", F.concat(F.col("series_id"), F.lit("|h"), F.col("horizon").cast("string"), F.lit("|f"), F.col("fold").cast("string")))
+
+
+def scoring_rows(rows: DataFrame, features: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """One row for each object and model: the features, the model as columns of zero and one, and its cost. Rows have a cost column for each model."""
+    costs = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("cost")) for m in models))
+    keep = [c for c in rows.columns if c not in models]
+    long = rows.select(*keep, F.explode(costs).alias("_c")).select(*keep, "_c.model", "_c.cost")
+    return long.withColumns({f"model__{m}": F.when(F.col("model") == m, 1.0).otherwise(0.0) for m in models})
+
+
+def feature_diagnostics(features: DataFrame, expected: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(fact, detail, n): missing or infinite cells and constant values by feature, series that lack features, and series that no one asked for."""
+    long = features.select("series_id", *(F.col(c).cast("double").alias(c) for c in names)).unpivot("series_id", list(names), "feature", "value")
+    value = F.when(F.isnan("value") | (F.abs("value") == float("inf")), None).otherwise(F.col("value"))
+    each = long.withColumn("value", value).groupBy("feature").agg(F.count_if(F.col("value").isNull()).alias("gaps"), F.count_distinct("value").alias("kinds"))
+    gaps = each.where("gaps > 0").select(F.lit("missing_or_infinite").alias("fact"), F.col("feature").alias("detail"), F.col("gaps").alias("n"))
+    flat = each.where("kinds <= 1").select(F.lit("constant").alias("fact"), F.col("feature").alias("detail"), F.col("kinds").alias("n"))
+    ids, wanted = features.select("series_id").distinct(), expected.select("series_id").distinct()
+    lone = lambda a, b, name: a.join(b, "series_id", "left_anti").select(F.lit(name).alias("fact"), F.col("series_id").alias("detail"), F.lit(1).cast("long").alias("n"))
+    return gaps.unionByName(flat).unionByName(lone(wanted, ids, "series_without_features")).unionByName(lone(ids, wanted, "unknown_series"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cluster_queries, feature_queries, forecast_queries, kernel_queries, panel_queries, selection_queries, tuning_queries
+from . import block_queries, cluster_queries, feature_queries, forecast_queries, kernel_queries, panel_queries, routing_queries, selection_queries, tuning_queries
 
-MODULES = (panel_queries, feature_queries, cluster_queries, forecast_queries, kernel_queries, selection_queries, tuning_queries)
+MODULES = (panel_queries, feature_queries, cluster_queries, forecast_queries, kernel_queries, selection_queries, tuning_queries, block_queries, routing_queries)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
