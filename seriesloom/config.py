@@ -1,25 +1,49 @@
-"""Stage configurations from YAML: a mapping at the root, defaults filled in, unknown keys refused."""
+"""Stage configurations from YAML: a mapping at the root, the stage's defaults filled in, unknown keys refused."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 import yaml
 
 from .sources.files import config_hash
 
+#: The queries and default settings of each stage. Fixed values.
+STAGES: dict[str, tuple[tuple[str, ...], dict]] = {
+    "catalog": (("series_catalog", "catalog_status_counts", "length_distribution", "flag_breakdown"), {"target": 2000, "minimum": 1500}),
+    "returns": (("log_returns", "last_n_returns", "core_profile_hash", "extended_profile_hash"), {"target": 2000, "minimum": 1500, "seed": 42}),
+    "block_a": (("block_a_features",), {"hurst_min": 16, "hurst_max": 256}),
+    "block_b": (("block_b_features",), {}),
+    "block_c": (("block_c_features", "block_c_ranges", "block_c_summary"), {"hill_share": 0.05}),
+    "block_d": (("block_d_features",), {"least_returns": 300}),
+    "screening": (("feature_quality", "high_corr_pairs", "screening_status", "screening_notes", "warning_coverage"), {"high_missing": 0.2, "correlated": 0.9, "warning_heavy": 0.3}),
+    "consolidation": (("candidate_pool", "corr_groups", "representatives", "consolidated_sets", "scaling_plan"), {"correlated": 0.9}),
+    "final_features": (("final_feature_set",), {}),
+    "clustering": (("cluster_grid_balance", "assignment_confidence", "bootstrap_stability", "ranking_score", "top_configs"), {"k_min": 2, "k_max": 8, "bootstraps": 30, "seed": 42}),
+    "profiling": (("selected_configs", "selected_assignments", "cluster_balance", "cluster_profiles", "key_features", "method_comparison", "profile_heatmap"), {"max_share": 0.9, "least_size": 5}),
+    "forecasting": (("fold_metrics", "series_metrics", "model_summary", "model_ranking", "winners_by_horizon", "speed_summary", "split_metadata", "registry_table"), {"horizons": [1, 5, 20], "folds": 3}),
+    "cluster_analysis": (("shortlist_validation", "cluster_model_perf", "relative_to_baseline", "missing_baseline", "best_model_by_cluster", "clustering_utility", "kruskal_all"), {"baseline": "naive_zero"}),
+    "tuning": (("candidate_level", "best_by_model", "best_over_horizons", "variant_comparison", "echo_state_tuning"), {}),
+    "shortlist": (("shortlist_summary", "family_summary"), {}),
+    "leakage": (("fold_leak_violations", "permuted_target_ratio"), {"least_ratio": 1.05}),
+    "fold_features": (("fold_aware_final_features", "fold_aware_comparison"), {"folds": 3}),
+    "routing": (("coverage_checks", "candidate_sets", "candidate_sets_train_only", "routing_classifier", "routing_regression", "routing_scoring", "routing_top_two", "repeat_summary", "feature_importances", "learned_routing_evaluation"), {"seed": 42, "repeats": 3}),
+}
+
 
 @dataclass(frozen=True)
 class StageConfig:
-    """Where tables are, what to run, where to write, and the length policy."""
+    """Where tables are, what to run, where to write, and the stage's settings."""
 
     tables: str
     output: str
+    stage: str = ""
     queries: tuple[str, ...] = ()
     target: int = 2000
     minimum: int = 1500
     format: str = "parquet"
+    settings: Mapping = field(default_factory=dict)
 
     def identity(self) -> str:
         return config_hash({f.name: getattr(self, f.name) for f in fields(self)})
@@ -34,5 +58,13 @@ def load(path: str, overrides: Mapping | None = None) -> StageConfig:
     known = {f.name for f in fields(StageConfig)}
     if unknown := set(values) - known:
         raise ValueError(f"{path}: unknown keys {sorted(unknown)}")
-    values["queries"] = tuple(values.get("queries") or ())
+    stage, settings = values.get("stage", ""), dict(values.get("settings") or {})
+    if stage:
+        if stage not in STAGES:
+            raise ValueError(f"{path}: no such stage {stage!r}")
+        names, defaults = STAGES[stage]
+        if unknown := set(settings) - set(defaults):
+            raise ValueError(f"{path}: unknown settings {sorted(unknown)} of stage {stage}")
+        settings, values["queries"] = defaults | settings, values.get("queries") or names
+    values["queries"], values["settings"] = tuple(values.get("queries") or ()), settings
     return StageConfig(**values)

@@ -118,7 +118,7 @@ def neighbour_information(features: DataFrame, labels: DataFrame, neighbours: in
             at = np.arange(m)
             # the k nearest of a sorted row lie within k places of it
             near = np.stack([np.abs(own - own[np.clip(at + d, 0, m - 1)]) + np.where((at + d < 0) | (at + d >= m), np.inf, 0) for d in range(-k, k + 1) if d])
-            radius = np.nextafter(np.sort(near, axis=0)[k - 1], 0)
+            radius = np.sort(near, axis=0)[k - 1] * (1 - 1e-9)  # less than the distance itself, whatever the rounding
             every = np.sort(x)
             inside = np.searchsorted(every, own + radius, side="right") - np.searchsorted(every, own - radius, side="left")
             terms.append(sum(kernels.digamma(k) - kernels.digamma(max(int(i), 1)) for i in inside))

@@ -198,8 +198,8 @@ def cluster_grid(
     if np.isnan(values).any():
         values = np.where(np.isnan(values), np.nanmedian(values, axis=0), values)
     shared = rows.sparkSession.sparkContext.broadcast((np.array([r["point"] for r in local]), values))
-    grid = [(*c, b) for c in grid_configs(scalers, dims, ks, methods) for b in (range(1, bootstraps + 1) if bootstraps else [0])]
-    configs = rows.sparkSession.createDataFrame(grid, "config string, scaler string, d int, k int, method string, nth int").repartition(min(len(grid), 200), "config", "nth")
+    grid = grid_configs(scalers, dims, ks, methods)
+    configs = rows.sparkSession.createDataFrame(grid, "config string, scaler string, d int, k int, method string").repartition(min(len(grid), 200), "config")
 
     def fit(x: np.ndarray, c, nth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = kernels.SCALERS[c.scaler](x)
@@ -223,15 +223,16 @@ def cluster_grid(
         points, x = shared.value
         for pdf in batches:
             for c in pdf.itertuples(index=False):
-                size = int(len(points) * share)
-                if size > c.k:
+                size, whole, out = int(len(points) * share), None, []
+                for nth in range(1, bootstraps + 1) if size > c.k else ():
                     try:
-                        pick = np.sort(np.random.default_rng(seed + c.nth).choice(len(points), size, replace=False))
-                        whole, part = fit(x, c, 0)[0], fit(x[pick], c, c.nth)[0]
-                        found, status = (kernels.adjusted_rand(whole[pick], part), kernels.normalised_information(whole[pick], part)), "success"
+                        whole = fit(x, c, 0)[0] if whole is None else whole
+                        pick = np.sort(np.random.default_rng(seed + nth).choice(len(points), size, replace=False))
+                        part = fit(x[pick], c, nth)[0]
+                        out.append((c.config, nth, kernels.adjusted_rand(whole[pick], part), kernels.normalised_information(whole[pick], part), "success"))
                     except Exception as e:  # noqa: BLE001
-                        found, status = (None, None), f"failed: {type(e).__name__}"
-                    yield pd.DataFrame({"config": [c.config], "nth": [c.nth], "ari": [found[0]], "nmi": [found[1]], "status": [status]})
+                        out.append((c.config, nth, None, None, f"failed: {type(e).__name__}"))
+                yield pd.DataFrame(out, columns=["config", "nth", "ari", "nmi", "status"])
 
     if bootstraps:
         return configs.mapInPandas(stability, "config string, nth int, ari double, nmi double, status string")

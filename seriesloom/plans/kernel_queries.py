@@ -97,10 +97,10 @@ def assignment_confidence(spark, sf_dir):
     return series_kernels.assignment_confidence(series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("gmm",)))
 
 
-#: Refits of every configuration take hours on one machine; those of two spaces are registered, all 30 of each.
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf_dir):
-    return series_kernels.stability_summary(series_kernels.cluster_grid(_matrix(spark, sf_dir), scalers=("robust",), dims=(2, 4), bootstraps=30))
+    """Refits of every space, method and number of clusters under robust scaling; the other scalers are a parameter."""
+    return series_kernels.stability_summary(series_kernels.cluster_grid(_matrix(spark, sf_dir), scalers=("robust",), bootstraps=30))
 
 
 @query("mixtures_at_scale")
