@@ -43,11 +43,31 @@ def test_topk(spark):
     got = topk.top_k(df, df.where("vec_id % 10 = 0"), k=5)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_topk(rows, 5, 10)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
+    small = topk.top_k(df, df.where("vec_id % 10 = 0"), k=5, group_rows=50)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in small.collect()} == brute_topk(rows, 5, 10)
     few = df.where("vec_id < 3")
     assert topk.top_k(few, few.where("vec_id = 0")).count() == 2
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("gates", [4, 1024])
+def test_long_vectors_shut_groups_out(spark, monkeypatch, gates):
+    """Lengths over three decades, with ties and zero vectors: most groups can't reach, and none that can is passed over."""
+    monkeypatch.setattr(topk, "GATES", gates)
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", 3)
+    monkeypatch.setattr(topk, "QUERIES_PER_BLOCK", 8)
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=8) * 10 ** rng.uniform(-2, 1)).round(2).tolist()) for i in range(600)] + [(i, [0.0] * 8) for i in range(600, 640)] + [(i, [1.0] + [0.0] * 7) for i in range(640, 700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    seen = []
+    meet = topk._meet
+    monkeypatch.setattr(topk, "_meet", lambda q, c, *a: seen.append((q.count(), c.select("g").distinct().count())) or meet(q, c, *a))
+    got = topk.top_k(df, df.where("vec_id % 3 = 0"), k=4, group_rows=40)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute_topk([(r.vec_id, r.embedding) for r in df.collect()], 4, 3)
+    sent, groups = seen[1]
+    assert sent < 0.7 * seen[0][0] * groups
+
+
 # ---- op3 ---------------------------------------------------------------------------------------------------------
 
 
