@@ -10,7 +10,8 @@ keys than tasks, whatever the data) is instead aggregated before its rows move,
 The result of the pass is a sparse keep bitmap for each document, not text; :func:`apply_keep` applies it.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a document id count as one document;
-a row without an id keeps all its lines and counts for none; extra columns are ignored.
+a row without an id keeps all its lines and counts for none; an empty table gives no rows; extra columns stay, but for ones
+named kept_text, n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -67,9 +68,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with columns kept_text, n_lines and n_dropped; every other column stays as it is."""
+    """The documents with columns kept_text, n_lines and n_dropped, in place of any of those names; every other column stays as it is."""
     need(docs, id_col, text_col)
-    all_columns = list(docs.columns)
+    all_columns = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.withColumn("_sl_text", text).withColumn("_sl_hash", F.xxhash64("_sl_text"))
     right = bitmaps.select(F.col("doc_id").alias("_sl_id"), F.col("text_hash").alias("_sl_hash_r"), F.col("words").alias("_sl_words"))

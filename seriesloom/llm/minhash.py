@@ -107,9 +107,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, class_id) of every row: the smallest id that links of Jaccard likeness at the threshold or above reach.
 
-    Only distinct texts are compared, and within a bucket only those that are not yet linked, so groups of copies
-    cost no pairs. A bucket above ``bucket_rows`` is dealt again by its next band as well, until bands run out. Banding
-    finds a pair at likeness s with probability 1 - (1 - s**r)**bands for r = PERMUTATIONS / bands.
+    Only distinct texts are compared, and within a bucket only those that are not yet linked, so groups of copies cost no
+    pairs. A bucket above ``bucket_rows`` is dealt by a hash of its texts into blocks, and a task compares two of its blocks: every
+    two texts of a bucket meet, however many it holds, and no task reads more than about ``bucket_rows`` of them. Buckets with the
+    same members are one. Banding finds a pair at likeness s with probability 1 - (1 - s**r)**bands for r = PERMUTATIONS / bands (0.9999999 at
+    the threshold, for the defaults).
     """
     need(docs, "doc_id", "text")
     rows = PERMUTATIONS // bands
@@ -133,35 +135,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         for texts in batches:
             yield pd.Series([np.unique(signer.shingles(t)).astype("<u8").tobytes() for t in texts], dtype=object)
 
-    unique = named.groupBy("key").agg(F.first("text").alias("text"))
+    unique = named.groupBy("key").agg(F.min("text").alias("text"))
     banded = written(unique.select("key", band_keys("text").alias("keys")), "bands")
-    at = banded.select("key", "keys", F.posexplode("keys").alias("band", "bucket"))
-    sizes = at.groupBy("band", "bucket").count().where("count > 1")
-    at = written(at.join(sizes, ["band", "bucket"]), "buckets")
-    ready, depth = None, 1
-    while True:
-        small = at.where((F.col("count") <= bucket_rows) | F.lit(depth >= bands)).select("key", "band", "bucket")
-        ready = small if ready is None else ready.unionByName(small)
-        large = at.where((F.col("count") > bucket_rows) & F.lit(depth < bands)).drop("count")
-        if large.isEmpty():
-            break
-        finer = large.withColumn("bucket", F.xxhash64("bucket", F.element_at("keys", F.pmod(F.col("band") + depth, F.lit(bands)) + 1)))
-        again = finer.groupBy("band", "bucket").count().where("count > 1")
-        at, depth = written(finer.join(again, ["band", "bucket"]), "buckets"), depth + 1
-    sets = unique.join(ready.select("key").distinct(), "key", "left_semi").select("key", shingle_set("text").alias("shingles"))
-    meet = ready.join(sets, "key").repartition("band", "bucket").sortWithinPartitions("band", "bucket", "key")
+    at = banded.select("key", F.posexplode("keys").alias("band", "bucket"))
+    members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+    buckets = at.groupBy("band", "bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "n")
+    at = written(at.join(buckets, ["band", "bucket"]), "buckets")
+    sets = unique.join(at.select("key").distinct(), "key", "left_semi").select("key", shingle_set("text").alias("shingles"))
+    blocks = F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") * 2 / bucket_rows)).otherwise(1).cast("int")
+    dealt = at.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("upper"), "key")
+    place = ["band", "bucket", "low", "high"]
+    meet = dealt.join(sets, "key").repartition(*place).sortWithinPartitions(*place, "upper", "key")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, members = None, []
+        now, members = None, []
         for pdf in batches:
             found = []
-            for band, bucket, key, shingles in pdf[["band", "bucket", "key", "shingles"]].itertuples(index=False):
-                if (band, bucket) != open_key:
-                    open_key, members = (band, bucket), []
+            for band, bucket, low, high, upper, key, shingles in pdf[[*place, "upper", "key", "shingles"]].itertuples(index=False):
+                if (band, bucket, low, high) != now:
+                    now, members = (band, bucket, low, high), []
                 mine = np.frombuffer(shingles, "<u8")
                 near = {}
-                for i, (other, theirs, group) in enumerate(members):
-                    if group in near:
+                for other, theirs, group, above in members:
+                    # of two blocks only rows of one meet rows of the other; each block also has a task of its own
+                    if group in near or (low != high and above == upper):
                         continue
                     if min(len(mine), len(theirs)) < threshold * max(len(mine), len(theirs)):
                         continue
@@ -170,8 +168,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                         near[group] = other
                 found += [(key, other) for other in near.values()]
                 own = min(near, default=len(members))
-                members = [(k, s, own if g in near else g) for k, s, g in members] if len(near) > 1 else members
-                members.append((key, mine, own))
+                members = [(k, s, own if g in near else g, u) for k, s, g, u in members] if len(near) > 1 else members
+                members.append((key, mine, own, upper))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
     linked = components(meet.mapInPandas(compare, "a string, b string"))
@@ -241,3 +239,10 @@ def op4_minhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def minhash_classes(spark, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document: the banded join with verified likeness, over the whole table."""
+    from .common import table
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,17 +10,19 @@ neighbours, phone numbers without a plus, obfuscated mail addresses. Labelers vo
 * context: words nearby that go, or don't go, with the kind;
 * edges: the span stands by itself, or is part of a longer run.
 
-Counts of vote patterns over all documents (there are at most 4 * 3**5) go to the driver, where a two-class model with
-one reliability per kind, labeler and class is fitted by expectation-maximisation. Its posteriors, as soft labels,
-train a logistic span classifier over kind and votes; it accepts a further span at ``threshold``.
+Counts of vote patterns by the spans' shapes over all documents (there are at most 4 * 3**5 * 36) go to the driver, where a
+two-class model with one reliability per kind, labeler and class is fitted to the votes by expectation-maximisation. Its
+posteriors, as soft labels, train a logistic span classifier over kind, votes and what no labeler sees: the span's shape
+(its length, its separators, whether letters stand before it), by itself and with the kind. The classifier accepts a further span at
+``threshold``; so two spans with equal votes can be judged differently.
 
 Defined cases: null is the empty text; texts are read whole; offsets count code points, ends exclusive; rows that
-repeat are handled alike; no candidates give no added spans.
+repeat are handled alike, and overlapping spans of several kinds all stay; no candidates, and an empty table, give no added spans;
+columns besides the text are kept, but for one named ``spans`` (:func:`find_spans`) or ``_sl_found``, which is replaced.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,6 +37,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "form", "gazetteer", "context", "edges")
 VOTES = 3
 PATTERNS = VOTES ** len(LABELERS)
+#: Parts of a span's shape: length, number of kinds of separators, what stands before.
+SHAPE = (4, 3, 3)
+SHAPES = SHAPE[0] * SHAPE[1] * SHAPE[2]
 
 # Gazetteers; fixed values.
 TOP_DOMAINS = frozenset("com org net edu gov info biz io de fr es it uk eu ch at nl be us ca au jp example test".split())
@@ -135,17 +140,28 @@ def votes(text: str, kind: str, start: int, end: int, regex: int) -> list[int]:
 
 
 def _candidates(text: str) -> list[tuple[int, int, int, bool, int, bool]]:
-    """(kind, start, end, base, pattern of votes, usable); failed base matches count for the statistics only."""
+    """(kind, start, end, base, pattern of votes and shape, usable); failed base matches count for the statistics only."""
     base = base_matches(text)
     out = []
+    code = lambda kind, start, end, regex: _code(votes(text, kind, start, end, regex)) + PATTERNS * shape(text, start, end)
     for k, kind in enumerate(KINDS):
         for start, end, passed in base[kind]:
-            out.append((k, start, end, passed, _code(votes(text, kind, start, end, 1 if passed else -1)), passed))
+            out.append((k, start, end, passed, code(kind, start, end, 1 if passed else -1), passed))
     for kind, start, end in further_matches(text, base):
-        out.append((KINDS.index(kind), start, end, False, _code(votes(text, kind, start, end, 0)), True))
+        out.append((KINDS.index(kind), start, end, False, code(kind, start, end, 0), True))
     return out
 
 
+def shape(text: str, start: int, end: int) -> int:
+    """A number for the span's length, its separators, and the character before it (none or space, letter, other)."""
+    span = text[start:end]
+    length = min(SHAPE[0] - 1, (end - start) // 8)
+    separators = min(SHAPE[1] - 1, len({c for c in span if c in " .-()"}))
+    before = text[start - 1 : start]
+    edge = 0 if not before or before.isspace() else 1 if before.isalpha() else 2
+    return (length * SHAPE[1] + separators) * SHAPE[2] + edge
+
+
 def _code(v: list[int]) -> int:
     return sum((x + 1) * VOTES**i for i, x in enumerate(v))
 
@@ -186,36 +202,47 @@ def reliabilities(counts: np.ndarray, rounds: int = 50, prior: float = 2.0) -> t
 
 
 def span_classifier(counts: np.ndarray, post: np.ndarray, rounds: int = 200, penalty: float = 1e-2) -> np.ndarray:
-    """Probabilities [kind, pattern] by logistic regression over kind and votes, on soft labels weighted by counts."""
-    rows = [np.concatenate([np.eye(len(KINDS))[k], *(np.eye(VOTES)[v] for v in ALL_VOTES[p])]) for k, p in itertools.product(range(len(KINDS)), range(PATTERNS))]
-    x, y, w = np.array(rows), post.ravel(), counts.ravel().astype(float)
-    w = np.log1p(w)
+    """Probabilities [kind, shape, pattern] of the cells that occur (zero elsewhere), by logistic regression on soft labels weighted by counts.
+
+    counts: [kind, shape, pattern]; post: [kind, pattern].
+    """
+    k, f, p = np.nonzero(counts)
+    out = np.zeros(counts.shape)
+    if not len(k):
+        return out
+    parts = [f // (SHAPE[1] * SHAPE[2]), f // SHAPE[2] % SHAPE[1], f % SHAPE[2]]
+    own = np.eye(len(KINDS))[k]
+    looks = np.hstack([np.eye(n)[v] for n, v in zip(SHAPE, parts, strict=True)])
+    said = np.hstack([np.eye(VOTES)[ALL_VOTES[p, i]] for i in range(len(LABELERS))])
+    x = np.hstack([own, said, looks, (own[:, :, None] * looks[:, None, :]).reshape(len(k), -1)])
+    y, w = post[k, p], np.log1p(counts[k, f, p])
     theta = np.zeros(x.shape[1])
-    for _ in range(rounds if w.sum() else 0):
-        p = 1 / (1 + np.exp(-x @ theta))
-        gradient = x.T @ (w * (p - y)) + penalty * theta
-        curve = (x * (w * p * (1 - p))[:, None]).T @ x + np.eye(len(theta)) * max(penalty, 1e-6)
+    for _ in range(rounds):
+        guess = 1 / (1 + np.exp(-x @ theta))
+        gradient = x.T @ (w * (guess - y)) + penalty * theta
+        curve = (x * (w * guess * (1 - guess))[:, None]).T @ x + np.eye(len(theta)) * max(penalty, 1e-6)
         step = np.linalg.solve(curve, gradient)
         theta -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return (1 / (1 + np.exp(-x @ theta))).reshape(len(KINDS), PATTERNS)
+    out[k, f, p] = 1 / (1 + np.exp(-x @ theta))
+    return out
 
 
 def accepted_patterns(found: DataFrame, threshold: float = 0.9) -> list[int]:
-    """Codes (kind, pattern of votes) of further candidates that the classifier takes; found: rows with _sl_found."""
-    seen = found.select(F.explode("_sl_found").alias("c")).groupBy("c.kind", "c.pattern").count().collect()  # at most 4 * 3**5 rows
-    counts = np.zeros((len(KINDS), PATTERNS))
+    """Codes (kind, shape and pattern of votes) of further candidates that the classifier takes; found: rows with _sl_found."""
+    seen = found.select(F.explode("_sl_found").alias("c")).groupBy("c.kind", "c.pattern").count().collect()  # at most 4 * 3**5 * 36 rows
+    counts = np.zeros((len(KINDS), SHAPES, PATTERNS))
     for r in seen:
-        counts[r["kind"], r["pattern"]] = r["count"]
-    accepted = span_classifier(counts, reliabilities(counts)[0]) >= threshold
-    return [int(k * PATTERNS + p) for k, p in zip(*np.nonzero(accepted), strict=True)]
+        counts[r["kind"], r["pattern"] // PATTERNS, r["pattern"] % PATTERNS] = r["count"]
+    accepted = span_classifier(counts, reliabilities(counts.sum(axis=1))[0]) >= threshold
+    return [int((k * SHAPES + f) * PATTERNS + p) for k, f, p in zip(*np.nonzero(accepted), strict=True)]
 
 
 def chosen_spans(found: Column, codes: list[int]) -> Column:
     """The base spans and the accepted further ones, in order of kind and start."""
     added = F.array(*(F.lit(c) for c in codes)) if codes else F.array().cast("array<int>")
-    keep = lambda c: c["base"] | (c["usable"] & F.array_contains(added, c["kind"] * PATTERNS + c["pattern"]))
+    keep = lambda c: c["base"] | (c["usable"] & F.array_contains(added, c["kind"] * (SHAPES * PATTERNS) + c["pattern"]))
     short = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))
     return F.array_sort(F.transform(F.filter(found, keep), short))
 
@@ -224,7 +251,7 @@ def find_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.9)
     """The rows without their text, with ``spans``: an array of (kind, start, end, base), in order of kind and start."""
     need(docs, text_col)
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "spans", "_sl_found")]
     found = written(docs.select(*rest, candidates(F.col(text_col)).alias("_sl_found")), "pii")
     return found.select(*rest, chosen_spans(F.col("_sl_found"), accepted_patterns(found, threshold)).alias("spans"))
 

@@ -8,9 +8,13 @@ k largest keys is sampling without replacement in proportion to the weights.
 The raw model counts every document. The target model and the cut are fitted on labelled rows: at most
 ``sample_rows`` of each label, those with the smallest hashes of their ids. A fifth of those is held out of the target
 model; the cut is set on it so that at most ``max_loss`` of its good rows fall below, or lower, where that rejects no fewer bad ones.
-With ``k`` unset, k is the number of documents whose key reaches the cut, so the choice needs no sort.
+With ``k`` unset, k is the number of documents whose key reaches the cut, so the choice needs no sort: it is the Gumbel top-k of that k, row for row.
 
-Defined cases: a null or empty text has no n-grams and log weight zero; a null id gets noise like any other; labels
+Weights are the generative models' own, sums over all n-grams, not means: the likelihood ratio of a document grows with its
+length, so unit noise decides between short documents and those near the cut, and long ones are nearly always decided by their weight. That is
+what the model says of them; scaling by length would keep some long junk and lose some long good documents, whose share of clean documents the contract wants whole.
+
+Defined cases: extra columns stay, but for ones named ``log_weight`` or ``key``, which are replaced; an empty table gives no rows; equal keys at the cut all stay; a null or empty text has no n-grams and log weight zero; a null id gets noise like any other; labels
 that are null or of unknown documents count for nothing; with no good labels every weight is zero and all
 rows are kept; rows that repeat are judged alike.
 """

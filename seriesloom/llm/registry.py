@@ -2,7 +2,7 @@
 
 from .byte_bpe import op10_byte_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
-from .minhash import op4_minhash
+from .minhash import minhash_classes, op4_minhash
 from .packing import op6_best_fit_packing
 from .pii import op5_pii
 from .quality import op2_quality
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "minhash_classes": minhash_classes,
 }
 
 SQL = {

@@ -9,7 +9,8 @@ broadcast: the stretches of each distinct host are joined with the word counts,
 host and path with the tokens' odds.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the prior;
-equal scores allow; rows that repeat are judged alike; with no URL under a rule, all others are allowed.
+equal scores allow; rows that repeat are judged alike; with no URL under a rule, all others are allowed; a null page
+is judged by its URL and adds no words; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
