@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,24 +55,45 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of the tables that this process has written and not yet deleted, in their order.
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once as a table in the shared folder and read back.
 
-    This cuts the lineage: a lost executor loses none of it, and several readers don't compute it again.
+    This cuts the lineage: a lost executor loses none of it, and several readers don't compute it again. A result may read the
+    table until it is itself written, so it stays; :func:`only` deletes the tables behind a result that needs them no more,
+    and all of an application's lie in one folder of its id.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/seriesloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` when nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = file.rsplit("/", 1)[0]
+        _delete(df.sparkSession, next((p for p in _written if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]), folder))
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written as a table, without the tables that were written on the way to it."""
+    before = len(_written)
+    out = written(make(), name)
+    for path in _written[before:-1]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -146,6 +146,16 @@ def test_near_dedup_keeps_one(spark, documents):
     assert sorted(str(r.doc_id) for r in alone) == ["1", "None"]
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    from seriesloom.llm import common
+
+    before = list(common._written)
+    out = common.only(lambda: common.written(spark.range(5), "inner").join(common.written(spark.range(3), "other"), "id"), "outer")
+    assert out.count() == 3 and len(common._written) == len(before) + 1
+    common.forget(out)
+    assert common._written == before
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(40)] + [(5, 5)]
