@@ -101,15 +101,18 @@ def sample_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float | Non
     if n < m + 2 or (sd := x.std(ddof=1)) <= 0:
         return None
 
-    def matches(size: int, count: int) -> int:
-        t = np.lib.stride_tricks.sliding_window_view(x, size)[:count]
-        total = 0
-        for at in range(0, count, 256):
-            near = (np.abs(t[at : at + 256, None, :] - t[None, :, :]).max(axis=2) <= share * sd).sum(axis=1)
-            total += int(near.sum())
-        return (total - count) // 2
-
-    b, a = matches(m, n - m + 1), matches(m + 1, n - m)
+    # which values are near each other, in blocks of rows; templates match where each of their values does
+    counts, bound = np.zeros(2, np.int64), share * sd
+    for at in range(0, n, 512):
+        near = np.abs(x[at : at + 512 + m, None] - x[None, :]) <= bound
+        for i, (size, count) in enumerate(((m, n - m + 1), (m + 1, n - m))):
+            rows = min(512, count - at)
+            if rows > 0:
+                every = near[:rows, :count].copy()
+                for k in range(1, size):
+                    every &= near[k : k + rows, k : k + count]
+                counts[i] += np.count_nonzero(every)
+    b, a = (int(counts[0]) - (n - m + 1)) // 2, (int(counts[1]) - (n - m)) // 2
     return -math.log(a / b) if a and b else None
 
 

@@ -237,16 +237,19 @@ class Lstm(Trained):
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, object]:
         n = self.size
         h = c = np.zeros((len(x), n), x.dtype)
-        steps = []
+        steps, w, b = [], self.params["w"], self.params["b"]
         for t in range(x.shape[1]):
-            z = np.hstack([x[:, t, None], h])
-            u = z @ self.params["w"] + self.params["b"]
-            i, f, o = (1 / (1 + np.exp(-u[:, k * n : (k + 1) * n])) for k in range(3))
+            u = h @ w[1:]
+            u += x[:, t, None] * w[0]
+            u += b
+            gates = 1 / (1 + np.exp(-u[:, : 3 * n]))
+            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
             g = np.tanh(u[:, 3 * n :])
-            before, c = c, f * c + i * g
+            steps.append((x[:, t], h, i, f, o, g, c))
+            c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
-            steps.append((z, i, f, o, g, before, tc))
+            steps[-1] += (tc,)
         return (h @ self.params["v"] + self.params["c"])[:, 0], (steps, h)
 
     def backward(self, cache: object, grad: np.ndarray) -> dict[str, np.ndarray]:
@@ -254,12 +257,14 @@ class Lstm(Trained):
         g0 = grad[:, None]
         out = {"v": h.T @ g0, "c": g0.sum(axis=0), "w": np.zeros_like(self.params["w"]), "b": np.zeros_like(self.params["b"])}
         dh, dc = g0 @ self.params["v"].T, 0.0
-        for z, i, f, o, g, before, tc in reversed(steps):
+        w = self.params["w"][1:].T
+        for x, before_h, i, f, o, g, before, tc in reversed(steps):
             dc = dc + dh * o * (1 - tc * tc)
             du = np.hstack([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)])
-            out["w"] += z.T @ du
+            out["w"][0] += x @ du
+            out["w"][1:] += before_h.T @ du
             out["b"] += du.sum(axis=0)
-            dh, dc = (du @ self.params["w"].T)[:, 1:], dc * f
+            dh, dc = du @ w, dc * f
         return out
 
 

@@ -53,12 +53,19 @@ def _join(parts: Sequence[DataFrame]) -> DataFrame:
 def block_a(returns: DataFrame) -> DataFrame:
     """Hurst exponents, autocorrelations of returns and their sizes, their sums, portmanteau statistics, variance ratios."""
     parts = [_sizes(returns), dependence.hurst_rs(returns).withColumnRenamed("hurst", "hurst_rs"), dependence.hurst_dfa(returns).withColumnRenamed("hurst", "hurst_dfa")]
-    for value, acf, iacf, lb in ((F.col("r"), "acf_lag", "iacf_abs_1", "lb_ret"), (F.abs("r"), "abs_acf_lag", "iacf_absret_1", "lb_absret")):
-        grid = dependence.acf(returns, value=value)
-        parts.append(_pivot(grid, "lag", "acf", {k: f"{acf}_{k}" for k in dependence.ACF_LAGS}))
-        parts.append(_pivot(dependence.integrated_acf(grid), "up_to", "iacf", {k: f"{iacf}_{k}" for k in dependence.IACF_UP_TO}))
-        q = dependence.ljung_box(returns, value=value).withColumn("p", series_kernels.chi2_tail("q", "order"))
-        parts += [_pivot(q, "order", "q", {m: f"{lb}_stat_{m}" for m in dependence.LJUNG_BOX_ORDERS}), _pivot(q, "order", "p", {m: f"{lb}_p_{m}" for m in dependence.LJUNG_BOX_ORDERS})]
+    lags = sorted({*range(1, max(dependence.LJUNG_BOX_ORDERS) + 1), *dependence.ACF_LAGS})
+    grid = dependence.acf_arrays(returns, lags, {"_ret": F.col("r"), "_absret": F.abs("r")})
+    at = {k: i for i, k in enumerate(lags)}
+    columns, n = {}, F.col("n")
+    for value, acf, iacf, lb in (("_ret", "acf_lag", "iacf_abs_1", "lb_ret"), ("_absret", "abs_acf_lag", "iacf_absret_1", "lb_absret")):
+        r = lambda k, value=value: F.col(value)[at[k]]
+        columns |= {f"{acf}_{k}": r(k) for k in dependence.ACF_LAGS}
+        columns |= {f"{iacf}_{u}": reduce(lambda a, b: a + b, (F.coalesce(F.abs(r(k)), F.lit(0.0)) for k in dependence.ACF_LAGS if k <= u)) for u in dependence.IACF_UP_TO}
+        columns |= {f"{lb}_stat_{m}": n * (n + 2.0) * reduce(lambda a, b: a + b, (F.when(r(k).isNotNull(), r(k) * r(k) / (n - k)).otherwise(0.0) for k in range(1, m + 1))) for m in dependence.LJUNG_BOX_ORDERS}
+    wide = grid.select("series_id", *(c.alias(name) for name, c in columns.items()))
+    for lb in ("lb_ret", "lb_absret"):
+        wide = wide.withColumns({f"_o{m}": F.lit(float(m)) for m in dependence.LJUNG_BOX_ORDERS}).withColumns({f"{lb}_p_{m}": series_kernels.chi2_tail(f"{lb}_stat_{m}", f"_o{m}") for m in dependence.LJUNG_BOX_ORDERS})
+    parts.append(wide.drop(*(f"_o{m}" for m in dependence.LJUNG_BOX_ORDERS)))
     parts.append(_pivot(dependence.variance_ratio(returns), "q", "variance_ratio", {q: f"vr_q{q}" for q in dependence.VARIANCE_RATIO_STEPS}))
     rows, n = _join(parts), F.col("n_obs")
     short = n < max(2 * dependence.HURST_MIN, 64)

@@ -36,6 +36,17 @@ def acf(returns: DataFrame, lags: list[int] = ACF_LAGS, value: Column | None = N
     return sums.select("series_id", "n", pairs.alias("p")).select("series_id", "n", "p.lag", "p.acf")
 
 
+def acf_arrays(returns: DataFrame, lags: list[int], values: dict[str, Column]) -> DataFrame:
+    """(series_id, n, name...): for each value an array of its autocorrelations at the lags, from one window pass and one aggregation for all."""
+    rows = returns.select("series_id", "rn", *(v.alias(f"_{name}") for name, v in values.items()))
+    rows = rows.withColumns({f"_{name}": F.col(f"_{name}") - F.avg(f"_{name}").over(_all()) for name in values})
+    ahead = [F.lead(f"_{name}", k).over(_order()).alias(f"_{name}_{k}") for name in values for k in lags]
+    rows = rows.select("series_id", *(f"_{name}" for name in values), *ahead)
+    square = {name: F.sum(F.col(f"_{name}") * F.col(f"_{name}")) for name in values}
+    arrays = [F.array(*(F.try_divide(F.sum(F.col(f"_{name}") * F.col(f"_{name}_{k}")), square[name]) for k in lags)).alias(name) for name in values]
+    return rows.groupBy("series_id").agg(F.count("*").alias("n"), *arrays)
+
+
 def integrated_acf(grid: DataFrame, up_to: list[int] = IACF_UP_TO) -> DataFrame:
     """Sum of absolute autocorrelations over the grid's lags up to each bound."""
     bounds = grid.withColumn("up_to", F.explode(F.array(*(F.lit(k) for k in up_to)))).where("lag <= up_to")

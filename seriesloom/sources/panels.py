@@ -31,6 +31,13 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.unionByName(priorities).unionByName(kinds).unionByName(suppliers)
 
 
+def dense_panel(spark: SparkSession, sf_dir: str, groups: int = 150) -> DataFrame:
+    """Three times so many series: line items by supplier, by part and by order, each key dealt to groups; for load, at any scale."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = [_daily(lines, f"{c[2:].upper()}:", F.col(c) % groups, "l_shipdate", "l_extendedprice", "US") for c in ("l_suppkey", "l_partkey", "l_orderkey")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 #: The same panels as DuckDB common table expressions: px (prices), ret (log returns), elig (after the length policy).
 PANEL_SQL = """
 px AS (

@@ -186,3 +186,37 @@ def test_shortlist_file(spark, tmp_path):
 def test_missing_baseline_rows(spark):
     perf = spark.createDataFrame([("x", 0, 1, "naive_zero", 1.0), ("x", 1, 1, "other", 1.0)], "config string, cluster int, horizon int, model string, rmse_mean double")
     assert [tuple(r) for r in by_cluster.missing_baseline(perf).collect()] == [("x", 1, 1)]
+
+
+def test_sample_entropy_counts_every_pair():
+    def plain(x, m=2):
+        tol, n = 0.2 * x.std(ddof=1), len(x)
+        near = lambda size, count: sum(np.abs(x[i : i + size] - x[j : j + size]).max() <= tol for i in range(count) for j in range(i))
+        b, a = near(m, n - m + 1), near(m + 1, n - m)
+        return -math.log(a / b)
+
+    for n in (60, 513, 515):
+        x = np.random.default_rng(n).normal(size=n).round(1)
+        if n < 100:
+            assert kernels.sample_entropy(x) == plain(x)
+        t = np.lib.stride_tricks.sliding_window_view(x, 3)
+        a = (np.abs(t[:, None] - t[None]).max(axis=2) <= 0.2 * x.std(ddof=1)).sum() - len(t)
+        u = np.lib.stride_tricks.sliding_window_view(x, 2)
+        b = (np.abs(u[:, None] - u[None]).max(axis=2) <= 0.2 * x.std(ddof=1)).sum() - len(u)
+        assert kernels.sample_entropy(x) == pytest.approx(-math.log(a / b))
+
+
+def test_block_a_equals_its_parts(spark):
+    from seriesloom.operators import dependence
+
+    rng = np.random.default_rng(2)
+    rows = [(s, i, float(v), n) for s, n in (("a", 300), ("b", 40)) for i, v in enumerate(rng.normal(size=n))]
+    data = spark.createDataFrame(rows, "series_id string, rn int, r double, n int")
+    got = {r["series_id"]: r for r in blocks.block_a(data).collect()}
+    for r in dependence.acf(data).collect():
+        assert got[r["series_id"]][f"acf_lag_{r['lag']}"] == pytest.approx(r["acf"], abs=1e-12)
+    for r in dependence.ljung_box(data, value=F.abs("r")).collect():
+        assert got[r["series_id"]][f"lb_absret_stat_{r['order']}"] == pytest.approx(r["q"], rel=1e-9)
+    for r in dependence.integrated_acf(dependence.acf(data)).collect():
+        assert got[r["series_id"]][f"iacf_abs_1_{r['up_to']}"] == pytest.approx(r["iacf"], rel=1e-9)
+    assert "hurst_rs_too_short" in got["b"]["feature_warning_flags"] and got["b"]["feature_status"] == "warning"
