@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; its result is written as Parquet and
 read again as the next one's documents. All but the last return the columns of documents.
+
+Defined cases, in every stage: a null or empty text is a document without words, lines or personal data, and is packed as the
+end id alone; a row without an id is judged like any other, keeps its lines, and of near copies without any id one stays; rows
+that repeat an id and a text are one row after the near-dedup stage; ties go to the smaller id; an empty table stays empty; columns
+besides those of documents go with their rows, and ones whose names clash with inner columns keep their values, but for
+n_chars, which is brought up to date.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm import line_dedup, packing, pii, quality, simhash
-from seriesloom.llm.common import table, written
+from seriesloom.llm.common import forget, only, table, written  # noqa: F401  tests write stages as run() does
 
 #: Words that a packing task remembers; tasks of the stages before leave less memory than packing alone has.
 TOKENIZER_MEMO = 150_000
@@ -64,5 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        before = docs
+        docs = only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            forget(before)  # nothing reads it any more
     return docs
