@@ -10,8 +10,9 @@ TABLES = "region nation customer supplier part orders lineitem events embeddings
 #: One query for each family; the driver compares all of them.
 SOME = [
     "series_catalog", "duplicate_dates", "core_profile_hash", "last_n_returns", "target_h5", "lag_window_matrix", "split_metadata", "fold_leak_violations", "fold_aware_range_join", "acf_grid", "integrated_acf",
-    "ljung_box_stat", "variance_ratio", "hurst_rs", "hurst_dfa", "permutation_entropy", "moors_kurtosis", "hill_index", "ami_lag", "basic_features", "feature_quality", "representatives", "scaling_plan",
+    "ljung_box_stat", "variance_ratio", "hurst_rs", "hurst_dfa", "permutation_entropy", "moors_kurtosis", "hill_index", "ami_lag", "basic_features", "feature_quality", "scaling_plan",
     "key_features", "silhouette", "ari_nmi", "ranking_score", "fold_metrics", "clustering_utility", "kruskal_h", "candidate_sets_train_only", "best_single_global", "per_class_f1", "resume_upsert", "sample_entropy",
+    "screening_notes", "representatives", "consolidated_sets", "interpretability", "correlation_prune", "top_configs", "method_comparison", "candidate_level", "best_over_horizons", "shortlist_summary", "block_c_features", "block_c_summary", "meta_dataset_folds", "repeat_summary",
 ]
 
 
