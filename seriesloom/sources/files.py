@@ -112,10 +112,10 @@ def sample_series(ids: DataFrame, size: int, seed: int = 42) -> DataFrame:
 
 
 def select_series(rows: DataFrame, ordinal: str, order: str = "first_n", ids: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Ids in the table's order or sorted, of those named, at most so many."""
+    """Ids in the table's order (ties by id) or sorted, of those named, at most so many."""
     first = rows.groupBy("series_id").agg(F.min(ordinal).alias("_at"))
     first = first.where(F.col("series_id").isin(ids)) if ids else first
-    first = first.orderBy("_at" if order == "first_n" else "series_id")
+    first = first.orderBy(*(["_at"] if order == "first_n" else []), "series_id")
     return (first.limit(most) if most else first).select("series_id")
 
 

@@ -13,6 +13,7 @@ SOME = [
     "ljung_box_stat", "variance_ratio", "hurst_rs", "hurst_dfa", "permutation_entropy", "moors_kurtosis", "hill_index", "ami_lag", "basic_features", "feature_quality", "scaling_plan",
     "key_features", "silhouette", "ari_nmi", "ranking_score", "fold_metrics", "clustering_utility", "kruskal_h", "candidate_sets_train_only", "best_single_global", "per_class_f1", "resume_upsert", "sample_entropy",
     "screening_notes", "representatives", "consolidated_sets", "interpretability", "correlation_prune", "top_configs", "method_comparison", "candidate_level", "best_over_horizons", "shortlist_summary", "block_c_features", "block_c_summary", "meta_dataset_folds", "repeat_summary",
+    "external_returns", "selected_series", "restricted_tasks", "tasks_left_to_do", "unreadable_files", "sanitise_audit", "sanitised_rows", "feature_coverage", "conformed_schema", "keep_last_row", "fold_feature_shift",
 ]
 
 
