@@ -11,7 +11,7 @@ Pieces that fill a sequence are placed by themselves. The others are dealt by a
 about one sequence against packing all at once. Only lengths move; ids stay where they were made.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat an id are packed as documents of their
-own; an empty table gives no rows; extra columns are ignored.
+own, dealt over all shards however many they are; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -197,10 +197,11 @@ def pack(placed: DataFrame, tokens: int = 4096, documents: int | None = None, at
     need(placed, "length")
     documents, attention = documents or tokens, attention or float(tokens) ** 2
     names, schema = placed.columns, T.StructType([*placed.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    rows = written(placed, "pieces")
+    # a number of each row, so that rows that repeat are dealt to all shards; the table holds it, so a task that runs again finds the same
+    rows = written(placed.withColumn("_sl_row", F.monotonically_increasing_id()), "pieces")
     part = F.col("length") < tokens
     shards = max(1, -(-rows.where(part).count() // shard_pieces))
-    shard = F.pmod(F.xxhash64(*names), F.lit(shards))
+    shard = F.pmod(F.xxhash64(*names, "_sl_row"), F.lit(shards))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(pdf["_sl_shard"].iloc[0])
@@ -208,8 +209,8 @@ def pack(placed: DataFrame, tokens: int = 4096, documents: int | None = None, at
         where, offset = best_fit(pdf["length"].to_numpy(np.int64), tokens, documents, attention, weights, score)
         return pdf.assign(sequence_id=(number << 40) + where, offset=offset)
 
-    packed = rows.where(part).withColumn("_sl_shard", shard).groupBy("_sl_shard").applyInPandas(one, schema)
-    full = rows.where(~part).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    packed = rows.where(part).select(*names, shard.alias("_sl_shard")).groupBy("_sl_shard").applyInPandas(one, schema)
+    full = rows.where(~part).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 
 
