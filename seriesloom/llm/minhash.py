@@ -116,8 +116,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     need(docs, "doc_id", "text")
     rows = PERMUTATIONS // bands
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.select("doc_id", F.sha2(text, 256).alias("key"), text.alias("text"))
-    firsts = named.groupBy("key").agg(F.min("doc_id").alias("least"))
+    key = F.unhex(F.md5(text)).alias("key")
 
     @F.pandas_udf("array<bigint>")
     def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -135,13 +134,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         for texts in batches:
             yield pd.Series([np.unique(signer.shingles(t)).astype("<u8").tobytes() for t in texts], dtype=object)
 
-    unique = named.groupBy("key").agg(F.min("text").alias("text"))
-    banded = written(unique.select("key", band_keys("text").alias("keys")), "bands")
-    at = banded.select("key", F.posexplode("keys").alias("band", "bucket"))
+    named = written(docs.select("doc_id", key, band_keys(text).alias("keys")), "bands")
+    # keys and band hashes alone move to find the buckets; texts move once, one of each group of copies, for the sets
+    unique = written(named.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "distinct-bands")
+    firsts = unique.select("key", "least")
+    at = unique.select("key", F.posexplode("keys").alias("band", "bucket"))
     members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
     buckets = at.groupBy("band", "bucket").agg(*members).where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "n")
     at = written(at.join(buckets, ["band", "bucket"]), "buckets")
-    sets = unique.join(at.select("key").distinct(), "key", "left_semi").select("key", shingle_set("text").alias("shingles"))
+    texts = docs.groupBy(key).agg(F.min(text).alias("text")).join(at.select("key").distinct(), "key", "left_semi")
+    sets = texts.select("key", shingle_set("text").alias("shingles"))
     blocks = F.when(F.col("n") > bucket_rows, F.ceil(F.col("n") * 2 / bucket_rows)).otherwise(1).cast("int")
     dealt = at.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("upper"), "key")
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                 members.append((key, mine, own, upper))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
-    linked = components(meet.mapInPandas(compare, "a string, b string"))
+    linked = components(meet.mapInPandas(compare, "a binary, b binary"))
     rooted = firsts.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return named.select("doc_id", "key").join(rooted.join(least, "root").select("key", "class_id"), "key").select("doc_id", "class_id")
