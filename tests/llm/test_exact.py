@@ -302,6 +302,19 @@ def test_every_capacity_holds(score):
         packing.best_fit(np.array([600]), 512, 4, 1e9)
 
 
+def test_rows_that_repeat_are_dealt_over_shards(spark):
+    from seriesloom.llm.packing import pack
+
+    rows = spark.createDataFrame([(7, 1500)] * 80 + [(8, 4096)] * 3, "doc_id long, length long").repartition(4)
+    got = pack(rows, shard_pieces=20).toPandas()
+    assert len(got) == 83 and list(got.columns) == ["doc_id", "length", "sequence_id", "offset"]
+    part = got[got["length"] < 4096]
+    assert part["sequence_id"].floordiv(1 << 40).nunique() > 1
+    for _, one in got.groupby("sequence_id"):
+        one = one.sort_values("offset")
+        assert one["length"].sum() <= 4096 and one["offset"].tolist() == [0, *one["length"].cumsum().tolist()[:-1]]
+
+
 def test_sequences_hold_the_ids(spark, documents):
     model = spark.sparkContext.broadcast(packing.WordTokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
     coded = documents([(i, "a b c " * (i + 1)) for i in range(20)]).select("doc_id", packing.token_ids(model, F.col("text")).alias("ids"))
