@@ -96,6 +96,18 @@ def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+def semi_join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is one of ``keys``, a table of unique keys with the number ``n`` of rows that each has.
+
+    Keys above a quarter of an even share of a partition are at most four for each partition: these are broadcast, so their rows
+    stay where they are; only the rows of the other keys move.
+    """
+    share = (keys.agg(F.sum("n")).first()[0] or 0) / (4 * shuffle_partitions(rows.sparkSession))
+    hot = F.broadcast(keys.where(F.col("n") > share).select(on))
+    rest = keys.where(F.col("n") <= share).select(on)
+    return rows.join(hot, on, "left_semi").unionByName(rows.join(hot, on, "left_anti").join(rest, on, "left_semi"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected groups of undirected edges: one row ``(node, root)`` for each node that an edge names.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, small_batches, written
+from .common import need, semi_join_counted, small_batches, written
 
 LENGTH = 400
 GRAM = 128
@@ -202,8 +202,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     # whole copies: one of each stays in the search, all of them go if they are long enough
     keys = base.select("id", "th", F.xxhash64(F.lit(7), "text").alias("th2"), F.octet_length("text").alias("n")).where(F.col("n") >= length)
-    texts = keys.groupBy("th", "th2").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
-    copied = keys.join(texts.where("copies > 1"), ["th", "th2"]).select("id", "th", F.lit(0).alias("a"), F.col("n").alias("b"))
+    keys = written(keys, "texts")
+    copies = written(keys.groupBy("th", "th2").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    copied = semi_join_counted(keys, copies, ["th", "th2"]).select("id", "th", F.lit(0).alias("a"), F.col("n").alias("b"))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         landmarks = Landmarks(length)
@@ -214,12 +215,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     marks = base.where(F.octet_length("text") >= length).select("id", "th", "text").mapInPandas(mark, "id long, th long, mark long, stretch long, a int, b int")
     marks = written(marks, "landmarks")
     place = F.struct("th", "a")
-    stretches = marks.groupBy("mark", "stretch").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min(F.struct("id", "th", "a", "b")).alias("one"))
-    stretches = written(stretches.select("mark", "stretch", (F.col("low") != F.col("high")).alias("twice"), "one"), "stretches")
+    stretches = marks.groupBy("mark", "stretch").agg(F.count("*").alias("n"), F.min(place).alias("low"), F.max(place).alias("high"), F.min(F.struct("id", "th", "a", "b")).alias("one"))
+    stretches = written(stretches.select("mark", "stretch", "n", (F.col("low") != F.col("high")).alias("twice"), "one"), "stretches")
 
     # a stretch that occurs twice is covered wherever it is
-    twice = stretches.where("twice").select("mark", "stretch")
-    whole = marks.join(twice, ["mark", "stretch"], "left_semi").select("id", "th", "a", (F.col("b") + length).alias("b"))
+    whole = semi_join_counted(marks, stretches.where("twice"), ["mark", "stretch"]).select("id", "th", "a", (F.col("b") + length).alias("b"))
 
     # landmarks with several stretches: the stretches' texts meet, one of each
     several = stretches.groupBy("mark").agg(F.count("*").alias("size")).where("size > 1")

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seriesloom.llm import byte_bpe, line_dedup, packing, pii, registry, simhash, suffix_dedup, topk, url_filter
-from seriesloom.llm.common import components
+from seriesloom.llm.common import components, semi_join_counted
 
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -156,6 +156,16 @@ def test_tables_on_the_way_are_deleted(spark):
     assert common._written == before
 
 
+def test_hot_keys_of_a_semi_join_stay(spark):
+    """Rows of hot, rare and unknown keys against a plain semi-join, repeated rows included."""
+    values = [0] * 400 + [1] * 90 + list(range(2, 200)) + [5, 7, 7, None]
+    rows = spark.createDataFrame([(v, k % 50) for k, v in enumerate(values)], "k long, x long")
+    keys = rows.where("k is not null and k % 3 <> 2").groupBy("k").agg(F.count("*").alias("n"))
+    got = sorted(tuple(r) for r in semi_join_counted(rows, keys, ["k"]).collect())
+    assert got == sorted(tuple(r) for r in rows.join(keys, "k", "left_semi").collect())
+    assert semi_join_counted(rows, keys.limit(0), ["k"]).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(40)] + [(5, 5)]
