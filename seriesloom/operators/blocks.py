@@ -97,9 +97,8 @@ def block_b(returns: DataFrame) -> DataFrame:
 
 def block_c(returns: DataFrame) -> DataFrame:
     """Kurtosis by moments and by octiles, ratios of outer quantiles to quartiles, and the tail index."""
-    tails = shape.tail_ratios(returns).withColumnsRenamed({"tail_both": "tail_ratio_symmetric", "tail_up": "tail_ratio_upper", "tail_low": "tail_ratio_lower"})
-    hill = shape.hill_index(returns).select("series_id", F.col("hill").alias("hill_tail_index"))
-    rows = _join([_sizes(returns), shape.fisher_kurtosis(returns), shape.moors_kurtosis(returns).withColumnRenamed("moors", "robust_kurtosis"), tails, hill])
+    names = {"moors": "robust_kurtosis", "tail_both": "tail_ratio_symmetric", "tail_up": "tail_ratio_upper", "tail_low": "tail_ratio_lower", "hill": "hill_tail_index"}
+    rows = shape.distribution(returns).withColumnsRenamed(names)
     n = F.col("n_obs")
     rules = {
         "series_too_short_for_block_c": n < LEAST_RETURNS["C"], "kurtosis_too_short": n < 4, "kurtosis_negative": F.col("kurtosis") < 0, "robust_kurtosis_denominator_near_zero": F.col("robust_kurtosis").isNull(),

@@ -93,8 +93,11 @@ def hurst_rs(returns: DataFrame) -> DataFrame:
     """Rescaled range: slope of the log mean R/S over the log window length."""
     key = ["series_id", "w", "chunk"]
     rows = _chunks(returns.select("series_id", "n", "rn", F.col("r").alias("x")))
-    rows = rows.withColumn("d", F.col("x") - F.avg("x").over(Window.partitionBy(*key)))
-    rows = rows.withColumn("y", F.sum("d").over(Window.partitionBy(*key).orderBy("rn")))
+    # both windows have one order, so one sort serves them
+    order = Window.partitionBy(*key).orderBy("rn")
+    whole, so_far = (order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
+    rows = rows.withColumn("d", F.col("x") - F.avg("x").over(whole))
+    rows = rows.withColumn("y", F.sum("d").over(so_far))
     spans = rows.groupBy(*key).agg((F.max("y") - F.min("y")).alias("range"), F.stddev_samp("x").alias("s")).where("s > 0")
     return _slope(spans.groupBy("series_id", "w").agg(F.avg(F.col("range") / F.col("s")).alias("level")))
 

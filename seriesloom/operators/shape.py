@@ -71,6 +71,23 @@ def hill_index(returns: DataFrame) -> DataFrame:
     return rows.where("nth <= k").groupBy("series_id").agg(F.first("k").alias("k"), divide(F.lit(1.0), F.avg(F.log(F.col("a") / F.col("bound")))).alias("hill"))
 
 
+def distribution(returns: DataFrame) -> DataFrame:
+    """(series_id, n_obs, kurtosis, moors, tail_both, tail_up, tail_low, hill): the five measures above from one exchange and one aggregation."""
+    octiles, tails = [k / 8 for k in (1, 3, 5, 7, 2, 6)], [0.01, 0.25, 0.75, 0.99]
+    a, nth, m, k = F.col("a"), F.col("nth"), F.col("m"), F.col("k")
+    rows = returns.select("series_id", "rn", "r", (F.col("r") - F.avg("r").over(_all())).alias("x")).withColumn("a", F.abs("x"))
+    rows = rows.withColumns({"nth": F.row_number().over(_all().orderBy(F.desc("a"), "rn")), "m": F.count_if(F.col("x") != 0).over(_all())})
+    rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(m * HILL_SHARE)), m - 1))
+    rows = rows.withColumn("bound", F.max(F.when(nth == k + 1, a)).over(_all()))
+    log_excess = F.avg(F.when((m >= HILL_ROWS) & (nth <= k), F.log(a / F.col("bound"))))
+    q = F.percentile("x", F.array(*(F.lit(p) for p in octiles + tails))).alias("q")
+    one = rows.groupBy("series_id").agg(F.count("r").alias("n_obs"), bias_corrected_kurtosis(F.col("x")).alias("kurtosis"), q, divide(F.lit(1.0), log_excess).alias("hill"))
+    e1, e3, e5, e7, low, high, q01, q25, q75, q99 = (F.col("q")[i] for i in range(10))
+    both = divide(F.abs(q99) + F.abs(q01), F.abs(q75) + F.abs(q25))
+    moors = F.when(F.abs(high - low) > 1e-12, ((e7 - e5) + (e3 - e1)) / (high - low))
+    return one.select("series_id", "n_obs", "kurtosis", moors.alias("moors"), both.alias("tail_both"), divide(q99, q75).alias("tail_up"), divide(F.abs(q01), F.abs(q25)).alias("tail_low"), "hill")
+
+
 def mutual_information(returns: DataFrame, lag: int = 1, bins: int = AMI_BINS) -> DataFrame:
     """Mutual information of values ``lag`` apart, from a histogram of equal bins over each axis."""
     pairs = returns.select("series_id", F.col("r").alias("a"), F.lead("r", lag).over(_order()).alias("b")).where("b is not null")
