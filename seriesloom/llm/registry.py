@@ -1,6 +1,7 @@
 """The registered queries of the text operators, and the SQL of those that SQL can express."""
 
 from .byte_bpe import op10_byte_bpe
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .minhash import minhash_classes, op4_minhash
 from .packing import op6_best_fit_packing
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
     "minhash_classes": minhash_classes,
 }
 
 SQL = {
     "op1_exact_topk": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
