@@ -3,6 +3,7 @@
 from .byte_bpe import op10_byte_bpe
 from .filter_audit import OP12_SQL, op12_filter_audit
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .merkle import op13_merkle_manifest
 from .minhash import minhash_classes, op4_minhash
 from .packing import op6_best_fit_packing
 from .pii import op5_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "minhash_classes": minhash_classes,
 }
 
