@@ -10,6 +10,7 @@ from .pii import op5_pii
 from .quality import op2_quality
 from .simhash import op3_simhash
 from .suffix_dedup import op9_suffix_dedup
+from .toxicity import op11_toxicity
 from .topk import OP1_SQL, op1_exact_topk
 from .url_filter import op7_url_filter
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
     "minhash_classes": minhash_classes,
@@ -32,5 +34,6 @@ QUERIES = {
 SQL = {
     "op1_exact_topk": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": OP12_SQL,
 }
