@@ -148,8 +148,9 @@ class _Rows:
         return np.bincount(self.at, v if self.sign is None else v * self.sign, self.width)
 
 
-def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarray], after: list[np.ndarray], times: np.ndarray, width: int, fairness: float = 1.0, lasso: float = 5e-4, ridge: float = 1e-4, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """The constant and the weights. Both labels weigh a half in the loss; accelerated proximal steps of a fixed length.
+def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarray], after: list[np.ndarray], times: np.ndarray, width: int, fairness: float = 1.0, lasso: float = 5e-4, ridge: float = 1e-4, rounds: int = 3000, least_change: float = 1e-6) -> tuple[float, np.ndarray]:
+    """The constant and the weights. Both labels weigh a half in the loss; accelerated proximal steps of a fixed length, until
+    a round changes no weight by more than ``least_change``; momentum starts anew where it leads uphill.
 
     before, after: features of the sentences and of their swapped forms; times: how often each such pair stands in the sample.
     """
@@ -175,9 +176,14 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarr
         g = share * (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y)
         u = v - step * (x.transposed(g) + 2 * pairs.transposed(cf * pairs.times(v)) + ridge * v)
         new_w, new_c = np.sign(u) * np.maximum(np.abs(u) - step * lasso, 0.0), d - step * float(g.sum())
+        if (v - new_w) @ (new_w - w) + (d - new_c) * (new_c - c) > 0:
+            t = 1.0
         faster = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, d = new_w + (t - 1) / faster * (new_w - w), new_c + (t - 1) / faster * (new_c - c)
+        moved = max(float(np.abs(new_w - w).max(initial=0.0)), abs(new_c - c))
         w, c, t = new_w, new_c, faster
+        if moved < least_change:
+            break
     return c, w
 
 
