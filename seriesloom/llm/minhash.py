@@ -6,11 +6,11 @@ places in two signatures estimates the Jaccard likeness of their shingle sets. A
 lower 16 bits in hexadecimal, so different minima look equal once in 65,536 places.
 
 :func:`near_duplicates` joins signature bands in Spark and verifies Jaccard likeness on the shingle sets themselves.
-:func:`with_next` pairs each document with the next by descending id without a global sort: ids are dealt to
-ranges whose upper ends are ids of the table, and a range's upper row is also sent to the range above it.
+:func:`with_next` pairs each document with the next by descending id without a global sort: rows are dealt to
+ranges that begin at rows of the table, and a range's first row is also sent to the range before it.
 
 Defined cases: a null or empty text has no shingles, and a signature of its own that equals only its like; fewer than
-five words are one shingle; of rows that share an id, the order is by text; rows without an id come last; a table of
+five words are one shingle; of rows that share an id, the order is by text; rows without an id come last; rows that repeat, however often, each have a row; a table of
 one row is its own next; extra columns are ignored.
 """
 
@@ -34,6 +34,10 @@ BANDS = 32
 CHUNK = 2048
 MEMO_ENTRIES = 300_000
 BUCKET_ROWS = 2000
+#: Bytes of a text that tell apart, beside the id, where a range begins.
+START_BYTES = 64
+#: Rows that repeat more often than this share of a part are counted instead of moved.
+OFTEN = 64
 #: Stands for a null id inside, so that ids stay whole numbers in tasks.
 NO_ID = -(1 << 63)
 
@@ -181,29 +185,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows (doc_id, text), dealt so that each task holds whole ranges of ids: columns part, last, id, text.
+    """The rows (doc_id, text), dealt so that each task holds whole ranges of (descending id, text): columns part, last, id, text, times.
 
-    Within a part rows are to be read by ``last``, then descending id; the row with ``last`` set only serves as the next one
-    of the row before it.
+    Within a part rows are to be read by ``last``, then descending id and text; the row with ``last`` set only serves as the next one
+    of the row before it. Ranges begin at pairs of an id and the first bytes of a text, so rows that share an id, or have none, are
+    dealt out as well. Rows that repeat an id and a text very often are one row with their number, ``times``: all of them but one have
+    their own text as the next one.
     """
     parts = parts or 4 * shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
-    ids = rows.select("id")
-    top = ids.agg(F.max("id")).first()[0]
-    ends = ids.select(F.percentile_approx("id", F.array(*(F.lit(i / parts) for i in range(1, parts))), 10 * parts)).first()[0] if parts > 1 else []
-    ends = sorted({int(e) for e in ends or [] if e < top}) if top is not None else []
-    part = F.lit(0)
-    if ends:
-        bounds = F.array(*(F.lit(e) for e in ends))
-        part = F.size(F.filter(bounds, lambda e: e < F.col("id")))
-    own = rows.withColumn("part", part.cast("int"))
-    # the upper row of a range serves the range above it; the table's first row serves the lowest range
-    serves = F.when(F.col("id") == F.lit(top), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    if ends:
-        serves = F.when(F.col("id").isin(ends), F.array(F.col("part") + 1)).otherwise(serves)
-    uses = F.concat(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))), F.transform(serves, lambda p: F.struct(p.cast("int").alias("part"), F.lit(True).alias("last"))))
-    dealt = own.select("doc_id", "id", "text", F.explode(uses).alias("use")).select("doc_id", "id", "text", "use.part", "use.last")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    start = F.substring(F.encode("text", "utf-8"), 1, START_BYTES)
+    rows = rows.select("*", F.bitwise_not("id").alias("back"), start.alias("start"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    same = ["back", "start", "h1", "h2"]
+    counts = written(rows.groupBy(*same).agg(F.count("*").alias("times")), "id-counts")
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    often = counts.where(F.col("times") > max(1, total // (OFTEN * parts)))  # fewer than OFTEN * parts rows
+    dealt = counts.repartitionByRange(parts, "back", "start").groupBy(F.spark_partition_id()).agg(F.min(F.struct("back", "start")).alias("first"))
+    starts = sorted((r["first"]["back"], bytes(r["first"]["start"])) for r in dealt.collect())  # one a part
+
+    single = rows.join(F.broadcast(often.select(*same)), same, "left_anti").withColumn("times", F.lit(1).cast("long"))
+    one = rows.join(F.broadcast(often.select(*same)), same, "left_semi").groupBy(*same).agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    own = single.unionByName(one.join(F.broadcast(often), same)).withColumn("at", F.struct("back", "start"))
+    begins = F.array(*(F.struct(F.lit(b).cast("long").alias("back"), F.lit(s).alias("start")) for b, s in starts or [(0, b"")]))
+    own = own.withColumn("part", F.size(F.filter(begins, lambda x: x <= F.col("at"))) - 1)
+    # the first row of a range serves the range before it; the table's first row serves the last range
+    before = F.when(F.array_contains(begins, F.col("at")), F.array(F.pmod(F.col("part") - 1, F.lit(max(1, len(starts)))))).otherwise(F.array().cast("array<int>"))
+    uses = F.concat(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("last"))), F.transform(before, lambda p: F.struct(p.alias("part"), F.lit(True).alias("last"))))
+    dealt = own.select("id", "text", "times", F.explode(uses).alias("use")).select("id", "text", "times", "use.part", "use.last")
     return dealt.repartition("part").sortWithinPartitions("part", "last", F.desc("id"), "text")
 
 
@@ -214,27 +223,35 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer, part, before, served = Signer(), None, None, False
+
+        def result(an_id: int, text: str, sign: np.ndarray, after: str, after_sign: np.ndarray, times: int) -> tuple:
+            half = len(text) // 2
+            edited = text[: len(text) - half] + after[:half]
+            changed = signer.signature(edited)
+            return an_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), hex_of(sign), hex_of(changed), likeness(sign, changed), likeness(sign, after_sign), times
+
         for pdf in batches:
             out = []
-            for an_id, text, p, last in pdf[["id", "text", "part", "last"]].itertuples(index=False):
+            for an_id, text, times, p, last in pdf[["id", "text", "times", "part", "last"]].itertuples(index=False):
                 if p != part:
                     part, before, served = p, None, False
                 if served:
                     continue
                 own = signer.signature(text)
                 if before is not None:
-                    a_id, a_text, a_sign = before
-                    half = len(a_text) // 2
-                    edited = a_text[: len(a_text) - half] + text[:half]
-                    changed = signer.signature(edited)
-                    out.append((a_id, len(a_text), hashlib.sha256(edited.encode()).hexdigest(), hex_of(a_sign), hex_of(changed), likeness(a_sign, changed), likeness(a_sign, own)))
+                    out.append(result(*before, text, own, 1))
+                if times > 1 and not last:
+                    out.append(result(an_id, text, own, text, own, times - 1))
                 before, served = (an_id, text, own), last
-            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"])
 
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, times long"
     found = with_next(docs).mapInPandas(stream, schema)
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
-    return found.select(doc_id, *(c for c in found.columns if c != "id"))
+    named = [doc_id, *(c for c in found.columns if c not in ("id", "times"))]
+    # rows that repeat come back in two steps, so that no array grows with their number
+    thousands = found.select(*named, (F.col("times") - 1).alias("rest"), F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 1000))).alias("k"))
+    return thousands.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(1000), F.col("rest") - F.col("k") * 1000 + 1).cast("int")))).drop("_", "rest", "k")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

@@ -289,7 +289,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     both = across.groupBy("mark", "string").count().where("count > 1").select("mark", "string")
     met = across.where("b >= 0").join(both, ["mark", "string"], "left_semi").select("id", "th", "a", "b")
     everything = copied.unionByName(whole).unionByName(runs).unionByName(met)
-    return everything.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    # a set: rows that repeat an id and a text bring the same runs, however many they are
+    return everything.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
 
 
 def remove_runs(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

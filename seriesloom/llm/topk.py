@@ -6,8 +6,8 @@ second moments), so that the first coordinates carry most of a product. With p t
 coordinates, no product can exceed p + |rest of q| |rest of c|; only pairs whose bound reaches the query's k-th best so
 far are computed, in integers.
 
-There are two passes. The first takes all queries to the group of the longest vectors, which gives each query a k-th
-score. The second takes a query only to the groups whose longest vector times the query's length can reach that score: these
+There are two passes. The first takes all queries to the group of the longest vectors, of which every ``FIRST_BLOCKS`` blocks of queries
+get a copy in a task of their own; it gives each query a k-th score. The second takes a query only to the groups whose longest vector times the query's length can reach that score: these
 are a run of groups from the longest on, so a query block needs no list of groups, and groups beyond are never read for it.
 Candidates move once (once for every ``QUERY_BLOCKS`` blocks of queries, so that no task has to meet an unbounded number of them); what moves
 besides are query blocks, for groups that they can't pass over. Where all vectors are of one length the bound passes nothing
@@ -35,6 +35,8 @@ QUERIES_PER_BLOCK = 128
 #: Candidates that a group holds, about; and blocks of queries that one task takes to a group.
 GROUP_ROWS = 8192
 QUERY_BLOCKS = 512
+#: Blocks of queries that one task takes to the first group, which all of them meet.
+FIRST_BLOCKS = 16
 #: Groups whose tops the driver reads, at most: a query block may be sent to the groups between two of them for nothing.
 GATES = 1024
 STEPS = (8, 24)
@@ -140,13 +142,13 @@ class Best:
         return pd.DataFrame({"at": q, "query_id": self.ids[q], "vec_id": self.who[q, nth], "score": self.score[q, nth]})
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, turn, dim: int, k: int, query_blocks: int) -> DataFrame:
+def _meet(queries: DataFrame, candidates: DataFrame, turn, dim: int, k: int, query_blocks: int, a_task: int | None = None) -> DataFrame:
     """(q, query_id, vec_id, score): the k best of each query in each group that its block (columns of :func:`_blocks`, g) is sent to."""
-    lanes = max(1, -(-query_blocks // QUERY_BLOCKS))
+    lanes = max(1, -(-query_blocks // (a_task or QUERY_BLOCKS)))
     none = F.lit(None).cast("binary")
     copies = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     held = candidates.select("g", copies, F.lit(0).alias("kind"), "top", "ids", "matrix", none.alias("keys"), none.alias("needs"))
-    lane = F.pmod(F.xxhash64("keys"), F.lit(lanes)).cast("int").alias("lane")
+    lane = F.pmod(F.xxhash64("keys", F.lit(1)), F.lit(lanes)).cast("int").alias("lane")
     asking = queries.select("g", lane, F.lit(1).alias("kind"), "top", "ids", "matrix", "keys", "needs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +192,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     # first pass: every query meets the group of the longest vectors
     every = asked.select("*", F.lit(float("-inf")).alias("need"), F.lit(low).alias("upto")).repartitionByRange(parts, "q")
     first = _blocks(every, QUERIES_PER_BLOCK, bounds=True).withColumn("g", F.lit(low))
-    found = written(_meet(first, candidates.where(F.col("g") == low), turn, dim, k, blocks), "first-scores")
+    found = written(_meet(first, candidates.where(F.col("g") == low), turn, dim, k, blocks, FIRST_BLOCKS), "first-scores")
     if high > low:
         # second pass: groups whose longest vector can still reach the k-th score
         step = -(-(high + 1) // GATES)

@@ -9,7 +9,8 @@ broadcast: the stretches of each distinct host are joined with the word counts,
 host and path with the tokens' odds.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged by the prior;
-equal scores allow; rows that repeat are judged alike; with no URL under a rule, all others are allowed; a null page
+equal scores allow; rows that repeat are judged alike, and are counted by their number of times, not written out;
+words and hosts may be of any length (work grows with the square of a run of letters in a host); with no URL under a rule, all others are allowed; a null page
 is judged by its URL and adds no words; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,8 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, need, written
 
-LONGEST_WORD = 24
+#: Stretches of hosts that a task yields at a time.
+STRETCHES = 50_000
 PIECES = re.compile(r"[a-z]+|[0-9]+")
 PARTS = re.compile(r"[^\W_]+")
 
@@ -62,16 +65,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n): all words of the pages' visible text."""
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("word")).where((F.length("word") > 0) & (F.length("word") <= LONGEST_WORD))
+    words = pages.select(F.explode(F.split(F.lower(text), r"[^a-z]+")).alias("word")).where(F.length("word") > 0)
     return written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
 def segment(name: str, words: dict[str, float], unknown: float = -12.0) -> list[str]:
     """The most probable split of a name into words; letters that no word covers cost ``unknown`` each."""
-    best = [0.0] + [-math.inf] * len(name)
+    best, longest = [0.0] + [-math.inf] * len(name), max(map(len, words), default=1)
     back = [0] * (len(name) + 1)
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
+        for start in range(max(0, end - longest), end):
             cost = words.get(name[start:end])
             if cost is None:
                 if end - start > 1:
@@ -89,12 +92,21 @@ def segment(name: str, words: dict[str, float], unknown: float = -12.0) -> list[
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words): the words of each distinct host's labels, split by the counts (word, n) of its own stretches."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def stretches(names: pd.Series) -> pd.Series:
-        """All stretches of letters that may be words."""
-        return pd.Series([list({p[i:j] for p in PIECES.findall(h) if p[0] > "9" for i in range(len(p)) for j in range(i + 1, min(len(p), i + LONGEST_WORD) + 1)}) for h in names], dtype=object)
-
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All stretches of a host's letters that may be words: none is longer than the longest word."""
+        frame = lambda rows: pd.DataFrame(rows, columns=["host", "word"], dtype=object)
+        for pdf in batches:
+            out: list[tuple[str, str]] = []
+            for host in pdf["host"]:
+                for p in {p for p in PIECES.findall(host) if p[0] > "9"}:
+                    for i in range(len(p)):
+                        out += [(host, p[i:j]) for j in range(i + 1, min(len(p), i + (longest or 0)) + 1)]
+                        if len(out) > STRETCHES:
+                            yield frame(out)
+                            out = []
+            yield frame(out)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(names: pd.Series, words: pd.Series, times: pd.Series) -> pd.Series:
@@ -105,8 +117,8 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     each = hosts.select("host").distinct()
-    found = each.select("host", F.explode(stretches("host")).alias("word")).join(counts, "word")
-    known = found.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    found = each.mapInPandas(stretches, "host string, word string").join(counts, "word")
+    known = found.groupBy("host").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     return each.join(known, "host", "left").select("host", split("host", F.col("known.word"), F.col("known.n")).alias("words"))
 
 
@@ -117,10 +129,10 @@ def path_tokens(paths: pd.Series) -> pd.Series:
 
 
 def token_odds(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """(token, odds): log odds of block against allow for each token; and the prior's, from rows (tokens, verdict)."""
-    blocked = F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("block")
-    prior = labelled.agg(F.count("*").alias("all"), blocked).first()
-    counts = labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("all"), blocked)
+    """(token, odds): log odds of block against allow for each token; and the prior's, from rows (tokens, verdict, times)."""
+    seen, blocked = F.sum("times").alias("all"), F.sum(F.when(F.col("verdict") == "block", F.col("times")).otherwise(0)).alias("block")
+    prior = labelled.agg(seen, blocked).first()
+    counts = labelled.select("verdict", "times", F.explode("tokens").alias("token")).groupBy("token").agg(seen, blocked)
     counts = written(counts, "tokens")
     totals = counts.agg(F.sum("all").alias("all"), F.sum("block").alias("block"), F.count("*").alias("kinds")).first()
     n, bad, v = totals["all"] or 0, totals["block"] or 0, totals["kinds"] + 1
@@ -130,8 +142,8 @@ def token_odds(labelled: DataFrame) -> tuple[DataFrame, float]:
 
 
 def naive_bayes(labelled: DataFrame) -> tuple[dict[str, float], float]:
-    """:func:`token_odds` of a small table, as a dictionary; the filter itself joins the odds."""
-    odds, prior = token_odds(labelled)
+    """:func:`token_odds` of a small table of single rows, as a dictionary; the filter itself joins the odds."""
+    odds, prior = token_odds(labelled.withColumn("times", F.lit(1)))
     return {r["token"]: r["odds"] for r in odds.collect()}, prior
 
 
@@ -146,7 +158,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     same = ["host", "path"]
     urls = cut.groupBy(*same, "says").agg(F.count("*").alias("times")).join(words, "host")
     urls = written(urls.select(*same, "says", "times", F.concat("words", path_tokens("path")).alias("tokens")), "url-tokens")
-    labelled = urls.where("says is not null").select("tokens", F.col("says").alias("verdict"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
+    labelled = urls.where("says is not null").select("tokens", F.col("says").alias("verdict"), "times")
     odds, prior = token_odds(labelled)
     # summed in the order of the tokens, so that scores are equal whatever the order of rows
     open_urls = urls.where("says is null")
