@@ -5,6 +5,7 @@ The registry names eleven models with their selected settings; ``make`` builds o
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -14,6 +15,26 @@ import numpy as np
 SEED = 2026
 
 
+class OutOfTime(TimeoutError):
+    """A fit or a prediction went on beyond its limit."""
+
+
+class Deadline:
+    """Seconds that a piece of work may take from now on; none without a limit."""
+
+    def __init__(self, seconds: float | None = None) -> None:
+        self.ends = None if seconds is None else time.monotonic() + seconds
+        self.seconds = seconds
+
+    def check(self) -> None:
+        if self.ends is not None and time.monotonic() > self.ends:
+            raise OutOfTime(f"beyond {self.seconds} s")
+
+
+#: What a model without a limit is given.
+NO_LIMIT = Deadline()
+
+
 class Model(Protocol):
     def fit(self, x: np.ndarray, y: np.ndarray) -> None: ...
 
@@ -75,6 +96,7 @@ class EchoState:
         steps = x.shape[1]
         first, last = self.gains
         for t in range(steps):
+            getattr(self, "deadline", NO_LIMIT).check()
             gain = first * (last / first) ** (t / max(steps - 1, 1))
             h = (1 - self.leak) * h + self.leak * np.tanh(x[:, t, None] * self.win + gain * (h @ self.w.T))
         return np.hstack([h, np.ones((len(x), 1))])
@@ -104,6 +126,7 @@ class LogisticNet:
         h = np.full((len(x), self.size), 0.5)
         z = (x - self.mean) / self.sd
         for t in range(x.shape[1]):
+            getattr(self, "deadline", NO_LIMIT).check()
             r = self.rates[0] + (self.rates[1] - self.rates[0]) / (1 + np.exp(-(z[:, t, None] * a + b)))
             h = (1 - self.beta) * h + self.beta * r * h * (1 - h)
         return np.hstack([h, np.ones((len(x), 1))])
@@ -119,7 +142,11 @@ class LogisticNet:
 
 @dataclass
 class Trained:
-    """Gradient training by Adam on mean squared error, with a held-out tail for early stopping; best weights stay."""
+    """Gradient training by Adam on mean squared error, with a held-out tail for early stopping; best weights stay.
+
+    ``trace`` has the mean loss of every epoch on what it learns from and on the tail, and why the training ended.
+    A ``deadline`` set before the fit is checked before every batch.
+    """
 
     epochs: int = 30
     patience: int = 5
@@ -148,22 +175,29 @@ class Trained:
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         s = {k: np.zeros_like(v) for k, v in self.params.items()}
         best, kept, bad, step = np.inf, None, 0, 0
+        deadline = getattr(self, "deadline", NO_LIMIT)
+        self.trace: dict = {"train_loss": [], "val_loss": [], "stop_reason": "epochs"}
         for _ in range(self.epochs):
-            order = rng.permutation(len(zt))
+            order, total = rng.permutation(len(zt)), 0.0
             for at in range(0, len(order), self.batch):
+                deadline.check()
                 pick = order[at : at + self.batch]
                 out, cache = self.forward(zt[pick])
+                total += float(((out - tt[pick]) ** 2).sum())
                 step += 1
                 for k, g in self.backward(cache, (out - tt[pick]) * np.float32(2 / len(pick))).items():
                     m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g
                     s[k] = np.float32(0.999) * s[k] + np.float32(0.001) * g * g
                     self.params[k] -= np.float32(self.rate / (1 - 0.9**step)) * m[k] / (np.sqrt(s[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
             loss = float(((self.forward(zv)[0] - tv) ** 2).mean())
+            self.trace["train_loss"].append(total / max(len(zt), 1))
+            self.trace["val_loss"].append(loss)
             if loss < best - 1e-9:
                 best, kept, bad = loss, {k: v.copy() for k, v in self.params.items()}, 0
             else:
                 bad += 1
                 if bad >= self.patience:
+                    self.trace["stop_reason"] = "patience"
                     break
         self.params = kept or self.params
 
@@ -284,6 +318,13 @@ REGISTRY: dict[str, Callable[[], Model]] = {
 }
 
 
+def n_parameters(model: Model) -> int:
+    """How many numbers a fitted model learned."""
+    if isinstance(model, Trained):
+        return int(sum(v.size for v in model.params.values()))
+    return int(np.size(getattr(model, "out", getattr(model, "w", ())))) + isinstance(model, RidgeLag) + (isinstance(model, Constant) and model.use_mean)
+
+
 def make(name: str, **settings) -> Model:
     model = REGISTRY[name]()
     for k, v in settings.items():
