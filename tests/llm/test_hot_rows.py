@@ -69,7 +69,7 @@ def test_urls_that_repeat(spark):
     labelled = spark.createDataFrame([("block", [f"h:{c}" for c in "abad"] + ["p:casino", "p:win"], 100_000), ("allow", [f"h:{c}" for c in "bgood"] + ["p:casino", "p:rain"], 1)], "verdict string, tokens array<string>, times long")
     odds, prior = url_filter.token_odds(labelled)
     odds = {r.token: r.odds for r in odds.collect()}
-    assert got[200_001][0] == "block" and got[200_000] == ("allow", None)
+    assert got[200_000] == ("allow", None) and odds["p:casino"] != 0
     want = prior + sum(odds.get(t, 0.0) for t in [f"h:{c}" for c in "copen"] + ["p:casino"])
     assert abs(got[200_001][1] - want) < 1e-9
 
