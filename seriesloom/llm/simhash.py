@@ -207,9 +207,9 @@ def groups(docs: DataFrame, radius: int = 2, words_per_shingle: int = 3, shard_r
 
 
 def text_key(text: Column) -> Column:
-    """A hash of the text's words, whatever white space and case of A-Z: texts with equal keys are one text."""
+    """A 128-bit hash of the text's words, whatever white space and case of A-Z: texts with equal keys are one text."""
     words = F.btrim(F.regexp_replace(ascii_lower(text), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
-    return F.xxhash64(words)
+    return F.unhex(F.md5(words))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -220,14 +220,16 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common)
 
 
-def rare_links(members: list[tuple[int, int, int, bool, np.ndarray]], similarity: float, across: bool) -> list[tuple[int, int]]:
+def rare_links(members: list[tuple[bytes, int, int, bool, np.ndarray]], similarity: float, across: bool) -> list[tuple[int, int]]:
     """Links (places of two members) between groups that a shard's texts have, whatever their fingerprints.
 
     A member is (group, size, rest, upper, shingles): how many shingles it has, and how many that another text holds
     from the shard's one on. Two texts can only be alike if the lesser rest makes up the likeness, where the shard's shingle is
     their first common one. With ``across``, only upper members meet lower ones.
     """
-    group, size, rest = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    numbers: dict[bytes, int] = {}
+    group = np.array([numbers.setdefault(m[0], len(numbers)) for m in members], np.int64)
+    size, rest = (np.array([m[k] for m in members], np.int64) for k in (1, 2))
     upper = np.array([m[3] for m in members], bool)
     low, links = np.flatnonzero(~upper), []
     for i in np.flatnonzero(upper).tolist() if across else range(1, len(members)):
@@ -250,12 +252,12 @@ def _rare_shards(sets: DataFrame, groups: DataFrame, similarity: float, shard_ro
     is dealt to a task for each pair of its blocks (low, high).
     """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<bigint>")
     def numbers(held: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(h, "<i4") for h in held], dtype=object)
+        return pd.Series([np.frombuffer(h, "<i8") for h in held], dtype=object)
 
     share = similarity / (1 + similarity)
-    each = written(sets.select("th", F.explode(numbers("shingles")).alias("key"), (F.length("shingles") / 4).cast("int").alias("size")), "shingles")
+    each = written(sets.select("th", F.explode(numbers("shingles")).alias("key"), (F.length("shingles") / 8).cast("int").alias("size")), "shingles")
     holders = each.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1")
     order = Window.partitionBy("th").orderBy(F.desc("holders"), F.desc("key"))
     early = each.join(holders, "key").withColumn("rest", F.row_number().over(order)).where(F.col("rest") >= F.col("size") * similarity - 1e-6)
@@ -304,11 +306,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
 
     @F.pandas_udf(T.BinaryType())
     def shingle_set(texts: pd.Series) -> pd.Series:
-        """The shingles' hashes, 32 bits of each."""
-        return pd.Series([np.unique((shingle_hashes(t, words_per_shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts], dtype=object)
+        """The shingles' hashes, 64 bits of each."""
+        return pd.Series([np.unique(shingle_hashes(t, words_per_shingle)).astype("<u8").tobytes() for t in texts], dtype=object)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        def links(members: list[tuple[int, bytes, np.ndarray]]) -> list[tuple[bytes, bytes]]:
             def alike(i: int, j: int) -> bool:
                 return _alike(members[i][2], members[j][2], similarity)
 
@@ -321,13 +323,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
                 if (slot, key, part) != now:
                     found += links(members)
                     now, members = (slot, key, part), []
-                members.append((fp, th, np.frombuffer(shingles, "<u4")))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                members.append((fp, th, np.frombuffer(shingles, "<u8")))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
             found = []
-        yield pd.DataFrame(links(members), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(members), columns=["a", "b"], dtype=object)
 
     def search_rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def links(now: tuple[int, int, int] | None, members: list, names: list[int]) -> list[tuple[int, int]]:
+        def links(now: tuple[int, int, int] | None, members: list, names: list[bytes]) -> list[tuple[bytes, bytes]]:
             return [(names[i], names[j]) for i, j in rare_links(members, similarity, now[1] != now[2])] if len(members) > 1 else []
 
         now, members, names, found = None, [], [], []
@@ -336,11 +338,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
                 if (key, low, high) != now:
                     found += links(now, members, names)
                     now, members, names = (key, low, high), [], []
-                members.append((root, size, rest, upper, np.frombuffer(shingles, "<u4")))
+                members.append((root, size, rest, upper, np.frombuffer(shingles, "<u8")))
                 names.append(th)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=object)
             found = []
-        yield pd.DataFrame(links(now, members, names), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(links(now, members, names), columns=["a", "b"], dtype=object)
 
     described = written(docs.select("doc_id", text_key(text).alias("th"), describe(text).alias("d")).select("doc_id", "th", "d.*"), "described")
     distinct = described.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
@@ -363,12 +365,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words_per_shingle:
     sets = written(sets, "shingle-sets") if crowd else sets
     parts = F.ceil(F.col("n") / shard_rows).cast("int")
     dealt = at.withColumn("part", F.pmod(F.xxhash64("th", "slot"), parts)).join(sets, "th").repartition("slot", "key", "part").sortWithinPartitions("slot", "key", "part", "fp")
-    links = dealt.mapInPandas(search, "a long, b long")
+    links = dealt.mapInPandas(search, "a binary, b binary")
     if crowd:
         links = written(links, "links")
         linked = written(components(links).select(F.col("node").alias("th"), "root"), "linked")
         rare = _rare_shards(sets.join(crowded, "th", "left_semi"), linked, similarity, shard_rows)
-        links = links.unionByName(rare.mapInPandas(search_rare, "a long, b long"))
+        links = links.unionByName(rare.mapInPandas(search_rare, "a binary, b binary"))
     roots = components(links).select(F.col("node").alias("th"), "root")
     rooted = distinct.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
@@ -383,7 +385,7 @@ def near_dedup(docs: DataFrame, **how) -> DataFrame:
     found = written(similar_groups(docs, **how), "groups")
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     same = Window.partitionBy("doc_id", "_sl_hash").orderBy(F.lit(1))
-    first = lambda df: df.withColumn("_sl_hash", F.xxhash64("text")).withColumn("_sl_nth", F.row_number().over(same)).where("_sl_nth = 1").drop("_sl_hash", "_sl_nth")
+    first = lambda df: df.withColumn("_sl_hash", F.md5("text")).withColumn("_sl_nth", F.row_number().over(same)).where("_sl_nth = 1").drop("_sl_hash", "_sl_nth")
     named = docs.join(stay, "doc_id", "left_semi").select(docs.columns)
     alone = found.where("doc_id is null and component_id is null").select("th").distinct()
     nameless = docs.where("doc_id is null").withColumn("_sl_th", text_key(F.coalesce("text", F.lit(""))))
