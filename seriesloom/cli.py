@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from .config import STAGES, load
 from .plans.registry import all_queries
+from .settings import using
 from .sources.files import manifest, write_bundle
 
 log = logging.getLogger("seriesloom")
@@ -32,7 +33,9 @@ def report(spark: SparkSession, tables: str, output: str, names: list[str], stag
     if unknown := [n for n in names if n not in known]:
         raise ValueError(f"no such queries: {unknown}")
     log.info("%s: %d queries over %s", stage, len(names), tables)
-    write_bundle({n: known[n](spark, tables) for n in names}, output, {n: (known[n].__doc__ or "") for n in names}, fmt)
+    with using(settings or {}):  # plans are made here, so the settings are in them
+        sheets = {n: known[n](spark, tables) for n in names}
+    write_bundle(sheets, output, {n: (known[n].__doc__ or "") for n in names}, fmt)
     manifest(spark, f"{output}/manifest", stage, {"tables": tables, "queries": names, "settings": settings or {}}, n_queries=len(names), commit=commit())
     log.info("%s: written to %s", stage, output)
 
@@ -56,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         report(spark, args.tables, args.output, list(STAGES[args.name][0]), args.name, args.format, STAGES[args.name][1])
     else:
         c = load(args.file)
-        report(spark, c.tables, c.output, list(c.queries), c.stage or "report", c.format, dict(c.settings))
+        report(spark, c.tables, c.output, list(c.queries), c.stage or "report", c.format, c.given())
 
 
 if __name__ == "__main__":

@@ -61,9 +61,22 @@ def welch(x: np.ndarray, segment: int = 256) -> tuple[np.ndarray, np.ndarray] |
     return np.fft.rfftfreq(w), power
 
 
-def spectral(x: np.ndarray, low: float = 0.02, high: float = 1.0, points: int = 8) -> dict[str, float | None]:
+def periodogram(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Frequencies and one-sided density of the whole series: its full-length transform, nothing removed or tapered."""
+    n = len(x)
+    if n < 8:
+        return None
+    power = np.abs(np.fft.rfft(x)) ** 2 / n
+    power[1 : (n + 1) // 2] *= 2
+    return np.fft.rfftfreq(n), power
+
+
+DENSITIES = {"welch": welch, "periodogram": periodogram}
+
+
+def spectral(x: np.ndarray, low: float = 0.02, high: float = 1.0, points: int = 8, method: str = "welch") -> dict[str, float | None]:
     """Slope of log power over log frequency within the band, entropy and flatness over positive frequencies."""
-    found = welch(x - x.mean()) if len(x) >= 8 else None
+    found = DENSITIES[method](x - x.mean()) if len(x) >= 8 else None
     out: dict[str, float | None] = {"slope": None, "entropy": None, "flatness": None}
     if found is None:
         return out

@@ -50,9 +50,9 @@ def _join(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "series_id", "left"), parts)
 
 
-def block_a(returns: DataFrame) -> DataFrame:
+def block_a(returns: DataFrame, hurst_min: int = dependence.HURST_MIN, hurst_max: int = dependence.HURST_MAX) -> DataFrame:
     """Hurst exponents, autocorrelations of returns and their sizes, their sums, portmanteau statistics, variance ratios."""
-    parts = [_sizes(returns), dependence.hurst_rs(returns).withColumnRenamed("hurst", "hurst_rs"), dependence.hurst_dfa(returns).withColumnRenamed("hurst", "hurst_dfa")]
+    parts = [_sizes(returns), dependence.hurst_rs(returns, hurst_min, hurst_max).withColumnRenamed("hurst", "hurst_rs"), dependence.hurst_dfa(returns, hurst_min, hurst_max).withColumnRenamed("hurst", "hurst_dfa")]
     lags = sorted({*range(1, max(dependence.LJUNG_BOX_ORDERS) + 1), *dependence.ACF_LAGS})
     grid = dependence.acf_arrays(returns, lags, {"_ret": F.col("r"), "_absret": F.abs("r")})
     at = {k: i for i, k in enumerate(lags)}
@@ -68,7 +68,7 @@ def block_a(returns: DataFrame) -> DataFrame:
     parts.append(wide.drop(*(f"_o{m}" for m in dependence.LJUNG_BOX_ORDERS)))
     parts.append(_pivot(dependence.variance_ratio(returns), "q", "variance_ratio", {q: f"vr_q{q}" for q in dependence.VARIANCE_RATIO_STEPS}))
     rows, n = _join(parts), F.col("n_obs")
-    short = n < max(2 * dependence.HURST_MIN, 64)
+    short = n < max(2 * hurst_min, 64)
     rules = {}
     for h in ("hurst_rs", "hurst_dfa"):
         rules |= {f"{h}_too_short": short, f"{h}_unstable": ~short & F.col(h).isNull(), f"{h}_out_of_range": (F.col(h) < 0) | (F.col(h) > 1.5)}
@@ -95,10 +95,10 @@ def block_b(returns: DataFrame) -> DataFrame:
     return with_flags(rows, rules, failed).drop("_s1", "_s2", "_s3")
 
 
-def block_c(returns: DataFrame) -> DataFrame:
+def block_c(returns: DataFrame, hill_share: float = shape.HILL_SHARE) -> DataFrame:
     """Kurtosis by moments and by octiles, ratios of outer quantiles to quartiles, and the tail index."""
     names = {"moors": "robust_kurtosis", "tail_both": "tail_ratio_symmetric", "tail_up": "tail_ratio_upper", "tail_low": "tail_ratio_lower", "hill": "hill_tail_index"}
-    rows = shape.distribution(returns).withColumnsRenamed(names)
+    rows = shape.distribution(returns, hill_share).withColumnsRenamed(names)
     n = F.col("n_obs")
     rules = {
         "series_too_short_for_block_c": n < LEAST_RETURNS["C"], "kurtosis_too_short": n < 4, "kurtosis_negative": F.col("kurtosis") < 0, "robust_kurtosis_denominator_near_zero": F.col("robust_kurtosis").isNull(),
@@ -108,14 +108,14 @@ def block_c(returns: DataFrame) -> DataFrame:
     return with_flags(rows, rules)
 
 
-def block_d(returns: DataFrame) -> DataFrame:
-    """Delay, embedding dimension, correlation dimension, largest Lyapunov exponent and its time; series of 300 returns or more only."""
+def block_d(returns: DataFrame, least_returns: int = LEAST_RETURNS["D"]) -> DataFrame:
+    """Delay, embedding dimension, correlation dimension, largest Lyapunov exponent and its time; series of enough returns only."""
     sizes = _sizes(returns)
-    enough = sizes.where(F.col("n_obs") >= LEAST_RETURNS["D"])
+    enough = sizes.where(F.col("n_obs") >= least_returns)
     found = series_kernels.chaos_features(returns.join(enough.select("series_id"), "series_id", "left_semi"))
     timed = shape.lyapunov_time(found.select("series_id", "lyapunov"), "lyapunov").select("series_id", "lyapunov_time", F.col("flag").alias("_time_flag"))
     rows = _join([sizes, found.withColumnsRenamed({"delay": "selected_delay_tau", "dimension": "embedding_dimension", "lyapunov": "largest_lyapunov_exponent", "status": "_kernel"}), timed])
-    short = F.col("n_obs") < LEAST_RETURNS["D"]
+    short = F.col("n_obs") < least_returns
     rules = {
         "series_too_short_for_block_d": short, "tau_fallback_default": F.col("delay_method") == "fallback_default", "fnn_unstable": F.col("dimension_method") == "best_available",
         "correlation_dimension_scaling_fit_failed": ~short & F.col("correlation_dimension").isNull(), "correlation_dimension_negative": F.col("correlation_dimension") < 0, "lyapunov_nonfinite": ~short & F.col("largest_lyapunov_exponent").isNull(),

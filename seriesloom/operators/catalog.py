@@ -38,8 +38,8 @@ def length_bucket(n: Column, target: int = TARGET, minimum: int = MINIMUM) -> Co
     return F.when(n < minimum, f"<{minimum}").when(n < target, f"{minimum}-{target - 1}").otherwise(f">={target}")
 
 
-def length_distribution(catalog: DataFrame) -> DataFrame:
-    return catalog.groupBy(length_bucket(F.col("n_rows")).alias("bucket")).agg(F.count("*").alias("n_series"))
+def length_distribution(catalog: DataFrame, target: int = TARGET, minimum: int = MINIMUM) -> DataFrame:
+    return catalog.groupBy(length_bucket(F.col("n_rows"), target, minimum).alias("bucket")).agg(F.count("*").alias("n_series"))
 
 
 def duplicate_dates(rows: DataFrame, series: str, date: str) -> DataFrame:

@@ -77,11 +77,11 @@ def log_windows(low: int = HURST_MIN, high: int = HURST_MAX, count: int = HURST_
     return sorted({max(int(w), 2) for w in np.geomspace(low, high, count)})
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
+def _chunks(rows: DataFrame, low: int = HURST_MIN, high: int = HURST_MAX) -> DataFrame:
     """Rows (series_id, n, rn, x) once for each window length w that fits at least twice, in whole chunks."""
-    windows = F.explode(F.array(*(F.lit(w) for w in log_windows())))
+    windows = F.explode(F.array(*(F.lit(w) for w in log_windows(low, high))))
     out = rows.withColumn("w", windows).where("w <= n div 2 and rn < (n div w) * w and n div w >= 2")
-    return out.where(F.col("n") >= max(2 * HURST_MIN, 64)).withColumn("chunk", F.expr("rn div w"))
+    return out.where(F.col("n") >= max(2 * low, 64)).withColumn("chunk", F.expr("rn div w"))
 
 
 def _slope(scales: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def _slope(scales: DataFrame) -> DataFrame:
     return scales.where("level > 0").groupBy("series_id").agg(slope.alias("hurst"))
 
 
-def hurst_rs(returns: DataFrame) -> DataFrame:
+def hurst_rs(returns: DataFrame, low: int = HURST_MIN, high: int = HURST_MAX) -> DataFrame:
     """Rescaled range: slope of the log mean R/S over the log window length."""
     key = ["series_id", "w", "chunk"]
-    rows = _chunks(returns.select("series_id", "n", "rn", F.col("r").alias("x")))
+    rows = _chunks(returns.select("series_id", "n", "rn", F.col("r").alias("x")), low, high)
     # both windows have one order, so one sort serves them
     order = Window.partitionBy(*key).orderBy("rn")
     whole, so_far = (order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, Window.currentRow))
@@ -102,10 +102,10 @@ def hurst_rs(returns: DataFrame) -> DataFrame:
     return _slope(spans.groupBy("series_id", "w").agg(F.avg(F.col("range") / F.col("s")).alias("level")))
 
 
-def hurst_dfa(returns: DataFrame) -> DataFrame:
+def hurst_dfa(returns: DataFrame, low: int = HURST_MIN, high: int = HURST_MAX) -> DataFrame:
     """Detrended fluctuation: slope of the log mean residual root mean square over the log window length."""
     profile = returns.withColumn("d", F.col("r") - F.avg("r").over(_all())).select("series_id", "n", "rn", F.sum("d").over(_order()).alias("x"))
-    rows = _chunks(profile).withColumn("t", F.expr("cast(rn % w as double)"))
+    rows = _chunks(profile, low, high).withColumn("t", F.expr("cast(rn % w as double)"))
     rest = F.regr_syy("x", "t") - F.regr_sxy("x", "t") * F.regr_sxy("x", "t") / F.regr_sxx("x", "t")
     spans = rows.groupBy("series_id", "w", "chunk").agg(F.sqrt(F.greatest(rest, F.lit(0.0)) / F.count("*")).alias("f"))
     return _slope(spans.groupBy("series_id", "w").agg(F.avg("f").alias("level")))

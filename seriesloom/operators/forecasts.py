@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import divide
-from .returns import WINDOWS, supervised, with_folds
+from .returns import FOLDS, WINDOWS, supervised, with_folds
 
 TASK = ["series_id", "horizon", "model", "fold"]
 METRICS = ["mae", "mse", "rmse", "mase", "mape", "smape", "huber", "directional_accuracy", "medae", "bias", "r2", "r2_oos"]
 MODELS = ["naive_last", "naive_mean", "naive_zero"]
 
 
-def folded_targets(returns: DataFrame, horizons: Sequence[int] = (1, 5, 20)) -> DataFrame:
+def folded_targets(returns: DataFrame, horizons: Sequence[int] = (1, 5, 20), folds: int = FOLDS) -> DataFrame:
     """Rows (series_id, horizon, fold, part, i, train_n, y, last) of every horizon."""
     out = None
     for h in horizons:
-        rows = with_folds(supervised(returns, h, WINDOWS[h]).drop("x")).withColumn("horizon", F.lit(h))
+        rows = with_folds(supervised(returns, h, WINDOWS[h]).drop("x"), folds).withColumn("horizon", F.lit(h))
         out = rows if out is None else out.unionByName(rows)
     return out
 

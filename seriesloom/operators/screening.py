@@ -35,7 +35,7 @@ def join_blocks(blocks: dict[str, DataFrame], key: str = "series_id") -> DataFra
     return out.withColumns({f"{n}_status": F.coalesce(f"{n}_status", F.lit("missing")) for n in blocks})
 
 
-def feature_quality(features: DataFrame) -> DataFrame:
+def feature_quality(features: DataFrame, high_missing: float = HIGH_MISSING) -> DataFrame:
     """Counts, moments, quartiles and flags of each feature."""
     v = F.col("value")
     q = features.groupBy("feature").agg(
@@ -46,7 +46,7 @@ def feature_quality(features: DataFrame) -> DataFrame:
     q = q.withColumns({"q25": F.col("q")[0], "median": F.col("q")[1], "q75": F.col("q")[2], "missing_rate": F.col("n_missing") / F.col("n_rows")}).drop("q")
     return q.withColumns({
         "iqr": F.col("q75") - F.col("q25"),
-        "high_missing": F.col("missing_rate") >= HIGH_MISSING,
+        "high_missing": F.col("missing_rate") >= high_missing,
         "low_variance": F.coalesce(F.col("std") <= LOW_STD, F.lit(False)),
         "near_constant": F.col("n_unique") <= FEW_VALUES,
     })
@@ -75,7 +75,7 @@ def warning_coverage(blocks: dict[str, DataFrame], flags: str = "feature_warning
     return out
 
 
-def screening(quality: DataFrame, pairs: DataFrame, block_of: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
+def screening(quality: DataFrame, pairs: DataFrame, block_of: DataFrame | None = None, coverage: DataFrame | None = None, warning_heavy: float = WARNING_HEAVY) -> DataFrame:
     """A status and notes for each feature: all missing, much missing, hardly varying, heavy with warnings, correlated, or keep.
 
     block_of: (feature, block); coverage: (block, warning_coverage). Features of block D with many warnings are held in reserve.
@@ -85,7 +85,7 @@ def screening(quality: DataFrame, pairs: DataFrame, block_of: DataFrame | None =
     rows = quality.join(ends, "feature", "left").withColumn("correlated", F.col("partner").isNotNull())
     rows = rows.join(block_of, "feature", "left") if block_of is not None else rows.withColumn("block", F.lit(None).cast("string"))
     rows = rows.join(coverage, "block", "left") if coverage is not None else rows.withColumn("warning_coverage", F.lit(0.0))
-    heavy = F.coalesce(F.col("warning_coverage") >= WARNING_HEAVY, F.lit(False))
+    heavy = F.coalesce(F.col("warning_coverage") >= warning_heavy, F.lit(False))
     cases = [
         (F.col("missing_rate") >= 0.99, "drop_candidate", F.lit("all values missing")),
         (F.col("high_missing"), "review_high_missing", F.lit("high missingness")),

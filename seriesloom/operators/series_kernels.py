@@ -52,8 +52,24 @@ def _each(arrays: DataFrame, kernel, fields: str) -> DataFrame:
     return spread(arrays, "series_id").mapInPandas(run, f"series_id string, {fields}, status string")
 
 
-def spectral_features(returns: DataFrame) -> DataFrame:
-    return _each(as_arrays(returns), kernels.spectral, "slope double, entropy double, flatness double")
+def spectral_features(returns: DataFrame, method: str = "welch") -> DataFrame:
+    """Slope, entropy and flatness from Welch's averaged segments or from the full-length periodogram."""
+    return _each(as_arrays(returns), lambda x: kernels.spectral(x, method=method), "slope double, entropy double, flatness double")
+
+
+def periodograms(returns: DataFrame) -> DataFrame:
+    """(series_id, k, frequency, power) of every positive frequency of each series about its mean."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sid, r in zip(pdf["series_id"], pdf["r"], strict=True):
+                x = np.asarray(r, float)
+                x = x[np.isfinite(x)]
+                if len(x) >= 8:
+                    f, p = kernels.periodogram(x - x.mean())
+                    yield pd.DataFrame({"series_id": sid, "k": np.arange(1, len(f)), "frequency": f[1:], "power": p[1:]})
+
+    return spread(as_arrays(returns), "series_id").mapInPandas(run, "series_id string, k long, frequency double, power double")
 
 
 def lempel_ziv(returns: DataFrame) -> DataFrame:
@@ -149,8 +165,8 @@ def registry_table(spark, active: Sequence[str], supported: Sequence[str]) -> Da
     return spark.createDataFrame(rows, "model string, status string")
 
 
-def permuted_target_ratio(returns: DataFrame, name: str = "ridge_lag", horizon: int = 1, seed: int = 2026) -> DataFrame:
-    """Error of a model trained on shuffled targets against the honest one, for each series: near one or above it if nothing leaks."""
+def permuted_target_ratio(returns: DataFrame, name: str = "ridge_lag", horizon: int = 1, seed: int = 2026, least_ratio: float = 1.05) -> DataFrame:
+    """Error of a model trained on shuffled targets against the honest one, for each series, and whether it is as much worse as it should be."""
 
     def ratio(r: np.ndarray) -> dict[str, float | None]:
         x, y = windows_of(r, horizon, WINDOWS[horizon])
@@ -164,7 +180,7 @@ def permuted_target_ratio(returns: DataFrame, name: str = "ridge_lag", horizon:
             out[key] = float(np.sqrt(((model.predict(x[at:]) - y[at:]) ** 2).mean()))
         return out
 
-    return _each(as_arrays(returns), ratio, "honest double, permuted double").withColumn("ratio", F.try_divide("permuted", "honest"))
+    return _each(as_arrays(returns), ratio, "honest double, permuted double").withColumn("ratio", F.try_divide("permuted", "honest")).withColumn("passed", F.col("ratio") >= least_ratio)
 
 
 def speed_summary(predictions: DataFrame) -> DataFrame:

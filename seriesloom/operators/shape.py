@@ -62,22 +62,22 @@ def tail_ratios(returns: DataFrame) -> DataFrame:
     return q.select("series_id", both.alias("tail_both"), divide(q99, q75).alias("tail_up"), divide(F.abs(q01), F.abs(q25)).alias("tail_low"))
 
 
-def hill_index(returns: DataFrame) -> DataFrame:
+def hill_index(returns: DataFrame, share: float = HILL_SHARE) -> DataFrame:
     """Tail index from the largest absolute values over the next one below them."""
     rows = _centred(returns).where("x <> 0").select("series_id", F.abs("x").alias("a"), "rn")
     rows = rows.withColumn("nth", F.row_number().over(_all().orderBy(F.desc("a"), "rn"))).withColumn("n", F.count("*").over(_all())).where(F.col("n") >= HILL_ROWS)
-    rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(F.col("n") * HILL_SHARE)), F.col("n") - 1))
+    rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(F.col("n") * share)), F.col("n") - 1))
     rows = rows.where("nth <= k + 1").withColumn("bound", F.max(F.when(F.col("nth") == F.col("k") + 1, F.col("a"))).over(_all()))
     return rows.where("nth <= k").groupBy("series_id").agg(F.first("k").alias("k"), divide(F.lit(1.0), F.avg(F.log(F.col("a") / F.col("bound")))).alias("hill"))
 
 
-def distribution(returns: DataFrame) -> DataFrame:
+def distribution(returns: DataFrame, share: float = HILL_SHARE) -> DataFrame:
     """(series_id, n_obs, kurtosis, moors, tail_both, tail_up, tail_low, hill): the five measures above from one exchange and one aggregation."""
     octiles, tails = [k / 8 for k in (1, 3, 5, 7, 2, 6)], [0.01, 0.25, 0.75, 0.99]
     a, nth, m, k = F.col("a"), F.col("nth"), F.col("m"), F.col("k")
     rows = returns.select("series_id", "rn", "r", (F.col("r") - F.avg("r").over(_all())).alias("x")).withColumn("a", F.abs("x"))
     rows = rows.withColumns({"nth": F.row_number().over(_all().orderBy(F.desc("a"), "rn")), "m": F.count_if(F.col("x") != 0).over(_all())})
-    rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(m * HILL_SHARE)), m - 1))
+    rows = rows.withColumn("k", F.least(F.greatest(F.lit(HILL_LEAST), F.floor(m * share)), m - 1))
     rows = rows.withColumn("bound", F.max(F.when(nth == k + 1, a)).over(_all()))
     log_excess = F.avg(F.when((m >= HILL_ROWS) & (nth <= k), F.log(a / F.col("bound"))))
     q = F.percentile("x", F.array(*(F.lit(p) for p in octiles + tails))).alias("q")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.columns import rounded
 from ..operators import benchmark, forecasts, returns
+from ..settings import chosen
 from ..sources.shared import new_folder
 from .forecast_queries import _TASKS
 from .panel_queries import all_returns, eligible
@@ -71,6 +72,17 @@ def benchmark_timeouts(spark, sf_dir):
     return benchmark.error_summary(benchmark.run_benchmark(short_returns(spark, sf_dir), new_folder(spark, "benchmark"), config, "only", waves=1))
 
 
+@query("benchmark_metrics", _TASKS + " SELECT series_id, horizon, model, fold, n_test::BIGINT AS n_test, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in _MEASURES) + " FROM tk WHERE model IN ('naive_zero', 'naive_mean')")
+def benchmark_metrics(spark, sf_dir):
+    """The benchmark that the settings describe, over the eligible series; two naive models where they say nothing."""
+    config = benchmark.Benchmark(
+        chosen("models", ["naive_zero", "naive_mean"]), tuple(chosen("horizons", (1, 5, 20))), chosen("folds", returns.FOLDS), settings=chosen("model_overrides", {}),
+        max_fit_seconds=chosen("max_fit_seconds", None), max_predict_seconds=chosen("max_predict_seconds", None), limits=chosen("limits", {}),
+    )
+    rows = benchmark.fold_metrics(benchmark.run_benchmark(eligible(spark, sf_dir), new_folder(spark, "benchmark"), config, "only", waves=2))
+    return rows.select(*forecasts.TASK, "n_test", *(rounded(rows[m]).alias(m) for m in _MEASURES))
+
+
 NEURAL = ["vanilla_mlp", "chaotic_mlp", "chaotic_logistic_net", "lstm_forecast", "chaotic_lstm_forecast"]
 
 

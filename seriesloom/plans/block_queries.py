@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import blocks
+from ..operators import blocks, shape
+from ..settings import chosen
 from .kernel_queries import _segments
-from .panel_queries import _CENTRED, PANEL_SQL, eligible
+from .panel_queries import _CENTRED, PANEL_SQL, eligible, hurst_windows
+
+def _above(name: str, bound: float):
+    return lambda: F.col(name) > bound
+
+
+def _below(name: str, bound: float):
+    return lambda: F.col(name) < bound
+
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,7 +42,7 @@ def query(name: str, sql: str | None = None):
 
 @query("block_a_features")
 def block_a_features(spark, sf_dir):
-    return blocks.block_a(eligible(spark, sf_dir))
+    return blocks.block_a(eligible(spark, sf_dir), *hurst_windows())
 
 
 @query("block_b_features")
@@ -43,18 +52,18 @@ def block_b_features(spark, sf_dir):
 
 @query("block_c_features", _C + " SELECT series_id, n_obs::BIGINT AS n_obs, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in _MEASURES) + ", array_to_string(flags, ';') AS feature_warning_flags, len(flags)::INTEGER AS feature_warning_count, CASE WHEN len(flags) > 0 THEN 'warning' ELSE 'success' END AS feature_status FROM fl")
 def block_c_features(spark, sf_dir):
-    rows = blocks.block_c(eligible(spark, sf_dir))
+    rows = blocks.block_c(eligible(spark, sf_dir), chosen("hill_share", shape.HILL_SHARE))
     return rows.withColumns({m: rounded(F.col(m)) for m in _MEASURES})
 
 
 @query("block_d_features")
 def block_d_features(spark, sf_dir):
-    return blocks.block_d(eligible(spark, sf_dir))
+    return blocks.block_d(eligible(spark, sf_dir), chosen("least_returns", blocks.LEAST_RETURNS["D"]))
 
 
 @query("block_c_ranges", _C + ", lc AS (" + " UNION ALL ".join(f"SELECT '{m}' AS feature, {m} AS v FROM bc" for m in _MEASURES) + ") SELECT feature, " + ", ".join(f'round({f}(v), 6) + 0.0 AS "{n}"' for f, n in (("min", "min"), ("max", "max"), ("avg", "mean"), ("median", "median"))) + " FROM lc GROUP BY feature")
 def block_c_ranges(spark, sf_dir):
-    rows = blocks.ranges(blocks.block_c(eligible(spark, sf_dir)))
+    rows = blocks.ranges(blocks.block_c(eligible(spark, sf_dir), chosen("hill_share", shape.HILL_SHARE)))
     return rows.select("feature", *(rounded(F.col(c)).alias(c) for c in ("min", "max", "mean", "median")))
 
 
@@ -63,12 +72,35 @@ _FACTS = {"series_total": "true", "series_successful": "len(flags) = 0", "series
 
 @query("block_c_summary", _C + " " + " UNION ALL ".join(f"SELECT '{n}' AS fact, (count(*) FILTER (WHERE {c}))::BIGINT AS n FROM fl" for n, c in _FACTS.items()))
 def block_c_summary(spark, sf_dir):
-    return blocks.summary(blocks.block_c(eligible(spark, sf_dir)), {"kurtosis_lt_0": F.col("kurtosis") < 0, "hill_tail_index_gt_10": F.col("hill_tail_index") > 10})
+    return blocks.summary(blocks.block_c(eligible(spark, sf_dir), chosen("hill_share", shape.HILL_SHARE)), {"kurtosis_lt_0": F.col("kurtosis") < 0, "hill_tail_index_gt_10": F.col("hill_tail_index") > 10})
+
+
+#: Values that a block's summary counts besides those that are missing, by block.
+_OUTLYING = {
+    "A": {"hurst_rs_gt_1": _above("hurst_rs", 1.0), "hurst_dfa_gt_1": _above("hurst_dfa", 1.0), "vr_q10_lt_0": _below("vr_q10", 0.0)},
+    "B": {"spectral_flatness_gt_1": _above("spectral_flatness", 1.0), "sample_entropy_lt_0": _below("sample_entropy", 0.0)},
+    "D": {"correlation_dimension_lt_0": _below("correlation_dimension", 0.0), "largest_lyapunov_exponent_lt_0": _below("largest_lyapunov_exponent", 0.0)},
+}
+
+
+def _tables_of(letter: str, rows) -> None:
+    @query(f"block_{letter.lower()}_ranges")
+    def block_ranges(spark, sf_dir):
+        return blocks.ranges(rows(spark, sf_dir))
+
+    @query(f"block_{letter.lower()}_summary")
+    def block_summary(spark, sf_dir):
+        return blocks.summary(rows(spark, sf_dir), {name: f() for name, f in _OUTLYING[letter].items()})
+
+
+for _letter, _rows in (("A", block_a_features), ("B", block_b_features), ("D", block_d_features)):
+    _tables_of(_letter, _rows)
 
 
 def _all(spark, sf_dir):
     data = eligible(spark, sf_dir)
-    return {k: f(data) for k, f in blocks.BLOCKS.items()}
+    given = {"A": hurst_windows(), "C": (chosen("hill_share", shape.HILL_SHARE),), "D": (chosen("least_returns", blocks.LEAST_RETURNS["D"]),)}
+    return {k: f(data, *given.get(k, ())) for k, f in blocks.BLOCKS.items()}
 
 
 @query("block_master")

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import clusters
+from ..settings import chosen
 from ..sources.panels import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-KS = range(2, 9)
+
+
+def ks() -> range:
+    return range(chosen("k_min", 2), chosen("k_max", 8) + 1)
+
+
 _BASE = """WITH cfg AS (SELECT k, 'k' || k AS config FROM (SELECT unnest(range(2, 9)) AS k)),
   vec AS (SELECT c.config, e.vec_id AS point, (e.label % c.k)::INTEGER AS cluster, e.embedding FROM embeddings e, cfg c),
   pts AS (SELECT config, point, cluster, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM vec),
@@ -42,7 +48,7 @@ def query(name: str, sql: str):
 def vectors(spark, sf_dir):
     """Every vector once for each configuration k2 to k8, its cluster the label modulo k."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), "label", F.col("embedding").cast("array<double>").alias("vector"))
-    return rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in KS)))).select(F.concat(F.lit("k"), "k").alias("config"), "point", F.expr("label % k").cast("int").alias("cluster"), "vector")
+    return rows.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks())))).select(F.concat(F.lit("k"), "k").alias("config"), "point", F.expr("label % k").cast("int").alias("cluster"), "vector")
 
 
 def points(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import screening, shape
+from ..settings import chosen
 from .panel_queries import BASIC, PANEL_SQL, all_returns, basic_sql
 
 QUERIES: dict = {}
@@ -70,7 +71,7 @@ _ROUND = ["mean", "std", "min", "max", "q25", "median", "q75", "skew", "missing_
 
 @query("feature_quality", _QUALITY + " SELECT feature, n_rows::BIGINT AS n_rows, n_missing::BIGINT AS n_missing, n_unique::BIGINT AS n_unique, high_missing, low_variance, near_constant, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _ROUND if c != "skew") + ", CASE WHEN std > 0 THEN round(skew, 5) + 0.0 END AS skew FROM ql")
 def feature_quality(spark, sf_dir):
-    q = screening.feature_quality(features(spark, sf_dir))
+    q = screening.feature_quality(features(spark, sf_dir), chosen("high_missing", screening.HIGH_MISSING))
     exact = [c for c in q.columns if c not in _ROUND]
     skew = F.when(F.col("std") > 0, rounded(F.col("skew"), 5)).alias("skew")
     return q.select(*exact, *(rounded(F.col(c), 5).alias(c) for c in _ROUND if c != "skew"), skew)
@@ -78,7 +79,7 @@ def feature_quality(spark, sf_dir):
 
 @query("high_corr_pairs", _PAIRS + " SELECT feature_1, feature_2, n::BIGINT AS n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, CASE WHEN strength >= 0.98 THEN 'potential_duplicate' ELSE 'strongly_related' END AS relation FROM cp")
 def high_corr_pairs(spark, sf_dir):
-    p = screening.correlated_pairs(features(spark, sf_dir))
+    p = screening.correlated_pairs(features(spark, sf_dir), chosen("correlated", screening.CORRELATED))
     return p.select("feature_1", "feature_2", "n", rounded(F.col("pearson")).alias("pearson"), rounded(F.col("spearman")).alias("spearman"), "relation")
 
 
@@ -91,8 +92,8 @@ def blocks(spark, sf_dir):
 
 def _screened(spark, sf_dir):
     long = features(spark, sf_dir)
-    pairs = screening.correlated_pairs(long)
-    return screening.screening(screening.feature_quality(long), pairs, spark.createDataFrame(list(BLOCK_OF.items()), "feature string, block string"), screening.warning_coverage(blocks(spark, sf_dir))), pairs
+    pairs = screening.correlated_pairs(long, chosen("correlated", screening.CORRELATED))
+    return screening.screening(screening.feature_quality(long, chosen("high_missing", screening.HIGH_MISSING)), pairs, spark.createDataFrame(list(BLOCK_OF.items()), "feature string, block string"), screening.warning_coverage(blocks(spark, sf_dir)), chosen("warning_heavy", screening.WARNING_HEAVY)), pairs
 
 
 @query("warning_coverage", _STATUS + " SELECT block, round(warning_coverage, 6) + 0.0 AS warning_coverage FROM wc")
@@ -118,7 +119,7 @@ def screening_status(spark, sf_dir):
 
 @query("corr_groups", _GROUPS + " SELECT feature, root FROM gr")
 def corr_groups(spark, sf_dir):
-    return screening.feature_groups(screening.correlated_pairs(features(spark, sf_dir)))
+    return screening.feature_groups(screening.correlated_pairs(features(spark, sf_dir), chosen("correlated", screening.CORRELATED)))
 
 
 @query("representatives", _GROUPS + """, rp AS (SELECT g.root, s.feature, count(*) OVER (PARTITION BY g.root) AS size, row_number() OVER (PARTITION BY g.root ORDER BY CASE s.status WHEN 'keep_candidate' THEN 0 WHEN 'reserve_candidate' THEN 1 WHEN 'review_highly_correlated' THEN 2 ELSE 4 END,

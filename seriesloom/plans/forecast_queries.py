@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import by_cluster, catalog, forecasts, routing
+from ..operators import by_cluster, catalog, forecasts, returns, routing
+from ..settings import chosen
 from .panel_queries import PANEL_SQL, eligible, folds_sql, supervised_sql
 
 QUERIES: dict = {}
@@ -48,7 +49,7 @@ def rr(*names: str, digits: int = 6):
 
 
 def folded(spark, sf_dir):
-    return forecasts.folded_targets(eligible(spark, sf_dir))
+    return forecasts.folded_targets(eligible(spark, sf_dir), chosen("horizons", (1, 5, 20)), chosen("folds", returns.FOLDS))
 
 
 def predictions(spark, sf_dir):
@@ -150,7 +151,7 @@ def cluster_model_perf(spark, sf_dir):
 @query("relative_to_baseline", _PERF + """, rb AS (SELECT a.*, b.rmse_mean AS base FROM pf a LEFT JOIN pf b ON a.config = b.config AND a.cluster = b.cluster AND a.horizon = b.horizon AND b.model = 'naive_zero')
   SELECT config, cluster::INTEGER AS cluster, horizon, model, round(rmse_mean - base, 6) + 0.0 AS difference, round(rmse_mean / base, 6) AS ratio FROM rb""")
 def relative_to_baseline(spark, sf_dir):
-    return by_cluster.relative_to_baseline(performance(spark, sf_dir)).select("config", "cluster", "horizon", "model", *rr("difference", "ratio"))
+    return by_cluster.relative_to_baseline(performance(spark, sf_dir), chosen("baseline", "naive_zero")).select("config", "cluster", "horizon", "model", *rr("difference", "ratio"))
 
 
 @query("best_model_by_cluster", _PERF + " SELECT config, cluster::INTEGER AS cluster, horizon, " + ", ".join(f"first(model ORDER BY round({m}_mean, 12), model) AS best_{m}" for m in ("mae", "rmse", "mase")) + ", first(model ORDER BY round(directional_accuracy_mean, 12) DESC, model) AS best_directional_accuracy FROM pf GROUP BY config, cluster, horizon")

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.columns import rounded
-from ..operators import clusters, dependence, forecasts, meta_models, returns, routing, series_kernels, shape
+from ..operators import clusters, dependence, forecasts, leakage, meta_models, moments, returns, routing, series_kernels, shape
+from ..settings import chosen
 from ..sources.panels import table
-from .forecast_queries import series
-from .panel_queries import _SPLITS, BASIC, PANEL_SQL, basic_sql, eligible
+from ..sources.shared import stored
+from .cluster_queries import ks
+from .forecast_queries import _SERIES, series
+from .panel_queries import _SPLITS, BASIC, PANEL_SQL, basic_sql, eligible, folds_sql, supervised_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +33,23 @@ def spectral_features(spark, sf_dir):
     return series_kernels.spectral_features(eligible(spark, sf_dir))
 
 
+@query("periodogram_features")
+def periodogram_features(spark, sf_dir):
+    return series_kernels.spectral_features(eligible(spark, sf_dir), method="periodogram")
+
+
+@query(
+    "periodogram",
+    f"""WITH {PANEL_SQL.strip()}, c AS (SELECT series_id, rn, n, r - avg(r) OVER (PARTITION BY series_id) AS d FROM elig),
+    f AS (SELECT series_id, k, any_value(n) AS n, sum(d * cos(2 * pi() * k * rn / n)) AS re, sum(d * sin(2 * pi() * k * rn / n)) AS im FROM c, (SELECT unnest(range(1, 33)) AS k) GROUP BY ALL)
+    SELECT series_id, k::BIGINT AS k, round(k / n, 9) AS frequency, round(CASE WHEN 2 * k < n THEN 2 ELSE 1 END * (re * re + im * im) / n, 6) + 0.0 AS power FROM f WHERE 2 * k <= n""",
+)
+def periodogram(spark, sf_dir):
+    """The 32 longest periods of every series."""
+    rows = series_kernels.periodograms(eligible(spark, sf_dir)).where("k <= 32")
+    return rows.select("series_id", "k", rounded(F.col("frequency"), 9).alias("frequency"), rounded(F.col("power")).alias("power"))
+
+
 @query("lz_complexity")
 def lz_complexity(spark, sf_dir):
     return series_kernels.lempel_ziv(eligible(spark, sf_dir))
@@ -59,7 +79,7 @@ def ljung_box_p(spark, sf_dir):
 def _forecast(name: str, names: list[str], horizons: tuple[int, ...]):
     @query(name)
     def run(spark, sf_dir):
-        return forecasts.task_metrics(series_kernels.forecast_tasks(eligible(spark, sf_dir), names, horizons))
+        return forecasts.task_metrics(series_kernels.forecast_tasks(eligible(spark, sf_dir), names, chosen("horizons", horizons), chosen("folds", returns.FOLDS)))
 
 
 _forecast("ridge_forecast", ["naive_zero", "naive_mean", "ridge_lag"], (1, 5, 20))
@@ -70,7 +90,12 @@ _forecast("lstm_forecast", ["lstm_forecast", "chaotic_lstm_forecast"], (1, 5, 20
 
 @query("speed_summary")
 def speed_summary(spark, sf_dir):
-    return series_kernels.speed_summary(series_kernels.forecast_tasks(eligible(spark, sf_dir), ["naive_zero", "naive_mean", "ridge_lag"]))
+    return series_kernels.speed_summary(series_kernels.forecast_tasks(eligible(spark, sf_dir), ["naive_zero", "naive_mean", "ridge_lag"], chosen("horizons", (1, 5, 20)), chosen("folds", returns.FOLDS)))
+
+
+def grid(spark, sf_dir, **how):
+    """The grid of clusterings with the stage's numbers of clusters and seed."""
+    return series_kernels.cluster_grid(_matrix(spark, sf_dir), ks=ks(), seed=chosen("seed", 42), **how)
 
 
 def _matrix(spark, sf_dir):
@@ -79,28 +104,28 @@ def _matrix(spark, sf_dir):
 
 @query("gmm_clusters")
 def gmm_clusters(spark, sf_dir):
-    return series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("gmm",))
+    return grid(spark, sf_dir, methods=("gmm",))
 
 
 @query("ward_clusters")
 def ward_clusters(spark, sf_dir):
-    return series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("ward",))
+    return grid(spark, sf_dir, methods=("ward",))
 
 
 @query("cluster_grid_balance")
 def cluster_grid_balance(spark, sf_dir):
-    return clusters.balance(series_kernels.cluster_grid(_matrix(spark, sf_dir)).where("status = 'success'"))
+    return clusters.balance(grid(spark, sf_dir).where("status = 'success'"))
 
 
 @query("assignment_confidence")
 def assignment_confidence(spark, sf_dir):
-    return series_kernels.assignment_confidence(series_kernels.cluster_grid(_matrix(spark, sf_dir), methods=("gmm",)))
+    return series_kernels.assignment_confidence(grid(spark, sf_dir, methods=("gmm",)))
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark, sf_dir):
     """Refits of every space, method and number of clusters under robust scaling; the other scalers are a parameter."""
-    return series_kernels.stability_summary(series_kernels.cluster_grid(_matrix(spark, sf_dir), scalers=("robust",), bootstraps=30))
+    return series_kernels.stability_summary(grid(spark, sf_dir, scalers=("robust",), bootstraps=chosen("bootstraps", 30)))
 
 
 @query("mixtures_at_scale")
@@ -113,7 +138,7 @@ def _segments(spark, sf_dir):
     from pyspark.sql import Window
 
     data = eligible(spark, sf_dir)
-    splits = returns.split_metadata(returns.with_folds(returns.supervised(data, 5)))
+    splits = returns.split_metadata(returns.with_folds(returns.supervised(data, 5), chosen("folds", returns.FOLDS)))
     rows = returns.fold_segments(splits, data).select(F.concat_ws("|", "series_id", F.col("fold").cast("string")).alias("series_id"), "date", "r")
     own = Window.partitionBy("series_id")
     return rows.select("series_id", "r", (F.row_number().over(own.orderBy("date")) - 1).alias("rn"), F.count("*").over(own).alias("n"))
@@ -131,9 +156,9 @@ def _meta_rows(spark, sf_dir):
     best = forecasts.winners(s.select("series_id", "horizon", "model", "rmse_mean"), "rmse_mean", ["series_id", "horizon"]).select("series_id", "horizon", F.col("model").alias("best"))
     wide = routing.task_matrix(s, forecasts.MODELS)
     features = shape.basic_features(eligible(spark, sf_dir)).na.fill(0.0)
-    split = routing.hash_split(s.select("series_id").distinct(), test_share=3)
+    split = routing.hash_split(s.select("series_id").distinct(), test_share=3, seed=chosen("seed", 42))
     # a few rows for each series, which the learners read many times
-    return wide.join(best, ["series_id", "horizon"]).join(features, "series_id").join(split, "series_id").persist()
+    return stored(wide.join(best, ["series_id", "horizon"]).join(features, "series_id").join(split, "series_id"), "meta-rows")
 
 
 @query("routing_classifier")
@@ -159,7 +184,51 @@ def ridge_tuning(spark, sf_dir):
 
 @query("permuted_target_ratio")
 def permuted_target_ratio(spark, sf_dir):
-    return series_kernels.permuted_target_ratio(eligible(spark, sf_dir))
+    return series_kernels.permuted_target_ratio(eligible(spark, sf_dir), least_ratio=chosen("least_ratio", 1.05))
+
+
+_PLACES = ", ".join(supervised_sql(h, w) for h, w in ((1, 64), (5, 32), (20, 16)))
+
+
+@query(
+    "window_alignment",
+    f"""WITH {PANEL_SQL.strip()}, {_PLACES}, vall AS (SELECT series_id, horizon, i, m, rn FROM v1 UNION ALL SELECT series_id, horizon, i, m, rn FROM v5 UNION ALL SELECT series_id, horizon, i, m, rn FROM v20), {folds_sql("SELECT * FROM vall", "fd")},
+    st AS (SELECT series_id, horizon, fold, min(rn) AS start FROM fd WHERE part = 'test' GROUP BY ALL)
+    SELECT horizon, fold::INTEGER AS fold, count(*)::BIGINT AS n_windows, 0::BIGINT AS n_leaks, 0::BIGINT AS n_misaligned, (count(*) FILTER (WHERE part = 'train' AND rn + horizon >= start + 1))::BIGINT AS n_overlapping_targets
+    FROM fd JOIN st USING (series_id, horizon, fold) GROUP BY ALL""",
+)
+def window_alignment(spark, sf_dir):
+    return leakage.window_alignment(eligible(spark, sf_dir), folds=chosen("folds", returns.FOLDS))
+
+
+@query("row_order_invariance")
+def row_order_invariance(spark, sf_dir):
+    return leakage.row_order_invariance(eligible(spark, sf_dir))
+
+
+@query("principal_scores")
+def principal_scores(spark, sf_dir):
+    return moments.principal_scores(_matrix(spark, sf_dir))
+
+
+_TARGETS = forecasts.MODELS
+_RIDGE = f"""{_SERIES}, {basic_sql("elig")}, mx AS (SELECT s.series_id, s.horizon, f.skew AS x1, f.zero_crossing_rate AS x2, """ + ", ".join(f"max(s.rmse_mean) FILTER (WHERE s.model = '{t}') AS {t}" for t in _TARGETS) + """ FROM sm s JOIN bf f USING (series_id) GROUP BY ALL),
+  mo AS (SELECT avg(x1) AS m1, avg(x2) AS m2, regr_sxx(x1, x1) AS s11, regr_sxx(x2, x2) AS s22, regr_sxy(x1, x2) AS s12 FROM mx),
+  yo AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS target, avg({t}) AS my, regr_sxy({t}, x1) AS c1, regr_sxy({t}, x2) AS c2 FROM mx" for t in _TARGETS) + """),
+  sv AS (SELECT alpha, target, ((s22 + alpha) * c1 - s12 * c2) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1, ((s11 + alpha) * c2 - s12 * c1) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2, m1, m2, my FROM mo, yo, (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha))
+  SELECT alpha, target, 'skew' AS feature, round(w1, 6) + 0.0 AS coefficient FROM sv UNION ALL SELECT alpha, target, 'zero_crossing_rate', round(w2, 6) + 0.0 FROM sv UNION ALL SELECT alpha, target, '(intercept)', round(my - w1 * m1 - w2 * m2, 6) + 0.0 FROM sv"""
+
+
+@query("multi_ridge_coefficients", _RIDGE)
+def multi_ridge_coefficients(spark, sf_dir):
+    """Every model's error on two features of the series, for three penalties, from one aggregation."""
+    rows = _meta_rows(spark, sf_dir)
+    return moments.fit_multi_ridge(rows, ["skew", "zero_crossing_rate"], _TARGETS, (0.1, 1.0, 10.0)).table(spark).withColumn("coefficient", rounded(F.col("coefficient")))
+
+
+@query("routing_multi_ridge")
+def routing_multi_ridge(spark, sf_dir):
+    return moments.route_by_multi_ridge(_meta_rows(spark, sf_dir), BASIC, forecasts.MODELS)
 
 
 _ACTIVE, _SUPPORTED = ["naive_zero", "naive_mean", "ridge_lag", "esn"], ["chaotic_esn", "vanilla_mlp", "lstm_forecast"]

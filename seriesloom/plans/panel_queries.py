@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import catalog, dependence, returns, shape
+from ..settings import chosen
 from ..sources.panels import PANEL_SQL, price_panel, table
 
 QUERIES: dict = {}
@@ -31,8 +32,17 @@ def all_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return returns.log_returns(price_panel(spark, sf_dir))
 
 
-def eligible(spark: SparkSession, sf_dir: str, target: int = catalog.TARGET, minimum: int = catalog.MINIMUM) -> DataFrame:
-    return returns.length_policy(all_returns(spark, sf_dir), target, minimum)
+def policy() -> tuple[int, int]:
+    return chosen("target", catalog.TARGET), chosen("minimum", catalog.MINIMUM)
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.series_catalog(prices(spark, sf_dir), *policy())
+
+
+def eligible(spark: SparkSession, sf_dir: str, target: int | None = None, minimum: int | None = None) -> DataFrame:
+    most, least = policy()
+    return returns.length_policy(all_returns(spark, sf_dir), target or most, minimum or least)
 
 
 def day(c: str):
@@ -45,17 +55,17 @@ def day(c: str):
     n_duplicate_dates::BIGINT AS n_duplicate_dates, n_missing_close::BIGINT AS n_missing_close, has_nonpositive_close, can_compute, status, reason FROM judged""",
 )
 def series_catalog(spark, sf_dir):
-    return catalog.series_catalog(prices(spark, sf_dir)).withColumns({"first_date": day("first_date"), "last_date": day("last_date")})
+    return judged(spark, sf_dir).withColumns({"first_date": day("first_date"), "last_date": day("last_date")})
 
 
 @query("catalog_status_counts", "SELECT market, status, reason, count(*)::BIGINT AS n_series, sum(n_rows)::BIGINT AS n_rows FROM judged GROUP BY ALL")
 def catalog_status_counts(spark, sf_dir):
-    return catalog.status_counts(catalog.series_catalog(prices(spark, sf_dir)))
+    return catalog.status_counts(judged(spark, sf_dir))
 
 
 @query("length_distribution", "SELECT CASE WHEN n_rows < 1500 THEN '<1500' WHEN n_rows < 2000 THEN '1500-1999' ELSE '>=2000' END AS bucket, count(*)::BIGINT AS n_series FROM cat GROUP BY ALL")
 def length_distribution(spark, sf_dir):
-    return catalog.length_distribution(catalog.series_catalog(prices(spark, sf_dir)))
+    return catalog.length_distribution(judged(spark, sf_dir), *policy())
 
 
 @query("duplicate_dates", "SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -74,7 +84,7 @@ def sort_violations(spark, sf_dir):
     SELECT series_id, market FROM u WHERE nth <= (SELECT count(*) FROM cat WHERE market = 'RU') UNION ALL SELECT series_id, market FROM cat WHERE market = 'RU'""",
 )
 def core_profile_hash(spark, sf_dir):
-    return catalog.core_profile(catalog.series_catalog(prices(spark, sf_dir)))
+    return catalog.core_profile(judged(spark, sf_dir), chosen("seed", 42))
 
 
 @query("log_returns", "SELECT series_id, rn::INTEGER AS rn, n::BIGINT AS n, round(r, 6) + 0.0 AS r FROM ret")
@@ -138,7 +148,7 @@ _SPLITS = f"""+ {supervised_sql(5, 32)}, {folds_sql("SELECT series_id, date, i,
 
 
 def _splits(spark, sf_dir):
-    return returns.split_metadata(returns.with_folds(returns.supervised(eligible(spark, sf_dir), 5)))
+    return returns.split_metadata(returns.with_folds(returns.supervised(eligible(spark, sf_dir), 5), chosen("folds", returns.FOLDS)))
 
 
 @query("rolling_origin_folds", _SPLITS + " SELECT series_id, fold, n_train, n_test FROM splits")
@@ -211,6 +221,10 @@ def variance_ratio(spark, sf_dir):
     return dependence.variance_ratio(eligible(spark, sf_dir)).withColumn("variance_ratio", rounded(F.col("variance_ratio")))
 
 
+def hurst_windows() -> tuple[int, int]:
+    return chosen("hurst_min", dependence.HURST_MIN), chosen("hurst_max", dependence.HURST_MAX)
+
+
 _WINDOWS = ", ".join(f"({w})" for w in dependence.log_windows())
 
 
@@ -224,7 +238,7 @@ _WINDOWS = ", ".join(f"({w})" for w in dependence.log_windows())
     SELECT series_id, round(regr_slope(ln(level), ln(w)), 6) AS hurst FROM lv GROUP BY series_id""",
 )
 def hurst_rs(spark, sf_dir):
-    return dependence.hurst_rs(eligible(spark, sf_dir)).withColumn("hurst", rounded(F.col("hurst")))
+    return dependence.hurst_rs(eligible(spark, sf_dir), *hurst_windows()).withColumn("hurst", rounded(F.col("hurst")))
 
 
 @query(
@@ -236,7 +250,7 @@ def hurst_rs(spark, sf_dir):
     SELECT series_id, round(regr_slope(ln(level), ln(w)), 6) AS hurst FROM lv GROUP BY series_id""",
 )
 def hurst_dfa(spark, sf_dir):
-    return dependence.hurst_dfa(eligible(spark, sf_dir)).withColumn("hurst", rounded(F.col("hurst")))
+    return dependence.hurst_dfa(eligible(spark, sf_dir), *hurst_windows()).withColumn("hurst", rounded(F.col("hurst")))
 
 
 @query("noise_fn", "+ s AS (SELECT series_id, r, r - lag(r) OVER (PARTITION BY series_id ORDER BY rn) AS d FROM elig) SELECT series_id, round(stddev_samp(d) / stddev_samp(r), 6) AS noise_fn FROM s GROUP BY series_id")
@@ -281,7 +295,7 @@ def tail_ratios(spark, sf_dir):
     SELECT k.series_id, any_value(k.k)::BIGINT AS k, round(1 / avg(ln(k.a / b.bound)), 6) AS hill FROM k JOIN b ON k.series_id = b.series_id WHERE k.nth <= k.k GROUP BY k.series_id""",
 )
 def hill_index(spark, sf_dir):
-    return shape.hill_index(eligible(spark, sf_dir)).select("series_id", "k", rounded(F.col("hill")).alias("hill"))
+    return shape.hill_index(eligible(spark, sf_dir), chosen("hill_share", shape.HILL_SHARE)).select("series_id", "k", rounded(F.col("hill")).alias("hill"))
 
 
 @query(
@@ -329,7 +343,7 @@ def basic_features(spark, sf_dir):
 @query("extended_profile_hash", """+ u AS (SELECT series_id, market, row_number() OVER (ORDER BY md5(series_id || ':42'), series_id) AS nth FROM cat WHERE market = 'US')
     SELECT series_id, market FROM u WHERE nth <= 800 UNION ALL SELECT series_id, market FROM cat WHERE market = 'RU'""")
 def extended_profile_hash(spark, sf_dir):
-    return catalog.core_profile(catalog.series_catalog(prices(spark, sf_dir)), most=800)
+    return catalog.core_profile(judged(spark, sf_dir), chosen("seed", 42), most=800)
 
 
 @query("dedup_keep_last", "+ k AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey * 10 + l_linenumber DESC) AS nth FROM lineitem) SELECT l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_orderkey * 10 + l_linenumber AS ordinal FROM k WHERE nth = 1")
@@ -340,6 +354,6 @@ def dedup_keep_last(spark, sf_dir):
 
 @query("flag_breakdown", "+ f AS (SELECT CASE WHEN n_rows < 1500 THEN 'short;' ELSE '' END || CASE WHEN n_duplicate_dates > 0 THEN 'duplicates;' ELSE '' END || status AS flags FROM judged) SELECT flag, count(*)::BIGINT AS n FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM f) WHERE flag <> '' GROUP BY flag")
 def flag_breakdown(spark, sf_dir):
-    c = catalog.series_catalog(prices(spark, sf_dir))
-    flags = F.concat(F.when(F.col("n_rows") < 1500, "short;").otherwise(""), F.when(F.col("n_duplicate_dates") > 0, "duplicates;").otherwise(""), "status")
+    c = judged(spark, sf_dir)
+    flags = F.concat(F.when(F.col("n_rows") < policy()[1], "short;").otherwise(""), F.when(F.col("n_duplicate_dates") > 0, "duplicates;").otherwise(""), "status")
     return catalog.flag_breakdown(c.select(flags.alias("flags")), "flags")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import by_cluster, forecasts, meta_models, routing, screening
+from ..settings import chosen
 from .forecast_queries import _PERF, _SERIES, _TASKS, assignments, performance, series, tasks
 from .kernel_queries import _meta_rows
 from .panel_queries import BASIC, all_returns, eligible
@@ -51,6 +52,10 @@ def meta_dataset_folds(spark, sf_dir):
 _SEEDS = routing.repeat_seeds(42, 3)
 
 
+def seeds() -> list[int]:
+    return routing.repeat_seeds(chosen("seed", 42), chosen("repeats", 3))
+
+
 @query("repeat_summary", _SERIES + f""", sd AS (SELECT unnest({_SEEDS}) AS repeat), sp AS (SELECT DISTINCT series_id, repeat, CASE WHEN ('0x' || substr(md5(series_id || ':' || repeat), 1, 8))::BIGINT % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM sm, sd),
   bt AS (SELECT repeat, horizon, model, avg(rmse_mean) AS m FROM sm JOIN sp USING (series_id) WHERE split = 'train' GROUP BY ALL), bb AS (SELECT repeat, horizon, first(model ORDER BY round(m, 12), model) AS best_model FROM bt GROUP BY ALL),
   te AS (SELECT repeat, sm.* FROM sm JOIN sp USING (series_id) WHERE split = 'test'), bo AS (SELECT repeat, horizon, avg(v) AS oracle FROM (SELECT repeat, horizon, series_id, min(rmse_mean) AS v FROM te GROUP BY ALL) GROUP BY ALL),
@@ -58,7 +63,7 @@ _SEEDS = routing.repeat_seeds(42, 3)
   SELECT horizon, count(DISTINCT repeat)::BIGINT AS n_repeats, """ + ", ".join(f"round(avg({m}), 6) + 0.0 AS {m}_mean, round(stddev_samp({m}), 6) + 0.0 AS {m}_std" for m in ("achieved", "oracle", "regret")) + " FROM bs GROUP BY horizon")
 def repeat_summary(spark, sf_dir):
     s = series(spark, sf_dir)
-    runs = [routing.best_single(s, routing.hash_split(s.select("series_id").distinct(), test_share=3, seed=seed)).withColumn("repeat", F.lit(seed)) for seed in _SEEDS]
+    runs = [routing.best_single(s, routing.hash_split(s.select("series_id").distinct(), test_share=3, seed=seed)).withColumn("repeat", F.lit(seed)) for seed in seeds()]
     rows = routing.repeat_summary(reduce(lambda a, b: a.unionByName(b), runs), ["horizon"], ["achieved", "oracle", "regret"])
     return rows.select("horizon", "n_repeats", *(rounded(F.col(c)).alias(c) for c in rows.columns if c not in ("horizon", "n_repeats")))
 
@@ -70,7 +75,7 @@ def scoring_rows(spark, sf_dir):
 
 @query("missing_baseline", _PERF + " SELECT DISTINCT config, cluster::INTEGER AS cluster, horizon FROM pf WHERE (config, cluster, horizon) NOT IN (SELECT (config, cluster, horizon) FROM pf WHERE model = 'naive_zero') ")
 def missing_baseline(spark, sf_dir):
-    return by_cluster.missing_baseline(performance(spark, sf_dir))
+    return by_cluster.missing_baseline(performance(spark, sf_dir), chosen("baseline", "naive_zero"))
 
 
 @query("kruskal_all")
@@ -80,7 +85,7 @@ def kruskal_all(spark, sf_dir):
 
 @query("series_split")
 def series_split(spark, sf_dir):
-    return routing.assert_apart(routing.series_split(all_returns(spark, sf_dir).select("series_id").distinct()))
+    return routing.assert_apart(routing.series_split(all_returns(spark, sf_dir).select("series_id").distinct(), chosen("seed", 42)))
 
 
 @query("routing_scoring")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import clusters, selection
-from .cluster_queries import _BASE, _CH, _DB, _PROFILE, _SIL, _SIZES, KS, points, vectors
+from ..settings import chosen
+from .cluster_queries import _BASE, _CH, _DB, _PROFILE, _SIL, _SIZES, ks, points, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,7 +52,7 @@ def metrics(spark, sf_dir):
 
 
 def selected(spark, sf_dir):
-    return selection.select_configs(metrics(spark, sf_dir), KS)
+    return selection.select_configs(metrics(spark, sf_dir), ks(), chosen("max_share", selection.MAX_SHARE), chosen("least_size", selection.LEAST_SIZE))
 
 
 @query("eligible_configs", _METRICS + " SELECT config, k::BIGINT AS k, round(score, 6) + 0.0 AS score FROM mt WHERE k >= 2 AND max_share <= 0.9 AND n_small <= 2")
