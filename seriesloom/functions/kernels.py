@@ -6,7 +6,7 @@ Each returns None where its input does not define it.
 from __future__ import annotations
 
 import math
-
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -282,16 +282,19 @@ def normal_scores(x: np.ndarray) -> np.ndarray:
 SCALERS = {"identity": lambda x: x, "robust": robust, "quantile": normal_scores}
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by merging the two whose union costs least variance.
+def ward(x: np.ndarray, k: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of k clusters by merging the two whose union costs least variance. sizes: how many points each row stands for.
 
     Follows chains of nearest neighbours, so it takes time in the square of the rows; it holds their squared distances.
     """
     n = len(x)
     square = (x * x).sum(axis=1)
     d = np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0)
+    size = np.ones(n) if sizes is None else np.asarray(sizes, float).copy()
+    if sizes is not None:
+        d *= 2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])
     np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    alive, chain, merges = np.ones(n, bool), [], []
     while len(merges) < n - 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -318,9 +321,33 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, largest probabilities and entropies of the best of several full-covariance fits."""
-    rng, best = np.random.default_rng(seed), (-np.inf, None)
+@dataclass
+class Mixture:
+    """Log weights, means and lower triangular factors of the covariances of Gaussian components."""
+
+    log_weights: np.ndarray
+    means: np.ndarray
+    factors: np.ndarray
+
+    def chances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's probability of each component, and its log density."""
+        m, log = x.shape[1], np.empty((len(x), len(self.means)))
+        for c, (mean, low) in enumerate(zip(self.means, self.factors, strict=True)):
+            z = np.linalg.solve(low, (x - mean).T)
+            log[:, c] = self.log_weights[c] - 0.5 * (m * math.log(2 * math.pi) + (z**2).sum(axis=0)) - np.log(np.diag(low)).sum()
+        top = log.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
+        return np.exp(log - total[:, None]), total
+
+
+def said_by(chances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, largest probabilities and entropies."""
+    return chances.argmax(axis=1), chances.max(axis=1), -(chances * np.log(np.maximum(chances, 1e-300))).sum(axis=1)
+
+
+def fit_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[Mixture, np.ndarray]:
+    """The best of several full-covariance fits, and the rows' probabilities under it."""
+    rng, best = np.random.default_rng(seed), (-np.inf, None, None)
     n, m = x.shape
     k = min(k, n)
     for _ in range(starts):
@@ -330,22 +357,20 @@ def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100,
         for _ in range(rounds):
             weight = resp.sum(axis=0) + 1e-9
             mean = resp.T @ x / weight[:, None]
-            log = np.empty((n, k))
-            for c in range(k):
-                e = x - mean[c]
-                low = np.linalg.cholesky((resp[:, c, None] * e).T @ e / weight[c] + ridge * np.eye(m))
-                z = np.linalg.solve(low, e.T)
-                log[:, c] = math.log(weight[c] / n) - 0.5 * (m * math.log(2 * math.pi) + (z**2).sum(axis=0)) - np.log(np.diag(low)).sum()
-            top = log.max(axis=1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-            resp = np.exp(log - total[:, None])
+            factors = np.stack([np.linalg.cholesky((resp[:, c, None] * (x - mean[c])).T @ (x - mean[c]) / weight[c] + ridge * np.eye(m)) for c in range(k)])
+            found = Mixture(np.log(weight / n), mean, factors)
+            resp, total = found.chances(x)
             if abs(total.mean() - before) < 1e-4:
                 break
             before = total.mean()
         if total.mean() > best[0]:
-            best = (total.mean(), resp)
-    sure = best[1]
-    return sure.argmax(axis=1), sure.max(axis=1), -(sure * np.log(np.maximum(sure, 1e-300))).sum(axis=1)
+            best = (total.mean(), found, resp)
+    return best[1], best[2]
+
+
+def gaussian_mixture(x: np.ndarray, k: int, starts: int = 5, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, largest probabilities and entropies of the best of several full-covariance fits."""
+    return said_by(fit_mixture(x, k, starts, rounds, seed, ridge)[1])
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:

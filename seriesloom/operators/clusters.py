@@ -16,6 +16,9 @@ from ..functions.columns import divide
 
 BLOCK = 256
 
+#: Silhouettes compare all pairs: above so many rows of a configuration they raise.
+SILHOUETTE_ROWS = 200_000
+
 
 def balance(labels: DataFrame) -> DataFrame:
     """Size, share and rank of each cluster of each configuration."""
@@ -69,11 +72,14 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     return within.join(between, "config").where("k > 1 and k < n").select("config", score.alias("calinski_harabasz"))
 
 
-def silhouette(vectors: DataFrame) -> DataFrame:
+def silhouette(vectors: DataFrame, most: int = SILHOUETTE_ROWS) -> DataFrame:
     """Mean silhouette by Euclidean distance, from rows (config, point, cluster, vector).
 
     Exact, so it compares all pairs; it does so in blocks, each of which gives only sums for a point and a cluster.
     """
+    largest = vectors.groupBy("config").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"all pairs of {largest} rows are compared; at most {most}")
     spread = vectors.select("config", "point", "cluster", "vector", F.pmod(F.xxhash64("point"), F.lit(1 << 20)).alias("_h"))
     sizes = vectors.groupBy("config").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = spread.join(F.broadcast(sizes), "config").withColumn("block", F.expr("cast(_h % blocks as int)"))

@@ -210,7 +210,7 @@ def cluster_grid(
     if "ward" in methods and n * n * 8 > WARD_BYTES:
         raise ValueError(f"Ward holds {n} x {n} distances in one task; at most {WARD_BYTES} bytes")
     local = rows.orderBy("point").collect()
-    values = np.array([r["vector"] for r in local], float).reshape(len(local), -1)
+    values = np.array([r["vector"] for r in local], float) if local else np.zeros((0, 0))
     if np.isnan(values).any():
         values = np.where(np.isnan(values), np.nanmedian(values, axis=0), values)
     shared = rows.sparkSession.sparkContext.broadcast((np.array([r["point"] for r in local]), values))
