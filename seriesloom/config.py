@@ -37,7 +37,7 @@ STAGES: dict[str, tuple[tuple[str, ...], dict]] = {
     "shortlist": (("shortlist_summary", "family_summary"), {}),
     "leakage": (("fold_leak_violations", "permuted_target_ratio", "window_alignment", "row_order_invariance"), {"folds": 3, "least_ratio": 1.05}),
     "fold_features": (("fold_aware_final_features", "fold_aware_comparison"), {"folds": 3}),
-    "routing": (("coverage_checks", "candidate_sets", "candidate_sets_train_only", "routing_classifier", "routing_regression", "routing_scoring", "routing_top_two", "repeat_summary", "feature_importances", "learned_routing_evaluation"), {"seed": 42, "repeats": 3}),
+    "routing": (("coverage_checks", "candidate_sets", "candidate_sets_train_only", "routing_classifier", "routing_regression", "routing_multi_ridge", "routing_boosted_classes", "routing_scoring", "routing_top_two", "repeat_summary", "feature_importances", "learned_routing_evaluation"), {"seed": 42, "repeats": 3}),
 }
 
 

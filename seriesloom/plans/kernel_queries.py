@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.columns import rounded
-from ..operators import clusters, dependence, forecasts, leakage, meta_models, moments, returns, routing, series_kernels, shape
+from ..operators import boosting, clusters, dependence, forecasts, leakage, meta_models, moments, returns, routing, series_kernels, shape
 from ..settings import chosen
 from ..sources.panels import table
 from ..sources.shared import stored
@@ -176,6 +176,11 @@ def routing_regression(spark, sf_dir):
     return meta_models.route_by_regression(_meta_rows(spark, sf_dir), BASIC, forecasts.MODELS)
 
 
+@query("routing_boosted_classes")
+def routing_boosted_classes(spark, sf_dir):
+    return boosting.route_by_boosting(_meta_rows(spark, sf_dir), BASIC)
+
+
 @query("ridge_tuning")
 def ridge_tuning(spark, sf_dir):
     grid = {f"alpha_{a}": {"alpha": a} for a in (0.001, 0.1, 10.0)}
