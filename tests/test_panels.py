@@ -66,29 +66,39 @@ def test_folds_are_ordered(spark):
     assert returns.fold_leaks(splits).first().n_violations == 0
 
 
-def test_white_noise_and_memory(spark):
-    rng = np.random.default_rng(123)
-    e = rng.normal(size=2000)
-    ar = np.zeros(2000)
-    for i in range(1, 2000):
-        ar[i] = 0.65 * ar[i - 1] + e[i]
-    r = returns_of(spark, white=e, ar=ar)
-    for f in (dependence.hurst_rs, dependence.hurst_dfa):
-        assert 0.2 < {x.series_id: x.hurst for x in f(r).collect()}["white"] < 0.9
-    memory = {x.series_id: x.iacf for x in dependence.integrated_acf(dependence.acf(r)).where("up_to = 20").collect()}
-    assert memory["ar"] > memory["white"]
-    assert all(0.5 < x.variance_ratio < 1.5 for x in dependence.variance_ratio(r).where("series_id = 'white'").collect())
-    p = dependence.ljung_box(r).withColumn("p", series_kernels.chi2_tail("q", "order")).collect()
-    assert all(0 <= x.p <= 1 for x in p) and max(x.p for x in p if x.series_id == "ar") < 1e-6
-
-
-def test_tails(spark):
-    rng = np.random.default_rng(7)
-    r = returns_of(spark, normal=rng.normal(size=6000), heavy=rng.standard_t(3, size=6000))
-    hill = {x.series_id: x.hill for x in shape.hill_index(r).collect()}
-    tails = {x.series_id: x.tail_both for x in shape.tail_ratios(r).collect()}
-    kurt = {x.series_id: x.kurtosis for x in shape.fisher_kurtosis(r).collect()}
-    assert hill["heavy"] < hill["normal"] and tails["heavy"] > tails["normal"] and abs(kurt["normal"]) < 0.3
+def test_memory_of_closed_forms(spark):
+    """A sign that flips every step and a straight line, whose measures follow from their formulas."""
+    n = 2000
+    r = returns_of(spark, flip=np.array([1.0, -1.0] * (n // 2)), line=np.arange(n, dtype=float))
+    grid = {(x.series_id, x.lag): x.acf for x in dependence.acf(r).collect()}
+    assert all(abs(grid["flip", k] - (-1) ** k * (n - k) / n) < 1e-12 for k in dependence.ACF_LAGS)
+    centred = np.arange(n) - (n - 1) / 2
+    assert all(abs(grid["line", k] - (centred[k:] * centred[: n - k]).sum() / (n * (n * n - 1) / 12)) < 1e-9 for k in (1, 10, 250))
+    sums = {x.up_to: x.iacf for x in dependence.integrated_acf(dependence.acf(r)).where("series_id = 'flip'").collect()}
+    assert sums[5] == pytest.approx(sum((n - k) / n for k in range(1, 6))) and sums[20] == pytest.approx(sum((n - k) / n for k in range(1, 21)))
+    q = {x.order: x for x in dependence.ljung_box(r).withColumn("p", series_kernels.chi2_tail("q", "order")).where("series_id = 'flip'").collect()}
+    assert all(q[m].q == pytest.approx((n + 2) / n * sum(n - k for k in range(1, m + 1))) and q[m].p < 1e-200 for m in (5, 50))
+    ratio = {x.q: x.variance_ratio for x in dependence.variance_ratio(r).where("series_id = 'flip'").collect()}
+    assert ratio[2] == 0 and ratio[10] == 0 and ratio[5] == pytest.approx(1 / 5, rel=1e-2)  # five flips sum to one, two or ten to none
+    # a line's chunks: ranges over deviations grow like the window, residuals of its parabola like the window's square
+    assert dependence.hurst_rs(r).where("series_id = 'line'").first().hurst == pytest.approx(1.0, abs=0.02)
+    assert dependence.hurst_dfa(r).where("series_id = 'line'").first().hurst == pytest.approx(2.0, abs=0.02)
+
+
+def test_tails_of_closed_forms(spark):
+    """Even steps from -1 to 1, and both signs of a power law's quantiles."""
+    n, alpha = 4000, 2.5
+    law = (n / np.arange(1.0, n + 1)) ** (1 / alpha)
+    r = returns_of(spark, even=np.linspace(-1, 1, n + 1), law=np.concatenate([law, -law]))
+    at = lambda f, c: {x.series_id: x[c] for x in f(r).collect()}
+    assert at(shape.fisher_kurtosis, "kurtosis")["even"] == pytest.approx(-1.2, abs=0.01)
+    assert at(shape.moors_kurtosis, "moors")["even"] == pytest.approx(1.0)
+    for c in ("tail_both", "tail_up", "tail_low"):
+        assert at(shape.tail_ratios, c)["even"] == pytest.approx(0.98 / 0.5)
+    hill = {x.series_id: x for x in shape.hill_index(r).collect()}
+    k = hill["law"].k
+    largest = np.sort(np.concatenate([law, law]))[::-1]
+    assert k == 400 and hill["law"].hill == pytest.approx(1 / np.log(largest[:k] / largest[k]).mean()) == pytest.approx(alpha, rel=0.02)
 
 
 def test_noise_fn(spark):
@@ -97,22 +107,45 @@ def test_noise_fn(spark):
     assert got == pytest.approx(np.diff(x).std(ddof=1) / x.std(ddof=1))
 
 
-def test_kernels():
-    rng = np.random.default_rng(6)
-    white, sine = rng.normal(size=2048), np.sin(2 * np.pi * np.arange(2048) / 64)
-    a, b = kernels.spectral(white), kernels.spectral(sine)
-    assert a["entropy"] > b["entropy"] and a["flatness"] > b["flatness"]
-    assert kernels.lempel_ziv(white) > kernels.lempel_ziv(sine) and kernels.lempel_ziv(np.ones(10)) is None
-    assert kernels.sample_entropy(white[:500]) > kernels.sample_entropy(sine[:500])
-    assert kernels.choose_dimension({2: 0.70, 3: 0.50, 4: 0.45, 5: 0.445, 6: 0.444}, 0.05, 0.01, 0.02) == (4, "stable_plateau")
-    assert kernels.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05)
-    assert kernels.chi2_tail(100, 50) == pytest.approx(3.4e-5, rel=0.05)
-    x = np.empty(1500)
-    x[0] = 0.12345
-    for i in range(1, 1500):
-        x[i] = 3.9 * x[i - 1] * (1 - x[i - 1])
-    assert kernels.largest_lyapunov(kernels.embed(x, 2, 1)) > 0.3
-    assert kernels.choose_delay(sine[:800])[0] > 0
+def test_spectra_of_one_wave_and_one_beat():
+    beat = np.zeros(1024)
+    beat[512] = 1.0
+    flat, wave = kernels.spectral(beat), kernels.spectral(np.cos(2 * np.pi * 32 * np.arange(1024) / 256))
+    assert flat["entropy"] > 0.999 and flat["flatness"] > 0.99 and abs(flat["slope"]) < 0.05
+    assert wave["entropy"] < 0.25 and wave["flatness"] < 1e-6
+
+
+def test_counts_of_patterns():
+    flip = np.array([0.0, 1.0] * 32)
+    assert kernels.lempel_ziv(flip) == pytest.approx(3 * 6 / 64)  # a zero, a one, and all the rest
+    assert kernels.lempel_ziv(np.full(12, 2.0)) is None
+    # templates match where they begin at places of the same parity: 50 and 49 of length two, 49 and 49 of length three
+    pairs = lambda n: n * (n - 1) / 2
+    assert kernels.sample_entropy(np.array([0.0, 1.0] * 50)) == pytest.approx(-np.log(2 * pairs(49) / (pairs(50) + pairs(49))))
+
+
+def test_rules_of_the_dimension():
+    choose = kernels.choose_dimension
+    assert choose({2: 0.3, 3: 0.05, 4: 0.0}) == (3, "strict_threshold")
+    assert choose({2: 0.9, 3: 0.31, 4: 0.305, 5: 0.301}) == (3, "stable_plateau")
+    assert choose({2: 0.9, 3: 0.31, 4: 0.2, 5: 0.25}) == (4, "best_available")
+    assert choose({}) == (None, "failed")
+    assert kernels.choose_delay(np.zeros(60)) == (1, "acf_zero")
+
+
+def test_chi_squared_of_even_freedom():
+    for x in (0.1, 3.0, 40.0):
+        assert kernels.chi2_tail(x, 2) == pytest.approx(np.exp(-x / 2))
+        assert kernels.chi2_tail(x, 4) == pytest.approx(np.exp(-x / 2) * (1 + x / 2))
+
+
+def test_exponents_of_doubling_and_of_a_rotation():
+    """Doubling on a circle of prime length, exactly, parts states by two at every step; a rotation never does."""
+    prime = 1_000_003
+    doubled = np.array([pow(2, t, prime) * 12_345 % prime / prime for t in range(1500)])
+    assert 0.45 < kernels.largest_lyapunov(kernels.embed(doubled, 2, 1)) < 0.75
+    turned = np.cos(2 * np.pi * np.arange(1500) * (np.sqrt(5) - 1) / 2)
+    assert abs(kernels.largest_lyapunov(kernels.embed(turned, 2, 1))) < 0.02
 
 
 def test_welch_of_parseval():
