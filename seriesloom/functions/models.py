@@ -73,6 +73,7 @@ class RidgeLag:
 @dataclass
 class EchoState:
     """Leaky reservoir run from rest over each window; the last state and a one are read out by penalised least squares.
+    Windows, states and readout are single precision, the recurrence and the fit double.
 
     ``gains``: the factor on the recurrent part goes from the first to the second along the window.
     """
@@ -92,6 +93,7 @@ class EchoState:
         self.w = w * (self.radius / max(np.abs(np.linalg.eigvals(w)).max(), 1e-12))
 
     def _states(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float32).astype(float)
         h = np.zeros((len(x), self.size))
         steps = x.shape[1]
         first, last = self.gains
@@ -99,15 +101,15 @@ class EchoState:
             getattr(self, "deadline", NO_LIMIT).check()
             gain = first * (last / first) ** (t / max(steps - 1, 1))
             h = (1 - self.leak) * h + self.leak * np.tanh(x[:, t, None] * self.win + gain * (h @ self.w.T))
-        return np.hstack([h, np.ones((len(x), 1))])
+        return np.hstack([h, np.ones((len(x), 1))]).astype(np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         self._build()
-        s = self._states(x)
-        self.out = np.linalg.solve(s.T @ s + self.ridge * np.eye(s.shape[1]), s.T @ y)
+        s = self._states(x).astype(float)
+        self.out = np.linalg.solve(s.T @ s + self.ridge * np.eye(s.shape[1]), s.T @ y.astype(np.float32)).astype(np.float32)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self._states(x) @ self.out
+        return (self._states(x) @ self.out).astype(float)
 
 
 @dataclass

@@ -48,10 +48,10 @@ def window_alignment(returns: DataFrame, horizons: Sequence[int] = (1, 5, 20), f
     return out
 
 
-def row_order_invariance(returns: DataFrame, names: Sequence[str] = ("ridge_lag", "esn"), horizon: int = 5, seed: int = 2026, tolerance: float = 1e-6) -> DataFrame:
+def row_order_invariance(returns: DataFrame, names: Sequence[str] = ("ridge_lag", "esn"), horizon: int = 5, seed: int = 2026, tolerance: float = 1e-3) -> DataFrame:
     """(series_id, gap_<model>, passed, status): the largest change of a test prediction, in deviations of the target, when the training rows come in another order.
 
-    A model that is fitted by least squares must not care; a series too short for ten training rows has null gaps and does not pass.
+    A model that is fitted by least squares must not care, but for the rounding of single precision; a series too short for ten training rows has null gaps and does not pass.
     """
     window = WINDOWS[horizon]
 

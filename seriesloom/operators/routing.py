@@ -82,9 +82,16 @@ def evaluation(pairs: DataFrame) -> DataFrame:
     return s.agg(divide(right, F.sum("support")).alias("accuracy"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
 
 
+#: Ids that a split by NumPy's generator takes to the driver, at most; :func:`hash_split` has no bound.
+MOST_IDS = 1_000_000
+
+
 def series_split(ids: DataFrame, seed: int = 42, test: float = 0.2, validation: float = 0.1) -> DataFrame:
     """(series_id, split): sorted ids shuffled by NumPy's generator, cut into test, validation and train. There are as many ids as series."""
-    names = sorted({r["series_id"] for r in ids.select("series_id").collect()})
+    held = ids.select("series_id").distinct().limit(MOST_IDS + 1).collect()
+    if len(held) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} series; use hash_split")
+    names = sorted(r["series_id"] for r in held)
     if len(names) < 3 or test <= 0 or validation < 0 or test + validation >= 1:
         raise ValueError("a split needs three series at least, and shares that leave some to train on")
     names = np.random.default_rng(seed).permutation(np.array(names)).tolist()
@@ -111,6 +118,61 @@ def repeat_summary(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str])
     return rows.groupBy(*keys).agg(F.count_distinct("repeat").alias("n_repeats"), *each)
 
 
+def judged_routes(rows: DataFrame, said: DataFrame, models: Sequence[str], keys: Sequence[str] = ("horizon",), threshold: float | None = None, low: bool = True) -> DataFrame:
+    """Every test row's route: what was chosen, what the best single model and the best of all would have cost, and whether the choice was right.
+
+    rows: (series_id, keys..., split, a cost column for each model); said: (series_id, keys..., first, second, confidence) of test rows, the two
+    most probable models. Below the threshold of confidence the best single model is taken; that is the one of the best mean over training
+    rows of the keys (ties: the order of ``models``). Costs are better when low, or when high.
+    """
+    sign = 1.0 if low else -1.0
+    cost = lambda name: F.element_at(F.map_from_arrays(F.array(*(F.lit(m) for m in models)), F.array(*models)), name)
+    mean = F.array(*(F.struct((sign * F.round(F.avg(m), 12)).alias("mean"), F.lit(i).alias("place"), F.lit(m).alias("model")) for i, m in enumerate(models)))
+    single = rows.where("split = 'train'").groupBy(*keys).agg(F.array_min(mean)["model"].alias("best_single_model"))
+    best = F.array_min(F.array(*(F.struct((sign * F.col(m)).alias("cost"), F.lit(i).alias("place"), F.lit(m).alias("model")) for i, m in enumerate(models))))["model"]
+    test = rows.where("split = 'test'").withColumn("oracle_model", best).join(said, ["series_id", *keys]).join(single, list(keys), "left")
+    falls = F.lit(False) if threshold is None else F.coalesce(F.col("confidence") < threshold, F.lit(True)) & F.col("best_single_model").isNotNull()
+    test = test.withColumn("fallback_applied", falls).withColumn("selected_model", F.when(F.col("fallback_applied"), F.col("best_single_model")).otherwise(F.col("first")))
+    test = test.withColumns({"achieved": cost(F.col("selected_model")), "oracle": cost(F.col("oracle_model")), "baseline": cost(F.col("best_single_model"))})
+    hit = F.col("selected_model") == F.col("oracle_model")
+    return test.select(
+        "series_id", *keys, "selected_model", F.col("second").alias("selected_model_top2"), "oracle_model", "best_single_model", "achieved", "oracle", "baseline", (sign * (F.col("baseline") - F.col("achieved"))).alias("improvement"),
+        (sign * (F.col("achieved") - F.col("oracle"))).alias("gap"), hit.alias("hit"), (hit | F.coalesce(F.col("second") == F.col("oracle_model"), F.lit(False))).alias("top2_hit"), "confidence", "fallback_applied",
+    )
+
+
+def route_summary(judged: DataFrame, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """One row by the keys: mean costs and gains, rates of hits and fallbacks, accuracy, balanced accuracy, macro and weighted F1."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    means = judged.groupBy(*keys).agg(
+        F.count_distinct("series_id").alias("n_test_series"), F.count("*").alias("n_test_objects"), *(F.avg(c).alias(c) for c in ("achieved", "baseline", "oracle", "improvement", "gap")),
+        share("hit").alias("hit_rate"), share("top2_hit").alias("top2_hit_rate"), share("fallback_applied").alias("fallback_rate"),
+    )
+    pairs = judged.groupBy(*keys, F.col("oracle_model").alias("truth"), F.col("selected_model").alias("said")).agg(F.count("*").alias("n"))
+    of = lambda c, name: pairs.groupBy(*keys, F.col(c).alias("label")).agg(F.sum("n").alias(name), F.sum(F.when(F.col("truth") == F.col("said"), F.col("n")).otherwise(0)).alias(f"_{name}"))
+    each = of("truth", "support").join(of("said", "named"), [*keys, "label"], "full_outer").na.fill(0, ["support", "named", "_support", "_named"])
+    hits = F.greatest("_support", "_named")
+    each = each.withColumn("recall", F.when(F.col("support") > 0, hits / F.col("support"))).withColumn("f1", F.coalesce(divide(2.0 * hits, F.col("support") + F.col("named")), F.lit(0.0)))
+    scores = each.groupBy(*keys).agg(F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
+    return means.join(scores, list(keys)).withColumn("accuracy", F.col("hit_rate"))
+
+
+#: The aggregates of repeats: the mean of each, and for the achieved cost its deviation too. Fixed values.
+REPEATED = ["achieved", "baseline", "oracle", "improvement", "gap", "hit_rate", "accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "top2_hit_rate", "fallback_rate"]
+
+
+def repeat_aggregates(summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Means over repeats (column ``repeat``) of a route summary's measures, with the number of repeats; missing keys are a group of their own."""
+    return summaries.groupBy(*keys).agg(F.count_distinct("repeat").alias("n_repeats"), F.stddev_samp("achieved").alias("achieved_std"), *(F.avg(c).alias(f"{c}_mean") for c in REPEATED))
+
+
+def confidence_quantiles(judged: DataFrame, keys: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Quantiles of the confidence of routes that were right and of those that were not, and their mean gap to the best."""
+    at = F.percentile("confidence", F.array(*(F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9))))
+    rows = judged.groupBy(*keys, "hit").agg(F.count("*").alias("n"), F.avg("gap").alias("gap_mean"), at.alias("q"))
+    return rows.select(*keys, "hit", "n", "gap_mean", *(F.col("q")[i].alias(f"confidence_q{p}") for i, p in enumerate((10, 25, 50, 75, 90))))
+
+
 OBJECT = ["series_id", "horizon", "fold"]
 
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, bias_corrected_skewness, divide
+from . import moments
 
 HIGH_MISSING, LOW_STD, FEW_VALUES, CORRELATED, DUPLICATE, WARNING_HEAVY = 0.2, 1e-6, 5, 0.9, 0.98, 0.3
 
@@ -52,15 +54,51 @@ def feature_quality(features: DataFrame, high_missing: float = HIGH_MISSING) ->
     })
 
 
-def correlated_pairs(features: DataFrame, threshold: float = CORRELATED) -> DataFrame:
-    """Pairs of features (first name smaller) whose Pearson or rank correlation over common rows reaches the threshold."""
-    rows = features.where("value is not null")
-    a = rows.select("series_id", F.col("feature").alias("feature_1"), F.col("value").alias("x"))
-    b = rows.select("series_id", F.col("feature").alias("feature_2"), F.col("value").alias("y"))
-    pairs = a.join(b, "series_id").where("feature_1 < feature_2")
+PAIR_SCHEMA = "feature_1 string, feature_2 string, n long, pearson double, spearman double"
+
+
+def _whole_pairs(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Correlations of features that every series has: ranked once each, and all products from one pass over a row for each series."""
+    ranked = rows.where(F.col("feature").isin(names)).withColumn("rank", average_rank(F.col("value"), "feature"))
+    held = F.array_sort(F.collect_list(F.struct("feature", "value", "rank")))
+    vectors = ranked.groupBy("series_id").agg(held.alias("h")).select(F.concat(F.transform("h", lambda s: s["value"]), F.transform("h", lambda s: s["rank"].cast("double"))).alias("vector"))
+    k = len(names)
+    m = moments.moments(vectors, width=2 * k)
+    size = np.sqrt(np.diag(m.products))
+
+    def related(i: int, j: int) -> float | None:
+        return float(m.products[i, j] / (size[i] * size[j])) if size[i] * size[j] > 0 else None
+
+    found = [(names[i], names[j], m.n, related(i, j), related(k + i, k + j)) for i in range(k) for j in range(i + 1, k)]
+    return rows.sparkSession.createDataFrame(found, PAIR_SCHEMA)
+
+
+def _gappy_pairs(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Correlations of pairs of which one feature at least is among the names, each over the series that have both."""
+    gappy = F.col("feature").isin(names)
+    a = rows.select("series_id", F.col("feature").alias("feature_1"), F.col("value").alias("x"), gappy.alias("g1"))
+    b = rows.select("series_id", F.col("feature").alias("feature_2"), F.col("value").alias("y"), gappy.alias("g2"))
+    pairs = a.join(b, "series_id").where("feature_1 < feature_2 and (g1 or g2)")
     ranked = pairs.withColumns({"rx": average_rank(F.col("x"), "feature_1", "feature_2"), "ry": average_rank(F.col("y"), "feature_1", "feature_2")})
     defined = lambda x, y: divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    both = ranked.groupBy("feature_1", "feature_2").agg(F.count("*").alias("n"), defined("x", "y").alias("pearson"), defined("rx", "ry").alias("spearman")).where("n >= 3")
+    return ranked.groupBy("feature_1", "feature_2").agg(F.count("*").alias("n"), defined("x", "y").alias("pearson"), defined("rx", "ry").alias("spearman"))
+
+
+def correlated_pairs(features: DataFrame, threshold: float = CORRELATED) -> DataFrame:
+    """Pairs of features (first name smaller) whose Pearson or rank correlation over common rows reaches the threshold.
+
+    Only features with gaps are paired series by series; a feature has one row for each series at most.
+    """
+    rows = features.where("value is not null")
+    finite = F.count_if(~(F.isnan("value") | (F.abs("value") == float("inf"))))
+    every = features.agg(F.count_distinct("series_id")).first()[0]
+    counts = {r["feature"]: r["n"] for r in rows.groupBy("feature").agg(finite.alias("n")).collect()}  # one row a feature
+    whole, gaps = sorted(f for f, n in counts.items() if n == every), sorted(f for f, n in counts.items() if n != every)
+    both = _whole_pairs(rows, whole) if len(whole) > 1 else None
+    if gaps or both is None:
+        part = _gappy_pairs(rows, gaps)
+        both = part if both is None else both.unionByName(part)
+    both = both.where("n >= 3")
     strength = F.greatest(F.abs(F.coalesce("pearson", F.lit(0.0))), F.abs(F.coalesce("spearman", F.lit(0.0))))
     relation = F.when(strength >= DUPLICATE, "potential_duplicate").otherwise("strongly_related")
     return both.where(strength >= threshold).withColumn("relation", relation)
@@ -114,7 +152,7 @@ def candidate_pool(screened: DataFrame) -> DataFrame:
 
 
 def interpretability(feature: str = "feature"):
-    """How easily a feature is explained, by its name: long lags cost, summaries and spectra gain."""
+    """How easily a feature is explained, by its name: long lags cost, summaries and spectra gain. The scores are fixed values."""
     name = F.col(feature)
     named = lambda *parts: F.when(F.greatest(*(F.coalesce(F.contains(name, F.lit(p)), F.lit(False)) for p in parts)), 1.0).otherwise(0.0)
     lag = F.expr(f"try_cast(element_at(split({feature}, '_lag_'), -1) AS INT)")

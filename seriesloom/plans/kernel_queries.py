@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.columns import rounded
-from ..operators import boosting, clusters, dependence, forecasts, leakage, meta_models, moments, returns, routing, series_kernels, shape
+from ..operators import benchmark, boosting, clusters, dependence, forecasts, leakage, meta_models, moments, returns, routing, series_kernels, shape
 from ..settings import chosen
 from ..sources.panels import table
 from ..sources.shared import stored
@@ -94,8 +94,12 @@ def speed_summary(spark, sf_dir):
 
 
 def grid(spark, sf_dir, **how):
-    """The grid of clusterings with the stage's numbers of clusters and seed."""
-    return series_kernels.cluster_grid(_matrix(spark, sf_dir), ks=ks(), seed=chosen("seed", 42), **how)
+    """The whole grid of clusterings, or the stage's numbers of clusters and seed where they are set."""
+    if chosen("k_min", None) or chosen("k_max", None):
+        how["ks"] = ks()
+    if seed := chosen("seed", None):
+        how["seed"] = seed
+    return series_kernels.cluster_grid(_matrix(spark, sf_dir), **how)
 
 
 def _matrix(spark, sf_dir):
@@ -239,6 +243,11 @@ def routing_multi_ridge(spark, sf_dir):
 _ACTIVE, _SUPPORTED = ["naive_zero", "naive_mean", "ridge_lag", "esn"], ["chaotic_esn", "vanilla_mlp", "lstm_forecast"]
 
 
-@query("registry_table", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{'active' if m in _ACTIVE else 'inactive_but_supported' if m in _SUPPORTED else 'registered_not_selected'}')" for m in sorted(models.REGISTRY)) + ") t(model, status)")
+_REGISTERED = ", ".join(f"('{m}', '{'active' if m in _ACTIVE else 'inactive_but_supported' if m in _SUPPORTED else 'registered_not_selected'}')" for m in sorted(models.REGISTRY))
+
+
+@query("registry_table", f"""{_SERIES}, ta AS (SELECT sum(n_folds)::BIGINT AS n FROM sm WHERE model = 'naive_zero') SELECT t.model, t.status, CASE WHEN t.status = 'active' THEN ta.n ELSE 0 END AS n_tasks FROM (VALUES {_REGISTERED}) t(model, status), ta""")
 def registry_table(spark, sf_dir):
-    return series_kernels.registry_table(spark, _ACTIVE, _SUPPORTED)
+    """Every registered model's part in a benchmark of the eligible series, and the tasks that it has there."""
+    planned = benchmark.tasks_of(eligible(spark, sf_dir), benchmark.Benchmark(_ACTIVE)).groupBy("model").agg(F.count("*").alias("n_tasks"))
+    return series_kernels.registry_table(spark, _ACTIVE, _SUPPORTED).join(planned, "model", "left").na.fill(0, ["n_tasks"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import by_cluster, forecasts, meta_models, routing, screening
-from ..settings import chosen
+from ..settings import chosen, using
 from .forecast_queries import _PERF, _SERIES, _TASKS, assignments, performance, series, tasks
 from .kernel_queries import _meta_rows
 from .panel_queries import BASIC, all_returns, eligible
@@ -127,3 +127,60 @@ def feature_diagnostics(spark, sf_dir):
     ids = price_panel(spark, sf_dir).select("series_id").distinct()
     rows = ids.withColumns({"flat": F.lit(1.0), "gappy": F.when(~F.col("series_id").startswith("SU:"), 2.0)})
     return routing.feature_diagnostics(rows, series(spark, sf_dir), ["flat", "gappy"])
+
+
+def _judged(spark, sf_dir, seed: int | None = None):
+    """Routes of the logistic classifier over the real errors, with fallback below a confidence of a half."""
+    with using({} if seed is None else {"seed": seed}):
+        rows = _meta_rows(spark, sf_dir)
+    said = meta_models.top_two(rows, BASIC).select("series_id", "horizon", "first", "second", "confidence")
+    return routing.judged_routes(rows, said, forecasts.MODELS, threshold=0.5)
+
+
+@query("routing_judged")
+def routing_judged(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
+@query("routing_route_summary")
+def routing_route_summary(spark, sf_dir):
+    return routing.route_summary(_judged(spark, sf_dir))
+
+
+@query("routing_confidence_quantiles")
+def routing_confidence_quantiles(spark, sf_dir):
+    return routing.confidence_quantiles(_judged(spark, sf_dir))
+
+
+@query("routing_repeat_aggregates")
+def routing_repeat_aggregates(spark, sf_dir):
+    """The summary of routes over splits by several seeds; each split fits its own classifier."""
+    each = [routing.route_summary(_judged(spark, sf_dir, seed)).withColumn("repeat", F.lit(seed)) for seed in seeds()]
+    return routing.repeat_aggregates(reduce(lambda a, b: a.unionByName(b), each), ["horizon"])
+
+
+@query("missing_baseline_partial", _PERF + """, pp AS (SELECT * FROM pf WHERE NOT (model = 'naive_zero' AND (horizon = 5 OR cluster = 2)))
+  SELECT DISTINCT config, cluster::INTEGER AS cluster, horizon FROM pp WHERE (config, cluster, horizon) NOT IN (SELECT (config, cluster, horizon) FROM pp WHERE model = 'naive_zero')""")
+def missing_baseline_partial(spark, sf_dir):
+    """A run in which the baseline failed at one horizon and in one cluster."""
+    perf = performance(spark, sf_dir).where("not (model = 'naive_zero' and (horizon = 5 or cluster = 2))")
+    return by_cluster.missing_baseline(perf)
+
+
+_BROKEN = _OBJECTS + """, tp AS (SELECT * FROM tk WHERE NOT (model = 'naive_last' AND fold = 2 AND series_id LIKE 'OR:%') UNION ALL SELECT * FROM tk WHERE model = 'naive_zero' AND horizon = 1 AND fold = 1),
+  fp AS (SELECT series_id, horizon, fold, CASE WHEN horizon = 20 THEN NULL ELSE train_mean END AS train_mean, train_std FROM ft WHERE NOT (fold = 3 AND series_id LIKE 'EV:%') UNION ALL SELECT 'XX:none', 1, 1, 0.0, 1.0),
+  ob AS (SELECT series_id, horizon, fold, count(DISTINCT model) AS n, count(*) AS r FROM tp GROUP BY ALL)"""
+
+
+@query("coverage_checks_failing", _BROKEN + """ SELECT (SELECT count(*) FROM ob WHERE (series_id, horizon, fold) NOT IN (SELECT (series_id, horizon, fold) FROM fp))::BIGINT AS missing_features,
+  (SELECT count(*) FROM fp WHERE (series_id, horizon, fold) NOT IN (SELECT (series_id, horizon, fold) FROM ob))::BIGINT AS features_without_metrics,
+  (SELECT count(*) FROM (SELECT series_id, horizon FROM fp GROUP BY ALL HAVING count(DISTINCT fold) <> 3))::BIGINT AS bad_fold_counts, (SELECT count(*) FILTER (WHERE train_mean IS NULL) + count(*) FILTER (WHERE train_std IS NULL) FROM fp)::BIGINT AS non_finite_features,
+  (SELECT max(n) FROM ob)::BIGINT AS models_per_object, (SELECT sum(r - n) FROM ob)::BIGINT AS duplicate_metrics, (SELECT count(*) FROM ob WHERE n < (SELECT max(n) FROM ob))::BIGINT AS incomplete_objects,
+  (SELECT count(*) FILTER (WHERE rmse IS NULL) FROM tp)::BIGINT AS missing_metrics, 'missing_features;bad_fold_counts;non_finite_features;duplicate_metrics;incomplete_objects' AS failures, 'failed' AS status""")
+def coverage_checks_failing(spark, sf_dir):
+    """Metrics and features with gaps, repeats, and objects that the other side lacks."""
+    t, f = tasks(spark, sf_dir), _fold_facts(spark, sf_dir)
+    broken = t.where("not (model = 'naive_last' and fold = 2 and series_id like 'OR:%')").unionByName(t.where("model = 'naive_zero' and horizon = 1 and fold = 1"))
+    unknown = spark.createDataFrame([("XX:none", 1, 1, 0.0, 1.0)], f.schema)
+    gaps = f.withColumn("train_mean", F.when(F.col("horizon") != 20, F.col("train_mean"))).where("not (fold = 3 and series_id like 'EV:%')").unionByName(unknown)
+    return routing.coverage_checks(broken, gaps, ["train_mean", "train_std"], ["rmse"], 3)

@@ -104,9 +104,16 @@ def external_series(rows: DataFrame, minimum: int, series: str = "series_id", da
     return long.select("series_id", "date", step.alias("r")).where("r is not null")
 
 
+#: Ids that a sample by NumPy's generator takes to the driver, at most.
+MOST_IDS = 1_000_000
+
+
 def sample_series(ids: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """So many ids without replacement by NumPy's generator, in their order; there are as many ids as files."""
-    names = sorted({r[0] for r in ids.select("series_id").collect()})
+    held = ids.select("series_id").distinct().limit(MOST_IDS + 1).collect()
+    if len(held) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} series to sample from")
+    names = sorted(r[0] for r in held)
     picked = np.sort(np.random.default_rng(seed).choice(len(names), min(size, len(names)), replace=False))
     return ids.sparkSession.createDataFrame([(names[i],) for i in picked.tolist()], "series_id string")
 
