@@ -8,7 +8,8 @@ heap over a doubly linked list of bytes. A bounded memo keeps what was resolved
 Rank files are parsed on the driver and broadcast: their size is the vocabulary's, and is checked.
 
 Defined cases: null is the empty text, which has no ids and decodes to no bytes; texts are encoded whole, however
-long; special tokens' strings are ordinary text.
+long; special tokens' strings are ordinary text; rows that repeat have equal ids, a row without an id is encoded like any other; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

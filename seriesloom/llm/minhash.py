@@ -111,6 +111,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, class_id) of every row: the smallest id that links of Jaccard likeness at the threshold or above reach.
 
+    Defined cases: null and empty texts are one class; a row without an id has its text's class, which is null where no row of the class has
+    an id; rows that repeat each have a row; an empty table gives no rows; extra columns, whatever their names, are ignored.
+
     Only distinct texts are compared, and within a bucket only those that are not yet linked, so groups of copies cost no
     pairs. A bucket above ``bucket_rows`` is dealt by a hash of its texts into blocks, and a task compares two of its blocks: every
     two texts of a bucket meet, however many it holds, and no task reads more than about ``bucket_rows`` of them. Buckets with the

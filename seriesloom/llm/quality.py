@@ -14,7 +14,11 @@ Weights are the generative models' own, sums over all n-grams, not means: the li
 length, so unit noise decides between short documents and those near the cut, and long ones are nearly always decided by their weight. That is
 what the model says of them; scaling by length would keep some long junk and lose some long good documents, whose share of clean documents the contract wants whole.
 
-Defined cases: extra columns stay, but for ones named ``log_weight`` or ``key``, which are replaced; an empty table gives no rows; equal keys at the cut all stay; a null or empty text has no n-grams and log weight zero; a null id gets noise like any other; labels
+That leaves little to chance where documents are long. :func:`resample` is the sampler itself: exactly k documents without replacement, a
+document's weight being that of ``tilt`` of its n-grams at their mean log ratio, whatever its length, so the noise decides among
+documents of like quality and every seed draws another sample.
+
+Defined cases: texts of any length count whole; extra columns stay, but for ones named ``log_weight`` or ``key``, which are replaced; an empty table gives no rows; equal keys at the cut all stay; a null or empty text has no n-grams and log weight zero; a null id gets noise like any other; labels
 that are null or of unknown documents count for nothing; with no good labels every weight is zero and all
 rows are kept; rows that repeat are judged alike.
 """
@@ -200,6 +204,44 @@ def select_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, sam
     return scored.where(F.col("key") >= cut) if math.isfinite(cut) else scored
 
 
+def mean_log_ratio(ratios, text: Column) -> Column:
+    """A double column: the mean log ratio of the text's n-grams, zero without any. ratios: a broadcast vector."""
+
+    @F.pandas_udf(T.DoubleType())
+    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher, table = NgramHasher(), ratios.value
+        for texts in batches:
+            found = (hasher.buckets(t) if t else np.zeros(0, np.int64) for t in texts)
+            yield pd.Series([float(table[b].mean()) if len(b) else 0.0 for b in found], dtype=float)
+
+    return weigh(F.coalesce(text, F.lit("")))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int, tilt: float = 20.0, sample_rows: int = SAMPLE_ROWS, seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """k documents drawn without replacement in proportion to exp(tilt * mean log ratio): columns ``keep`` (all of the documents'), log_weight, key.
+
+    All are kept where there are no more than k; of equal keys at the end all stay, as of rows that repeat.
+    """
+    need(docs, "doc_id", "text")
+    need(labels, "doc_id", "quality")
+    spark = docs.sparkSession
+    small_batches(spark)
+    good = written(_labelled(docs, labels, 1, sample_rows), "good")
+    ratios = spark.sparkContext.broadcast(log_ratios(ngram_counts(good), ngram_counts(docs)))
+    weighed = docs.withColumn("log_weight", mean_log_ratio(ratios, F.col("text")) * tilt)
+    keyed = weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("log_weight", "key")]
+    return top_k(written(keyed.select(*columns, "log_weight", "key"), "keys"), k)
+
+
+def quality_resample(spark, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their quality."""
+    from .common import table
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels"), docs.count() // 10, keep=["doc_id"])
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -7,7 +7,7 @@ from .merkle import op13_merkle_manifest
 from .minhash import minhash_classes, op4_minhash
 from .packing import op6_best_fit_packing
 from .pii import op5_pii
-from .quality import op2_quality
+from .quality import op2_quality, quality_resample
 from .simhash import op3_simhash
 from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op11_toxicity
@@ -29,6 +29,7 @@ QUERIES = {
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
     "minhash_classes": minhash_classes,
+    "quality_resample": quality_resample,
 }
 
 SQL = {

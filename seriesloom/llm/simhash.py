@@ -15,7 +15,8 @@ between different fingerprints count, no shard is unbounded, and copies never me
 Trees are built in the task that searches them. They grow with the data, so they are not broadcast.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; fewer words than a shingle are
-one shingle; a row without an id is grouped but is never the smallest id; extra columns are ignored or kept.
+one shingle; a row without an id is grouped but is never the smallest id; rows that repeat are in one group; texts of any length count whole; an empty table gives no
+rows; extra columns are ignored or kept.
 """
 
 from __future__ import annotations

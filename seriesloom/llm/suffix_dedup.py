@@ -16,7 +16,7 @@ tasks, so its result is whole too. Only texts' hashes, landmarks and stretches t
 texts themselves once to be cut into stretches and once to be cleaned.
 
 Defined cases: null is the empty text; texts are UTF-8 bytes and may come out cut inside a character; rows that share id
-and text are copies of each other; matches never cross texts; extra columns are ignored.
+and text are copies of each other; matches never cross texts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -281,3 +281,53 @@ def test_pipeline(spark):
     last = kept["best-fit packing"]
     assert set(last.doc_id) == set(kept["PII"].doc_id) and last.groupby("sequence_id").length.sum().max() <= 4096
     assert len(corpus_pipeline.run(spark, DIR).toPandas()) == len(last)
+
+
+def test_resampling_draws_by_weight(spark):
+    """Of three items with weights 1, 2 and 5 the one of the largest key is each as often as its weight says."""
+    weights = np.log([1.0, 2.0, 5.0])
+    rows = spark.range(60_000).select((F.col("id") / 3).cast("long").alias("trial"), (F.col("id") % 3).alias("item"), (F.element_at(F.array(*map(F.lit, weights.tolist())), (F.col("id") % 3 + 1).cast("int")) + quality.gumbel(F.col("id"), 7)).alias("key"))
+    first = rows.groupBy("trial").agg(F.max_by("item", "key").alias("item")).groupBy("item").count().collect()
+    share = {r["item"]: r["count"] / 20_000 for r in first}
+    assert all(abs(share[i] - w / 8) < 0.015 for i, w in enumerate((1, 2, 5)))
+
+
+def test_resample_is_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {seed: {r.doc_id: (r.log_weight, r.key) for r in quality.resample(docs, labels, 50, seed=seed).collect()} for seed in (1, 2)}
+    corpus = docs.select("doc_id", "text").toPandas()
+    good = set(labels.where("quality = 1").toPandas().doc_id)
+    hasher = quality.NgramHasher()
+    found = {i: hasher.buckets(t) for i, t in zip(corpus.doc_id, corpus.text, strict=True)}
+    count = lambda ids: np.bincount(np.concatenate([found[i] for i in ids]), minlength=quality.BUCKETS)
+    ratios = quality.log_ratios(count(sorted(good)), count(corpus.doc_id))
+    weight = {i: 20.0 * ratios[b].mean() if len(b) else 0.0 for i, b in found.items()}
+    for seed, got in kept.items():
+        noise = {r.id: r.g for r in docs.select(F.col("doc_id").alias("id"), quality.gumbel(F.col("doc_id"), seed).alias("g")).collect()}
+        want = sorted(weight, key=lambda i: -(weight[i] + noise[i]))[:50]
+        assert set(got) == set(want) and all(abs(got[i][0] - weight[i]) < 1e-9 and abs(got[i][1] - weight[i] - noise[i]) < 1e-9 for i in want)
+    by_weight = set(sorted(weight, key=lambda i: -weight[i])[:50])
+    # the noise matters: seeds draw different documents, and neither draws the heaviest ones only
+    assert set(kept[1]) != set(kept[2]) and set(kept[1]) != by_weight
+    assert np.mean([weight[i] for i in kept[1]]) > np.mean(list(weight.values()))
+
+
+def test_resample_odd_rows(spark, documents, odd_rows):
+    labels = spark.createDataFrame([(5, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = documents(odd_rows).withColumnRenamed("extra", "key")
+    assert quality.resample(docs, labels, 100).count() == len(odd_rows)
+    got = quality.resample(docs, labels, 3)
+    assert 3 <= got.count() <= 4 and got.columns == [c for c in docs.columns if c != "key"] + ["log_weight", "key"]
+    assert quality.resample(documents([]), labels, 3).count() == 0
+
+
+def test_near_duplicate_odd_rows(spark, documents, odd_rows):
+    docs = documents([*odd_rows, (None, "a text that only a row without an id has, of many words")]).withColumnRenamed("words", "key").withColumnRenamed("extra", "bands")
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == len(odd_rows) + 1
+    classes = {}
+    for r in got:
+        classes.setdefault(r.doc_id, set()).add(r.class_id)
+    assert classes[5] == classes[6] == {5} and classes[1] == classes[2] == classes[3] == {1} and classes[4] == {4} and classes[7] == {7}
+    assert sorted(classes[None], key=str) == [1, 5, None]
+    assert minhash.near_duplicates(documents([])).count() == 0
