@@ -84,6 +84,16 @@ def chaos_features(returns: DataFrame) -> DataFrame:
     return _each(as_arrays(returns), kernels.chaos, "delay int, delay_method string, dimension int, dimension_method string, correlation_dimension double, lyapunov double")
 
 
+def delays(returns: DataFrame) -> DataFrame:
+    """(series_id, delay, method, status): the embedding delay of each series and the rule that gave it."""
+
+    def one(x: np.ndarray) -> dict:
+        delay, method = kernels.choose_delay(x)
+        return {"delay": delay, "method": method}
+
+    return _each(as_arrays(returns), one, "delay int, method string")
+
+
 def chi2_tail(statistic: str, freedom: str):
     """Column of chi-squared tail probabilities."""
 

@@ -10,6 +10,7 @@ from ..operators import benchmark, boosting, clusters, dependence, forecasts, le
 from ..settings import chosen
 from ..sources.panels import table
 from ..sources.shared import stored
+from . import panel_queries
 from .cluster_queries import ks
 from .forecast_queries import _SERIES, series
 from .panel_queries import _SPLITS, BASIC, PANEL_SQL, basic_sql, eligible, folds_sql, supervised_sql
@@ -28,14 +29,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("spectral_features")
+def _spectral_sql(density: str) -> str:
+    """Slope, entropy and flatness from a density (series_id, f, p)."""
+    return f"""WITH {PANEL_SQL.strip()}, c AS (SELECT series_id, rn, n, r - avg(r) OVER (PARTITION BY series_id) AS d FROM elig), {density},
+    sl AS (SELECT series_id, regr_slope(ln(p), ln(f)) AS slope, count(*) AS points FROM de WHERE f >= 0.01 AND f <= 0.5 AND p > 0 GROUP BY series_id),
+    sh AS (SELECT series_id, greatest(p / sum(p) OVER (PARTITION BY series_id), 1e-18) AS share, greatest(p, 1e-18) AS floor FROM de WHERE f > 0),
+    en AS (SELECT series_id, -sum(share * ln(share)) / ln(count(*)) AS entropy, exp(avg(ln(floor))) / avg(floor) AS flatness FROM sh GROUP BY series_id)
+    SELECT series_id, CASE WHEN points >= 8 THEN round(slope, 6) + 0.0 END AS slope, round(entropy, 6) + 0.0 AS entropy, round(flatness, 6) + 0.0 AS flatness, 'success' AS status FROM en JOIN sl USING (series_id)"""
+
+
+#: Means over half-overlapping Hann segments of 256; and the whole series.
+_WELCH = """sg AS (SELECT series_id, s, rn - 128 * s AS t, d * (0.5 - 0.5 * cos(2 * pi() * (rn - 128 * s) / 256)) AS v FROM c, (SELECT unnest(range(0, 20)) AS s) WHERE rn >= 128 * s AND rn < 128 * s + 256 AND 128 * s + 256 <= n),
+    ft AS (SELECT series_id, s, k, sum(v * cos(2 * pi() * k * t / 256)) AS re, sum(v * sin(2 * pi() * k * t / 256)) AS im FROM sg, (SELECT unnest(range(0, 129)) AS k) GROUP BY ALL),
+    de AS (SELECT series_id, k / 256 AS f, avg(re * re + im * im) / (SELECT sum((0.5 - 0.5 * cos(2 * pi() * t / 256)) ** 2) FROM (SELECT unnest(range(0, 256)) AS t)) * CASE WHEN k BETWEEN 1 AND 127 THEN 2 ELSE 1 END AS p FROM ft GROUP BY series_id, k)"""
+_WHOLE = """ft AS (SELECT series_id, k, any_value(n) AS n, sum(d * cos(2 * pi() * k * rn / n)) AS re, sum(d * sin(2 * pi() * k * rn / n)) AS im FROM c, (SELECT unnest(range(0, 1001)) AS k) WHERE 2 * k <= n GROUP BY ALL),
+    de AS (SELECT series_id, k / n AS f, (re * re + im * im) / n * CASE WHEN k > 0 AND 2 * k < n THEN 2 ELSE 1 END AS p FROM ft)"""
+_SPECTRAL = ("slope", "entropy", "flatness")
+
+
+@query("spectral_features", _spectral_sql(_WELCH))
 def spectral_features(spark, sf_dir):
-    return series_kernels.spectral_features(eligible(spark, sf_dir))
+    return series_kernels.spectral_features(eligible(spark, sf_dir)).withColumns({c: rounded(F.col(c)) for c in _SPECTRAL})
 
 
-@query("periodogram_features")
+@query("periodogram_features", _spectral_sql(_WHOLE))
 def periodogram_features(spark, sf_dir):
-    return series_kernels.spectral_features(eligible(spark, sf_dir), method="periodogram")
+    return series_kernels.spectral_features(eligible(spark, sf_dir), method="periodogram").withColumns({c: rounded(F.col(c)) for c in _SPECTRAL})
 
 
 @query(
@@ -50,9 +69,31 @@ def periodogram(spark, sf_dir):
     return rows.select("series_id", "k", rounded(F.col("frequency"), 9).alias("frequency"), rounded(F.col("power")).alias("power"))
 
 
-@query("lz_complexity")
+@query(
+    "lz_complexity",
+    f"""WITH RECURSIVE {PANEL_SQL.strip()}, md AS (SELECT series_id, median(r) AS m FROM elig GROUP BY series_id), st AS (SELECT e.series_id, string_agg(CASE WHEN r > m THEN '1' ELSE '0' END, '' ORDER BY rn) AS bits, count(*) AS n FROM elig e JOIN md USING (series_id) GROUP BY e.series_id),
+    lz(series_id, pos, size, phrases) AS (SELECT series_id, 0, 1, 0 FROM st UNION ALL
+      SELECT series_id, CASE WHEN seen THEN pos ELSE pos + size END, CASE WHEN seen THEN size + 1 ELSE 1 END, CASE WHEN seen THEN phrases ELSE phrases + 1 END
+      FROM (SELECT lz.*, pos + size <= n AND contains(substr(bits, 1, (pos + size - 1)::BIGINT), substr(bits, (pos + 1)::BIGINT, size::BIGINT)) AS seen FROM lz JOIN st USING (series_id) WHERE pos < n))
+    SELECT series_id, round(max(phrases) * log2(any_value(n)) / any_value(n), 6) + 0.0 AS lz, 'success' AS status FROM lz JOIN st USING (series_id) GROUP BY series_id""",
+)
 def lz_complexity(spark, sf_dir):
-    return series_kernels.lempel_ziv(eligible(spark, sf_dir))
+    return series_kernels.lempel_ziv(eligible(spark, sf_dir)).withColumn("lz", rounded(F.col("lz")))
+
+
+@query(
+    "delay_selection",
+    f"""WITH {PANEL_SQL.strip()}, pr AS (SELECT a.series_id, k.lag, a.r AS a, b.r AS b FROM elig a JOIN (SELECT unnest(range(1, 51)) AS lag) k ON true JOIN elig b ON b.series_id = a.series_id AND b.rn = a.rn + k.lag),
+    ex AS (SELECT series_id, lag, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM pr GROUP BY ALL),
+    ce AS (SELECT series_id, lag, least(floor((a - la) / (ha - la) * 24), 23) AS i, least(floor((b - lb) / (hb - lb) * 24), 23) AS j, count(*)::DOUBLE AS k FROM pr JOIN ex USING (series_id, lag) GROUP BY ALL),
+    mg AS (SELECT *, sum(k) OVER (PARTITION BY series_id, lag) AS n, sum(k) OVER (PARTITION BY series_id, lag, i) AS ki, sum(k) OVER (PARTITION BY series_id, lag, j) AS kj FROM ce),
+    mi AS (SELECT series_id, lag, sum(k / n * ln(k * n / (ki * kj))) AS m FROM mg GROUP BY ALL),
+    lo AS (SELECT series_id, min(lag) AS delay FROM (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS after FROM mi WINDOW w AS (PARTITION BY series_id ORDER BY lag)) WHERE m < before AND m <= after GROUP BY series_id)
+    SELECT series_id, delay::INTEGER AS delay, 'ami' AS method, 'success' AS status FROM lo""",
+)
+def delay_selection(spark, sf_dir):
+    """The first minimum of mutual information over 50 lags, which every eligible series of the tables has."""
+    return series_kernels.delays(eligible(spark, sf_dir))
 
 
 @query(
@@ -71,9 +112,15 @@ def chaos_features(spark, sf_dir):
     return series_kernels.chaos_features(eligible(spark, sf_dir))
 
 
-@query("ljung_box_p")
+def chi2_sql(x: str, freedom: str) -> str:
+    """The tail of a chi-squared statistic: one less the series of the lower incomplete gamma function."""
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(1 - list_sum(list_transform(range(0, 600), lambda i: exp(({freedom} / 2 + i) * ln(greatest({x}, 1e-300) / 2) - {x} / 2 - lgamma({freedom} / 2 + i + 1)))), 0) END"
+
+
+@query("ljung_box_p", panel_queries.SQL["ljung_box_stat"].replace('round(any_value(n)', '(any_value(n)').replace("(n - lag)), 5) AS q", "(n - lag))) AS q").replace('SELECT series_id, "order", (any_value', 'SELECT series_id, "order", round(q, 5) AS q, round(' + chi2_sql("q", '"order"') + ', 6) + 0.0 AS p FROM (SELECT series_id, "order", (any_value') + ")")
 def ljung_box_p(spark, sf_dir):
-    return dependence.ljung_box(eligible(spark, sf_dir)).withColumn("p", series_kernels.chi2_tail("q", "order"))
+    found = dependence.ljung_box(eligible(spark, sf_dir)).withColumn("p", series_kernels.chi2_tail("q", "order"))
+    return found.select("series_id", "order", rounded(F.col("q"), 5).alias("q"), rounded(F.col("p")).alias("p"))
 
 
 def _forecast(name: str, names: list[str], horizons: tuple[int, ...]):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import rounded
 from ..operators import by_cluster, forecasts, meta_models, routing, screening
 from ..settings import chosen, using
-from .forecast_queries import _PERF, _SERIES, _TASKS, assignments, performance, series, tasks
-from .kernel_queries import _meta_rows
+from .forecast_queries import _ASSIGN, _PERF, _SERIES, _TASKS, assignments, performance, series, tasks
+from .kernel_queries import _meta_rows, chi2_sql
 from .panel_queries import BASIC, all_returns, eligible
 
 QUERIES: dict = {}
@@ -78,9 +78,18 @@ def missing_baseline(spark, sf_dir):
     return by_cluster.missing_baseline(performance(spark, sf_dir), chosen("baseline", "naive_zero"))
 
 
-@query("kruskal_all")
+_EVERY = ("mae", "rmse", "mase", "directional_accuracy")
+
+
+@query("kruskal_all", _SERIES + _ASSIGN + ", k0 AS (" + " UNION ALL ".join(f"SELECT config, cluster, model, horizon, '{m}' AS metric, round({m}_mean, 12) AS v FROM sm JOIN asg USING (series_id)" for m in _EVERY) + """),
+  k1 AS (SELECT *, rank() OVER (PARTITION BY config, model, horizon, metric ORDER BY v) + (count(*) OVER (PARTITION BY config, model, horizon, metric, v) - 1) / 2.0 AS rk FROM k0 WHERE v IS NOT NULL),
+  kt AS (SELECT config, model, horizon, metric, sum(t * t * t - t) AS tied FROM (SELECT config, model, horizon, metric, v, count(*) AS t FROM k0 WHERE v IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+  k2 AS (SELECT config, model, horizon, metric, cluster, sum(rk) AS r, count(*) AS k FROM k1 GROUP BY ALL), k3 AS (SELECT config, model, horizon, metric, sum(r * r / k) AS s, sum(k)::DOUBLE AS n, count(*) AS n_clusters FROM k2 GROUP BY ALL),
+  k4 AS (SELECT config, model, horizon, metric, n_clusters::BIGINT AS n_clusters, CASE WHEN 1 - tied / (n * n * n - n) <> 0 THEN (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - tied / (n * n * n - n)) END AS h FROM k3 JOIN kt USING (config, model, horizon, metric) WHERE n_clusters > 1)
+  SELECT config, model, horizon, metric, n_clusters, round(h, 6) + 0.0 AS h, round(""" + chi2_sql("h", "(n_clusters - 1)") + """, 6) + 0.0 AS p, '' AS note FROM k4""")
 def kruskal_all(spark, sf_dir):
-    return by_cluster.kruskal(series(spark, sf_dir), assignments(spark, sf_dir))
+    k = by_cluster.kruskal(series(spark, sf_dir), assignments(spark, sf_dir))
+    return k.withColumns({c: rounded(F.col(c)) for c in ("h", "p")})
 
 
 @query("series_split")
