@@ -44,6 +44,8 @@ WIDTH = len(STEPS) << BITS
 SAMPLE_ROWS = 8_000
 N_FEATURES = 4_096
 MEMO_ENTRIES = 200_000
+#: Features that join the fit at a time.
+JOINING = 200
 
 #: Names of groups of people, by kind; the first of each language are neutral words that stand for anyone.
 IDENTITY_TERMS: dict[str, list[str]] = {
@@ -139,6 +141,16 @@ class _Rows:
         self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
         self.n, self.width = len(rows), width
 
+    def only(self, columns: np.ndarray) -> _Rows:
+        """The same rows with these columns alone, numbered anew."""
+        number = np.full(self.width, -1)
+        number[columns] = np.arange(len(columns))
+        keep = number[self.at] >= 0
+        out = _Rows([], None, len(columns))
+        out.at, out.row, out.n = number[self.at[keep]], self.row[keep], self.n
+        out.sign = None if self.sign is None else self.sign[keep]
+        return out
+
     def times(self, w: np.ndarray) -> np.ndarray:
         v = w[self.at]
         return np.bincount(self.row, v if self.sign is None else v * self.sign, self.n)
@@ -148,34 +160,52 @@ class _Rows:
         return np.bincount(self.at, v if self.sign is None else v * self.sign, self.width)
 
 
-def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarray], after: list[np.ndarray], times: np.ndarray, width: int, fairness: float = 1.0, lasso: float = 5e-4, ridge: float = 1e-4, rounds: int = 3000, least_change: float = 1e-6) -> tuple[float, np.ndarray]:
+def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarray], after: list[np.ndarray], times: np.ndarray, width: int, fairness: float = 1.0, lasso: float = 5e-4, ridge: float = 1e-4, rounds: int = 3000, least_change: float = 1e-5) -> tuple[float, np.ndarray]:
     """The constant and the weights. Both labels weigh a half in the loss; accelerated proximal steps of a fixed length, until
-    a round changes no weight by more than ``least_change``; momentum starts anew where it leads uphill.
+    a round changes no weight by more than ``least_change``; momentum starts anew where it leads uphill. The steepest features join a few at a time;
+    it ends when no other's slope could move it from zero, so the result is that of all features.
 
     before, after: features of the sentences and of their swapped forms; times: how often each such pair stands in the sample.
     """
+    gone, come = ([np.setdiff1d(a, b) for a, b in zip(one, other, strict=True)] for one, other in ((before, after), (after, before)))
     x = _Rows(rows, None, width)
-    pairs = _Rows([np.concatenate([np.setdiff1d(a, b), np.setdiff1d(b, a)]) for a, b in zip(before, after, strict=True)], [np.concatenate([np.ones(len(np.setdiff1d(a, b))), -np.ones(len(np.setdiff1d(b, a)))]) for a, b in zip(before, after, strict=True)], width)
-    y = toxic.astype(float)
+    pairs = _Rows([np.concatenate(p) for p in zip(gone, come, strict=True)], [np.repeat([1.0, -1.0], [len(g), len(c)]) for g, c in zip(gone, come, strict=True)], width)
     share = np.where(toxic, 0.5 / max(toxic.sum(), 1), 0.5 / max((~toxic).sum(), 1))
     cf = fairness * times / times.sum() if len(times) else np.zeros(0)
 
-    def curvature(w: np.ndarray, c: float) -> tuple[np.ndarray, float]:
-        z = 0.25 * share * (x.times(w) + c)
-        return x.transposed(z) + 2 * pairs.transposed(cf * pairs.times(w)) + ridge * w, float(z.sum())
-
-    w, c = np.random.default_rng(0).random(width), 1.0
+    def slope(some: _Rows, some_pairs: _Rows, w: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+        z = some.times(w) + c
+        g = share * (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - toxic)
+        return some.transposed(g) + 2 * some_pairs.transposed(cf * some_pairs.times(w)) + ridge * w, float(g.sum())
+
+    # a feature whose slope is below the lasso stays at zero; the steepest others join a few at a time, until there is none
+    w, c, active = np.zeros(width), 0.0, np.zeros(width, bool)
+    while True:
+        steep = np.where(active, 0.0, np.abs(slope(x, pairs, w, c)[0]))
+        late = np.flatnonzero(steep > lasso * 1.001)
+        if not len(late) and active.any():
+            return c, w
+        active[late[np.argsort(-steep[late], kind="stable")][:JOINING]] = True
+        at = np.flatnonzero(active)
+        w[at], c = _descend(x.only(at), pairs.only(at), w[at], c, share, cf, slope, lasso, ridge, rounds, least_change)
+        if not len(at):
+            return c, w
+
+
+def _descend(x: _Rows, pairs: _Rows, w: np.ndarray, c: float, share: np.ndarray, cf: np.ndarray, slope, lasso: float, ridge: float, rounds: int, least_change: float) -> tuple[np.ndarray, float]:
+    u, d = np.random.default_rng(0).random(len(w)), 1.0
     for _ in range(30):  # the largest curvature bounds the step
-        size = math.sqrt(float(w @ w) + c * c) or 1.0
-        w, c = curvature(w / size, c / size)
-    step = 1.0 / (1.1 * math.sqrt(float(w @ w) + c * c) + 1e-9)
+        size = math.sqrt(float(u @ u) + d * d) or 1.0
+        u, d = u / size, d / size
+        z = 0.25 * share * (x.times(u) + d)
+        u, d = x.transposed(z) + 2 * pairs.transposed(cf * pairs.times(u)) + ridge * u, float(z.sum())
+    step = 1.0 / (1.1 * math.sqrt(float(u @ u) + d * d) + 1e-9)
 
-    w, c, v, d, t = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0
+    v, d, t = w, c, 1.0
     for _ in range(rounds):
-        z = x.times(v) + d
-        g = share * (1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y)
-        u = v - step * (x.transposed(g) + 2 * pairs.transposed(cf * pairs.times(v)) + ridge * v)
-        new_w, new_c = np.sign(u) * np.maximum(np.abs(u) - step * lasso, 0.0), d - step * float(g.sum())
+        g, g0 = slope(x, pairs, v, d)
+        u = v - step * g
+        new_w, new_c = np.sign(u) * np.maximum(np.abs(u) - step * lasso, 0.0), d - step * g0
         if (v - new_w) @ (new_w - w) + (d - new_c) * (new_c - c) > 0:
             t = 1.0
         faster = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -184,7 +214,7 @@ def fit_weights(rows: list[np.ndarray], toxic: np.ndarray, before: list[np.ndarr
         w, c, t = new_w, new_c, faster
         if moved < least_change:
             break
-    return c, w
+    return w, c
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
