@@ -35,6 +35,5 @@ QUERIES = {
 SQL = {
     "op1_exact_topk": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
-    "op11_toxicity": op11_toxicity,
     "op12_filter_audit": OP12_SQL,
 }

@@ -558,4 +558,4 @@ def test_repeats_table(spark, where):
 
 def test_every_operator_is_registered():
     assert {int(m[1]) for q in registry.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
-    assert set(registry.SQL) <= set(registry.QUERIES)
+    assert set(registry.SQL) <= set(registry.QUERIES) and all(isinstance(sql, str) for sql in registry.SQL.values())
