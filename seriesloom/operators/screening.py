@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, bias_corrected_skewness, divide
+from ..sources.shared import stored
 from . import moments
 
 HIGH_MISSING, LOW_STD, FEW_VALUES, CORRELATED, DUPLICATE, WARNING_HEAVY = 0.2, 1e-6, 5, 0.9, 0.98, 0.3
@@ -87,8 +88,10 @@ def _gappy_pairs(rows: DataFrame, names: list[str]) -> DataFrame:
 def correlated_pairs(features: DataFrame, threshold: float = CORRELATED) -> DataFrame:
     """Pairs of features (first name smaller) whose Pearson or rank correlation over common rows reaches the threshold.
 
-    Only features with gaps are paired series by series; a feature has one row for each series at most.
+    Only features with gaps are paired series by series; a feature has one row for each series at most. The features are stored once,
+    since several passes read them.
     """
+    features = stored(features.select("series_id", "feature", "value"), "features")
     rows = features.where("value is not null")
     finite = F.count_if(~(F.isnan("value") | (F.abs("value") == float("inf"))))
     every = features.agg(F.count_distinct("series_id")).first()[0]
