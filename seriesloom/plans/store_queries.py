@@ -54,7 +54,8 @@ def metrics_of(models: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures and ranks of each configuration, with the method and the set that it really has."""
     points = labels.select("config", "point", "cluster", F.posexplode("vector").alias("dim", "x"))
     least = labels.groupBy("config", "cluster").count().groupBy("config").agg(F.min("count").alias("min_size"))
-    parts = [clusters.silhouette(labels), clusters.calinski_harabasz(points), clusters.davies_bouldin(points), clusters.size_facts(labels), least]
+    space = F.when(F.startswith(F.col("config"), F.lit("base_")), "base").otherwise("with_chaos")
+    parts = [clusters.silhouette(labels, space=space), clusters.calinski_harabasz(points), clusters.davies_bouldin(points), clusters.size_facts(labels), least]
     ranked = clusters.ranking(reduce(lambda a, b: a.join(b, "config"), parts)).drop("k")
     return stored(ranked.join(models.select("config", "feature_set", "method", "k"), "config").select("config", "feature_set", "method", "k", "score", "silhouette", "max_share", "min_size", "n_small"), "metrics")
 
