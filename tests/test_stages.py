@@ -220,3 +220,22 @@ def test_block_a_equals_its_parts(spark):
     for r in dependence.integrated_acf(dependence.acf(data)).collect():
         assert got[r["series_id"]][f"iacf_abs_1_{r['up_to']}"] == pytest.approx(r["iacf"], rel=1e-9)
     assert "hurst_rs_too_short" in got["b"]["feature_warning_flags"] and got["b"]["feature_status"] == "warning"
+
+
+def test_ward_of_more_rows_than_distances_are_held(monkeypatch):
+    x = np.random.default_rng(8).normal(size=(300, 4))
+    x[40:90] = x[3]  # copies are merged first
+    sizes = np.random.default_rng(9).integers(1, 6, 300).astype(float)
+    held = [kernels.ward(x, k) for k in (1, 3, 8, 240)] + [kernels.ward(x, 4, sizes)]
+    monkeypatch.setattr(kernels, "WARD_HELD", 20)
+    sought = [kernels.ward(x, k) for k in (1, 3, 8, 240)] + [kernels.ward(x, 4, sizes)]
+    assert [kernels.adjusted_rand(a, b) for a, b in zip(held, sought, strict=True)] == [1.0] * 5
+
+
+def test_a_tree_is_built_once_for_all_numbers_of_clusters(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "point long, vector array<double>")
+    got = series_kernels.cluster_grid(rows, scalers=("identity",), dims=(None, 2), ks=(2, 3, 5), methods=("gmm", "ward"))
+    assert got.rdd.getNumPartitions() == 8  # six mixtures and two trees
+    assert {r["config"]: r["n"] for r in got.groupBy("config").agg(F.count_distinct("cluster").alias("n")).where("config like '%ward%'").collect()} == {f"identity_{s}_ward_{k}": k for s in ("original", "pca2") for k in (2, 3, 5)}
+    runs = series_kernels.cluster_grid(rows, scalers=("identity",), dims=(None,), ks=(2, 50), methods=("ward",), bootstraps=12)
+    assert sorted((r["config"], r["nth"]) for r in runs.collect()) == [("identity_original_ward_2", i) for i in range(1, 13)]
