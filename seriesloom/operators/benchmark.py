@@ -29,6 +29,8 @@ from .returns import FOLDS, WINDOWS
 from .series_kernels import as_arrays, spread, windows_of
 
 LEAST_TRAIN = 10
+#: Tasks whose rows are given on together.
+ROWS = 256
 TASK_SCHEMA = (
     "task_id string, config_hash string, run_id string, wave int, written timestamp, series_id string, horizon int, model string, fold int, status string, error_type string, notes string, "
     "n_train long, n_test long, fit_seconds double, predict_seconds double, n_parameters long, stop_reason string, train_loss array<double>, val_loss array<double>, "
@@ -126,10 +128,13 @@ def _work(config: Benchmark, run_id: str, wave: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf.itertuples(index=False):
-                found = one(t.series_id, t.r, t.horizon, t.window, t.model, t.fold)
-                key = {"task_id": t.task_id, "config_hash": t.config_hash, "run_id": run_id, "wave": wave, "written": pd.Timestamp.now(tz="UTC"), "series_id": t.series_id, "horizon": t.horizon, "model": t.model, "fold": t.fold}
-                yield pd.DataFrame([[(key | found).get(c) for c in columns]], columns=columns)
+            for at in range(0, len(pdf), ROWS):
+                out = []
+                for t in pdf.iloc[at : at + ROWS].itertuples(index=False):
+                    found = one(t.series_id, t.r, t.horizon, t.window, t.model, t.fold)
+                    key = {"task_id": t.task_id, "config_hash": t.config_hash, "run_id": run_id, "wave": wave, "written": pd.Timestamp.now(tz="UTC"), "series_id": t.series_id, "horizon": t.horizon, "model": t.model, "fold": t.fold}
+                    out.append([(key | found).get(c) for c in columns])
+                yield pd.DataFrame(out, columns=columns)
 
     return run
 
