@@ -15,7 +15,7 @@ from ..operators import cluster_store, clusters, selection, series_kernels
 from ..settings import chosen
 from ..sources.panels import table
 from ..sources.shared import stored
-from .cluster_queries import ks
+from .cluster_queries import components, ks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,7 +30,7 @@ def query(name: str):
 
 
 def matrices(spark, sf_dir) -> dict[str, DataFrame]:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), F.col("embedding").alias("vector")).where("vector is not null")
     return {"base": rows.withColumn("vector", F.slice("vector", 1, 32)), "with_chaos": rows}
 
 
@@ -52,7 +52,7 @@ def fits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def metrics_of(models: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures and ranks of each configuration, with the method and the set that it really has."""
-    points = labels.select("config", "point", "cluster", F.posexplode("vector").alias("dim", "x"))
+    points = components(labels)
     least = labels.groupBy("config", "cluster").count().groupBy("config").agg(F.min("count").alias("min_size"))
     space = F.when(F.startswith(F.col("config"), F.lit("base_")), "base").otherwise("with_chaos")
     parts = [clusters.silhouette(labels, space=space), clusters.calinski_harabasz(points), clusters.davies_bouldin(points), clusters.size_facts(labels), least]
