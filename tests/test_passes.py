@@ -3,7 +3,7 @@
 import pandas as pd
 
 from seriesloom.operators import benchmark, blocks
-from seriesloom.plans import cluster_queries, feature_queries, forecast_queries, routing_queries, selection_queries, store_queries
+from seriesloom.plans import benchmark_queries, cluster_queries, feature_queries, forecast_queries, routing_queries, selection_queries, store_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,10 @@ def test_screening_reads_the_panel_once(spark):
     assert not any("testdata" in f for df in (screened, pairs) for f in df.inputFiles())
 
 
+def test_runs_of_a_benchmark_share_the_returns(spark):
+    assert not any("testdata" in f for f in benchmark_queries.short_returns(spark, SF).inputFiles())
+
+
 def test_blocks_are_computed_once(spark):
     rows = spark.range(3).selectExpr("concat('s', id) series_id", "uuid() drawn", "'' feature_warning_flags", "0 feature_warning_count", "'success' feature_status")
     table = blocks.master({"A": rows})
