@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import conform, rounded
-from ..operators import blocks, by_cluster
+from ..operators import blocks, by_cluster, forecasts
 from ..operators.forecasts import TASK
 from ..sources import files
 from ..sources.panels import PANEL_SQL, table
+from ..sources.shared import stored
 from .forecast_queries import _TASKS, folded, tasks
 from .panel_queries import all_returns
 
@@ -58,7 +59,7 @@ _RUN = {"horizons": [1, 5, 20], "folds": 3}
 @query("tasks_left_to_do", _TASKS + f" SELECT series_id || '|h' || horizon || '|' || model || '|f' || fold || '|cfg{files.config_hash(_RUN)[:12]}' AS task_id FROM tk WHERE fold > 1")
 def tasks_left_to_do(spark, sf_dir):
     """Tasks of a run whose audit has the first fold as done, the second as failed, and the third under another configuration."""
-    every = tasks(spark, sf_dir).select(*TASK)
+    every = stored(forecasts.naive_tasks(folded(spark, sf_dir)), "tasks")  # names alone: no measure is asked for
     done = every.where("fold <= 2").select(files.task_identity(_RUN).alias("task_id"), F.when(F.col("fold") == 1, "success").otherwise("failed").alias("status"))
     other = every.where("fold = 3").select(files.task_identity({**_RUN, "folds": 4}).alias("task_id"), F.lit("success").alias("status"))
     return files.left_to_do(every, done.unionByName(other), _RUN).select("task_id")

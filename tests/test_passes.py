@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from seriesloom.operators import benchmark, blocks
+from seriesloom.operators import benchmark, blocks, forecasts
 from seriesloom.plans import benchmark_queries, cluster_queries, feature_queries, forecast_queries, routing_queries, selection_queries, store_queries
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +42,10 @@ def test_blocks_are_computed_once(spark):
     rows = spark.range(3).selectExpr("concat('s', id) series_id", "uuid() drawn", "'' feature_warning_flags", "0 feature_warning_count", "'success' feature_status")
     table = blocks.master({"A": rows})
     assert table.collect() == table.collect()
+
+
+def test_names_of_tasks_need_no_predictions(spark):
+    made = forecast_queries.folded(spark, "/root/testdata/sf0.01")
+    names = forecasts.naive_tasks(made)
+    assert set(names.collect()) == set(forecasts.naive_predictions(made).select(*forecasts.TASK).distinct().collect())
+    assert names.count() == len(set(names.collect())) > 0
