@@ -7,7 +7,7 @@ from ..operators import benchmark, forecasts, returns
 from ..settings import chosen
 from ..sources.shared import new_folder, stored
 from .forecast_queries import _TASKS
-from .panel_queries import all_returns, eligible
+from .panel_queries import eligible, prices
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ _JOBS = _SHORT + f""", jb AS (SELECT DISTINCT f.series_id, f.horizon, k.fold, k.
 
 def short_returns(spark, sf_dir):
     """The last returns of every series, stored: every run over them would read the panel again."""
-    return stored(returns.length_policy(all_returns(spark, sf_dir), 80, 60), "short-returns")
+    return stored(returns.last_returns(prices(spark, sf_dir), 80, 60), "short-returns")
 
 
 def resumed(spark, sf_dir):

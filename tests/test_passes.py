@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from seriesloom.operators import benchmark, blocks, forecasts
+from seriesloom.operators import benchmark, blocks, forecasts, returns
 from seriesloom.plans import benchmark_queries, cluster_queries, feature_queries, forecast_queries, routing_queries, selection_queries, store_queries
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,13 @@ def test_names_of_tasks_need_no_predictions(spark):
     names = forecasts.naive_tasks(made)
     assert set(names.collect()) == set(forecasts.naive_predictions(made).select(*forecasts.TASK).distinct().collect())
     assert names.count() == len(set(names.collect())) > 0
+
+
+def test_last_returns_are_those_of_whole_series(spark):
+    """Ties of dates, bad closes, and series just below, at and above both bounds."""
+    rows = [(f"s{n}", "US", f"2020-01-{1 + i // 3:02d}", 1.0 + (i * 7) % 11) for n in (5, 6, 7, 20, 21, 22, 60) for i in range(n)] + [("bad", "RU", f"2020-01-{1 + i:02d}", float(i)) for i in range(25)] + [("gap", "RU", "2020-01-01", None)] * 25
+    prices = spark.createDataFrame(rows, "series_id string, market string, date string, close double")
+    want = returns.length_policy(returns.log_returns(prices), 20, 5)
+    got = returns.last_returns(prices, 20, 5)
+    assert sorted(got.columns) == sorted(want.columns) and dict(got.dtypes) == dict(want.dtypes)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.collect()) and got.count() > 0
