@@ -1,6 +1,7 @@
 """Readers' fallbacks, stages, selections, blocks and routing checks on small tables."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -232,6 +233,16 @@ def test_ward_of_more_rows_than_distances_are_held(monkeypatch):
     assert [kernels.adjusted_rand(a, b) for a, b in zip(held, sought, strict=True)] == [1.0] * 5
 
 
+def test_ward_of_thousands_of_rows_holds_no_square_of_them():
+    x = np.random.default_rng(10).normal(size=(4000, 3))
+    tracemalloc.start()
+    merges = kernels.ward_merges(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 3999 and peak < 4000 * 4000 * 8 / 2
+    assert (kernels.cut(merges, 4000, 5) == kernels.cut(sorted(kernels._held_merges(x, np.ones(4000))), 4000, 5)).all()
+
+
 def test_a_tree_is_built_once_for_all_numbers_of_clusters(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "point long, vector array<double>")
     got = series_kernels.cluster_grid(rows, scalers=("identity",), dims=(None, 2), ks=(2, 3, 5), methods=("gmm", "ward"))
