@@ -159,6 +159,22 @@ def label_all(matrix: DataFrame, store: DataFrame) -> DataFrame:
     return rows.mapInPandas(label, LABEL_SCHEMA)
 
 
+def with_labels(matrix: DataFrame, store: DataFrame) -> DataFrame:
+    """The rows with ``clusters``, their labels under every stored configuration in the order of their names: a vector is there once for all of them."""
+    models = [r["model"] for r in store.where("status = 'success'").select("config", "model").orderBy("config").collect()]
+    shared = matrix.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("array<int>")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fitted = [FittedClustering.read(m) for m in shared.value]
+        for vectors in batches:
+            x = np.array([[np.nan if v is None else v for v in row] for row in vectors], float)
+            own = np.array([model.label(x)[0] for model in fitted], np.int32).reshape(len(fitted), len(vectors))
+            yield pd.Series(list(own.T), dtype=object)
+
+    return matrix.where("vector is not null").withColumn("clusters", label(F.col("vector").cast("array<double>")))
+
+
 # ---- condensed hierarchical clustering ---------------------------------------------------------------------------
 
 

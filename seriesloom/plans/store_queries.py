@@ -39,23 +39,46 @@ def grid() -> list[tuple]:
 
 
 def fits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The stored models of both sets, and the labels of all vectors under them with the vectors."""
+    """The stored models of both sets, and rows (feature_set, point, vector, clusters) with the labels under all of a set's models, by their names."""
     models, labels = [], []
     for name, matrix in matrices(spark, sf_dir).items():
         store = stored(cluster_store.fit_store(matrix, grid(), chosen("seed", 42)), "models").withColumn("feature_set", F.lit(name))
-        named = lambda df, name=name: df.withColumn("config", F.concat(F.lit(f"{name}_"), "config"))
-        models.append(named(store))
-        labels.append(named(cluster_store.label_all(matrix, store)).join(matrix, "point"))
+        models.append(store.withColumn("config", F.concat(F.lit(f"{name}_"), "config")))
+        labels.append(cluster_store.with_labels(matrix, store).withColumn("feature_set", F.lit(name)))
     both = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return both(models), stored(both(labels).select("config", "point", "cluster", "confidence", "vector"), "labels")
+    return both(models), stored(both(labels), "labels")
+
+
+def _widths(models: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """Names and numbers of clusters of each set's fitted configurations, in the order of the labels."""
+    found: dict[str, list] = {}
+    for r in models.where("status = 'success'").select("feature_set", "config", "k").orderBy("feature_set", "config").collect():
+        found.setdefault(r["feature_set"], []).append((r["config"], r["k"]))
+    return found
+
+
+def labelled(models: DataFrame, labels: DataFrame) -> DataFrame:
+    """(config, point, cluster, vector) of every row under every model."""
+    each = labels.select("feature_set", "point", "vector", F.posexplode("clusters").alias("at", "cluster"))
+    names = [(s, at, config) for s, own in _widths(models).items() for at, (config, _) in enumerate(own)]
+    named = labels.sparkSession.createDataFrame(names, "feature_set string, at int, config string")
+    return each.join(F.broadcast(named), ["feature_set", "at"]).select("config", "point", "cluster", "vector")
 
 
 def metrics_of(models: DataFrame, labels: DataFrame) -> DataFrame:
     """Measures and ranks of each configuration, with the method and the set that it really has."""
-    points = components(labels)
-    least = labels.groupBy("config", "cluster").count().groupBy("config").agg(F.min("count").alias("min_size"))
-    space = F.when(F.startswith(F.col("config"), F.lit("base_")), "base").otherwise("with_chaos")
-    parts = [clusters.silhouette(labels, space=space), clusters.calinski_harabasz(points), clusters.davies_bouldin(points), clusters.size_facts(labels), least]
+    rows, first, spaces = labelled(models, labels), {}, _widths(models)
+    points = components(rows)
+    least = rows.groupBy("config", "cluster").count().groupBy("config").agg(F.min("count").alias("min_size"))
+    begin = F.array().cast("array<int>")
+    for name, own in spaces.items():
+        ends = [sum(k for _, k in own[:at]) for at in range(len(own))]
+        first |= {config: (name, at) for (config, _), at in zip(own, ends, strict=True)}
+        begin = F.when(F.col("feature_set") == name, F.array(*map(F.lit, ends))).otherwise(begin)
+    sizes = rows.groupBy("config", "cluster").count().collect()  # as many as clusters
+    known = [(first[r["config"]][0], r["config"], first[r["config"]][1] + r["cluster"], r["count"]) for r in sizes]
+    coded = labels.select(F.col("feature_set").alias("space"), "point", "vector", F.zip_with("clusters", begin, lambda c, b: c + b).alias("codes"))
+    parts = [clusters.silhouette_of(coded, known), clusters.calinski_harabasz(points), clusters.davies_bouldin(points), clusters.size_facts(rows), least]
     ranked = clusters.ranking(reduce(lambda a, b: a.join(b, "config"), parts)).drop("k")
     return stored(ranked.join(models.select("config", "feature_set", "method", "k"), "config").select("config", "feature_set", "method", "k", "score", "silhouette", "max_share", "min_size", "n_small"), "metrics")
 
@@ -98,9 +121,10 @@ def fitted_method_comparison(spark, sf_dir):
     pair = models.select("config", "feature_set", "k", "method")
     other = pair.select(F.col("config").alias("other"), "feature_set", "k", F.col("method").alias("_m"))
     met = pair.join(other, ["feature_set", "k"]).where("method <> _m").select("config", "other")
-    two = labels.select("config", "point", F.col("cluster").alias("a")).join(met, "config").join(labels.select(F.col("config").alias("other"), "point", F.col("cluster").alias("b")), ["other", "point"])
+    rows = labelled(models, labels)
+    two = rows.select("config", "point", F.col("cluster").alias("a")).join(met, "config").join(rows.select(F.col("config").alias("other"), "point", F.col("cluster").alias("b")), ["other", "point"])
     agreement = clusters.agreement(two.select("config", "a", "b")).withColumnsRenamed({"ari": "ari_mean", "nmi": "nmi_mean"})
-    return selection.method_comparison(selection.with_balance(_selected(metrics_of(models, labels)), clusters.balance(labels), agreement))
+    return selection.method_comparison(selection.with_balance(_selected(metrics_of(models, labels)), clusters.balance(rows), agreement))
 
 
 @query("condensed_ward_clusters")
