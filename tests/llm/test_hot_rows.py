@@ -91,3 +91,16 @@ def test_first_pass_is_dealt_over_tasks(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i % 17), float(i % 5), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     got = topk.top_k(df, df.where("vec_id % 3 = 0"), k=3)
     assert got.count() == 300 and seen[0] == (25, 1)
+
+
+def test_workers_of_near_duplicates_get_few_texts_at_a_time(spark):
+    """A worker held the texts, and the shingle sets, of 10,000 rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id") % 2000).alias("text"))
+        found = minhash.near_duplicates(docs)
+        assert int(spark.conf.get(name)) <= 1000 and found.count() == 3000
+    finally:
+        spark.conf.set(name, before)
