@@ -556,6 +556,24 @@ def test_repeats_table(spark, where):
     assert got == {(int(i), n, g, s, sha(k)) for i, (n, g, s, k) in zip(corpus.doc_id, want, strict=True)}
 
 
+def test_repeats_leave_the_text(spark, tmp_path):
+    """Planted passages of over 50 words are gone from the text that the query returns; what shares none is whole; cut characters show."""
+    rng = random.Random(90)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    planted = [prose(60) for _ in range(5)]
+    texts = [prose(80) + "\n" + planted[i % 5] + "\n" + prose(i) for i in range(20)] + [prose(100) for _ in range(10)] + [None, ""]
+    cut = prose(60)
+    texts += ["é" + cut, "\xa9" + cut]  # C3 A9 and C2 A9: the repeat begins inside the character
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts[:20]):
+        assert planted[i % 5] not in got[i].text and got[i].has_repeats and sha(got[i].text.encode()) == got[i].kept_sha256
+        assert text.startswith(got[i].text[:700])
+    assert all(got[i].text == (texts[i] or "") and not got[i].has_repeats for i in range(20, 32))
+    assert [got[32].text, got[33].text] == ["\ufffd"] * 2
+    assert [got[32].kept_sha256, got[33].kept_sha256] == [sha(b"\xc3"), sha(b"\xc2")]
+
+
 def test_every_operator_is_registered():
     assert {int(m[1]) for q in registry.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES) and all(isinstance(sql, str) for sql in registry.SQL.values())
