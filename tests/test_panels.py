@@ -148,6 +148,19 @@ def test_exponents_of_doubling_and_of_a_rotation():
     assert abs(kernels.largest_lyapunov(kernels.embed(turned, 2, 1))) < 0.02
 
 
+def test_correlation_dimension_is_of_all_states():
+    """The plain sum over all pairs of 1,990 states."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(1990, 3)) * np.where(np.arange(1990)[:, None] % 5 == 2, 0.01, 1.0)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))[np.triu_indices(len(v), 1)]
+    r = np.logspace(*np.log10(np.quantile(d, [0.05, 0.8])), 24)
+    x, y, best = np.log(r), np.log([(d < b).mean() for b in r]), (-1.0, 0.0)
+    for i in range(19):
+        slope, inter = np.polyfit(x[i : i + 6], y[i : i + 6], 1)
+        best = max(best, (1 - ((y[i : i + 6] - slope * x[i : i + 6] - inter) ** 2).sum() / ((y[i : i + 6] - y[i : i + 6].mean()) ** 2).sum(), slope))
+    assert kernels.correlation_dimension(v) == pytest.approx(best[1], rel=1e-4)
+
+
 def test_welch_of_parseval():
     x = np.random.default_rng(0).normal(size=4096)
     f, p = kernels.welch(x)
