@@ -250,6 +250,47 @@ def test_ward_of_thousands_of_rows_holds_no_square_of_them():
     assert (kernels.cut(merges, 4000, 5) == kernels.cut(sorted(kernels._held_merges(x, np.ones(4000))), 4000, 5)).all()
 
 
+def test_clusters_are_numbered_by_their_smallest_row(monkeypatch):
+    x = np.random.default_rng(14).normal(size=(900, 12))
+    for held in (2048, 64):
+        monkeypatch.setattr(kernels, "WARD_HELD", held)
+        own = kernels.ward(x, 6)
+        assert (np.diff([np.flatnonzero(own == c)[0] for c in range(6)]) > 0).all()
+
+
+@pytest.mark.parametrize(("width", "far"), [(3, 1.0), (12, 1.0), (3, 1e4)])
+def test_mixtures_equal_the_plain_fit(width, far):
+    """Few columns, many columns, and values that sums of products can't hold."""
+    rng = np.random.default_rng(15)
+    x = (rng.normal(size=(700, width)) + 3 * rng.integers(0, 3, 700)[:, None]) * far + 50
+    pick = np.random.default_rng(42).choice(700, 3, replace=False)
+    resp, before = np.eye(3)[((x[:, None] - x[pick][None]) ** 2).sum(axis=2).argmin(axis=1)], -np.inf
+    for _ in range(100):
+        weight = resp.sum(axis=0) + 1e-9
+        mean = resp.T @ x / weight[:, None]
+        log = np.empty((700, 3))
+        for c in range(3):
+            spread = ((x - mean[c]) * resp[:, c, None]).T @ (x - mean[c]) / weight[c] + 1e-6 * np.eye(width)
+            gap = x - mean[c]
+            log[:, c] = np.log(weight[c] / 700) - 0.5 * ((gap * np.linalg.solve(spread, gap.T).T).sum(axis=1) + np.linalg.slogdet(2 * np.pi * spread)[1])
+        total = np.logaddexp.reduce(log, axis=1)
+        resp = np.exp(log - total[:, None])
+        if abs(total.mean() - before) < 1e-4:
+            break
+        before = total.mean()
+    found, chances = kernels.fit_mixture(x, 3, starts=1)
+    assert np.allclose(found.means, mean, rtol=1e-6, atol=1e-6 * far) and np.allclose(chances, resp, atol=1e-6)
+
+
+def test_a_matrix_of_floats_is_held_as_floats(spark, monkeypatch):
+    monkeypatch.setattr(series_kernels, "MATRIX_BYTES", 40 * 2 * 4)
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "point long, vector array<float>")
+    got = series_kernels.cluster_grid(rows, scalers=("identity", "quantile"), dims=(2,), ks=(3,))
+    assert got.where("status = 'success'").count() == 4 * 40
+    with pytest.raises(ValueError, match="too large"):
+        series_kernels.cluster_grid(rows.selectExpr("point", "cast(vector as array<double>) as vector"))
+
+
 def test_a_tree_is_built_once_for_all_numbers_of_clusters(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11)]) for i in range(40)], "point long, vector array<double>")
     got = series_kernels.cluster_grid(rows, scalers=("identity",), dims=(None, 2), ks=(2, 3, 5), methods=("gmm", "ward"))
