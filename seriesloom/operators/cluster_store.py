@@ -1,6 +1,6 @@
 """Fitted clusterings as a table, labels of any table under them, and hierarchical clustering of condensed rows.
 
-A fit is made on a matrix of bounded size; what it learned (medians, scaler, axes, mixture or centres) is one row of a table.
+A fit is made on all rows of a table; what it learned (medians, scaler, axes, mixture or centres) is one row of a table.
 Labels come from such a row alone, in one pass over the rows, so a table of any length can be labelled, and a chosen
 configuration need not be fitted again.
 
@@ -27,7 +27,6 @@ from . import series_kernels
 
 STORE_SCHEMA = "config string, method string, scaler string, d int, k int, model string, status string"
 LABEL_SCHEMA = "config string, point long, cluster int, confidence double, entropy double"
-FIT_ROWS = 8192
 #: How many times ``per_task`` features a task of :func:`clustering_features` condenses.
 TASK_LOADS = 32
 
@@ -69,17 +68,21 @@ class FittedClustering:
         self.scaler, self.mean, self.axes, self.mixture, self.centres = scaler, mean, axes, mixture, centres
 
     @classmethod
-    def fit(cls, x: np.ndarray, scaler: str, d: int, k: int, method: str, seed: int) -> FittedClustering:
+    def fit(cls, x: np.ndarray, scaler: str, d: int, ks: Sequence[int], method: str, seed: int) -> Iterator[FittedClustering]:
+        """The fit of each number of clusters; one tree serves all of them."""
         fitted = FittedScaler.fit(scaler, x)
         z, mean, axes = fitted.apply(x), None, None
         if d:
             mean = z.mean(axis=0)
-            axes = np.linalg.svd(z - mean, full_matrices=False)[2][: min(d, *z.shape)]
+            axes = kernels.axes(z - mean, min(d, *z.shape))
             z = (z - mean) @ axes.T
-        if method == "ward":
-            labels = kernels.ward(z, k)
-            return cls(fitted, mean, axes, None, np.stack([z[labels == c].mean(axis=0) for c in range(labels.max() + 1)]))
-        return cls(fitted, mean, axes, kernels.fit_mixture(z, k, seed=seed)[0], None)
+        merges = kernels.ward_merges(z) if method == "ward" else []
+        for k in ks:
+            if method == "ward":
+                labels = kernels.cut(merges, len(z), k)
+                yield cls(fitted, mean, axes, None, np.stack([z[labels == c].mean(axis=0) for c in range(labels.max() + 1)]))
+            else:
+                yield cls(fitted, mean, axes, kernels.fit_mixture(z, k, seed=seed)[0], None)
 
     def label(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Clusters, confidences and entropies; under hierarchical clusters the nearest centre, with confidence one."""
@@ -103,40 +106,37 @@ class FittedClustering:
         return cls(FittedScaler(r["scaler"], r["given"]), whole(r["mean"]), whole(r["axes"]), mixture, whole(r["centres"]))
 
 
-def _fit_matrix(matrix: DataFrame, fit_rows: int) -> np.ndarray:
-    """At most so many rows, those with the smallest hashes of their points, in the order of the points; all of a smaller table."""
-    rows = matrix.select("point", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    some = rows.orderBy(F.xxhash64("point"), "point").limit(fit_rows).collect() if rows.count() > fit_rows else rows.collect()
-    return np.array([r["vector"] for r in sorted(some, key=lambda r: r["point"])], float) if some else np.zeros((0, 0))
-
+def fit_store(matrix: DataFrame, grid: Sequence[tuple], seed: int = 42, fit_rows: int | None = None) -> DataFrame:
+    """One row (config, ..., model, status) for each configuration of ``series_kernels.grid_configs``; a mixture, or a tree with all its numbers of clusters, is a task.
 
-def fit_store(matrix: DataFrame, grid: Sequence[tuple], seed: int = 42, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row (config, ..., model, status) for each configuration of ``series_kernels.grid_configs``, fitted in a task of its own.
-
-    The fit takes at most ``fit_rows`` rows of the table (a documented bound; the same rows for every configuration), in the order of
-    their points, so on a smaller table it is the grid's own fit. A configuration that fails has its error in ``status``.
+    The fit is the grid's own, of all rows in the order of their points, which every task gets (``series_kernels.MATRIX_BYTES`` bounds them). Only a caller
+    who names ``fit_rows`` has it made on so many, those with the smallest hashes. A configuration that fails has its error in ``status``.
     """
-    x = _fit_matrix(matrix, fit_rows)
-    width = x.shape[1] if x.ndim == 2 else 0
-    if len(x) * width * 8 > series_kernels.MATRIX_BYTES:
-        raise ValueError(f"{len(x)} rows of {width} values are more than {series_kernels.MATRIX_BYTES} bytes; fit on fewer rows")
-    if np.isnan(x).any():
-        x = np.where(np.isnan(x), np.nan_to_num(np.nanmedian(x, axis=0)), x)
+    rows = matrix.where("vector is not null")
+    x = series_kernels.local_matrix(rows if fit_rows is None else rows.orderBy(F.xxhash64("point"), "point").limit(fit_rows))[1]
     shared = matrix.sparkSession.sparkContext.broadcast(x)
+    units: dict[tuple, list] = {}
+    for c in grid:
+        config, scaler, d, k, method = c
+        units.setdefault((scaler, d, method, None if method == "ward" else k), []).append((config, k))
+    each = sorted(((s, d, m, [c for c, _ in own], [k for _, k in own]) for (s, d, m, _), own in units.items()), key=lambda u: (u[2] != "ward", -max(u[4])))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for c in pdf.itertuples(index=False):
+            for u in pdf.itertuples(index=False):
+                found: dict[str, tuple] = {c: (None, "failed: ValueError") for c in u.configs}  # as many clusters as rows
+                some = [(c, k) for c, k in zip(u.configs, u.ks, strict=True) if len(shared.value) > k]
                 try:
-                    if len(shared.value) <= c.k:
-                        raise ValueError("as many clusters as rows")
-                    out.append((*c, FittedClustering.fit(shared.value, c.scaler, c.d, c.k, c.method, seed).dump(), "success"))
+                    for (c, _), model in zip(some, FittedClustering.fit(shared.value.astype(float), u.scaler, u.d, [k for _, k in some], u.method, seed) if some else (), strict=True):
+                        found[c] = model.dump(), "success"
                 except Exception as e:  # noqa: BLE001  one configuration's error is its row
-                    out.append((*c, None, f"failed: {type(e).__name__}"))
-            yield pd.DataFrame(out, columns=["config", "scaler", "d", "k", "method", "model", "status"])[["config", "method", "scaler", "d", "k", "model", "status"]]
+                    found |= {c: (None, f"failed: {type(e).__name__}") for c, _ in some if found[c][0] is None}
+                out += [(c, u.method, u.scaler, u.d, k, *found[c]) for c, k in zip(u.configs, u.ks, strict=True)]
+            yield pd.DataFrame(out, columns=["config", "method", "scaler", "d", "k", "model", "status"])
 
-    configs = matrix.sparkSession.createDataFrame(list(grid), "config string, scaler string, d int, k int, method string").repartition(max(1, min(len(grid), 200)), "config")
+    spark = matrix.sparkSession
+    configs = spark.createDataFrame(spark.sparkContext.parallelize(each, max(1, len(each))), "scaler string, d int, method string, configs array<string>, ks array<int>")
     return configs.mapInPandas(fit, STORE_SCHEMA)
 
 

@@ -109,3 +109,14 @@ def test_silhouette_is_bounded(spark):
     with pytest.raises(ValueError, match="all pairs"):
         clusters.silhouette(rows, most=29)
     assert clusters.silhouette(rows, most=30).count() == 1
+
+
+def test_a_fit_is_of_all_rows(spark):
+    """More rows than fits once took: the stored models are those of the grid on all of them."""
+    x = np.random.default_rng(13).normal(size=(9000, 2)).astype(np.float32)
+    matrix = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point long, vector array<float>").repartition(4)
+    got = {r.method: cluster_store.FittedClustering.read(r.model) for r in cluster_store.fit_store(matrix, series_kernels.grid_configs(("identity",), (None,), (3,), ("gmm", "ward"))).collect()}
+    want = kernels.fit_mixture(x.astype(float), 3)[0]
+    assert np.allclose(got["gmm"].mixture.means, want.means) and np.allclose(got["gmm"].mixture.factors, want.factors)
+    own = kernels.ward(x.astype(float), 3)
+    assert np.allclose(got["ward"].centres, [x[own == c].astype(float).mean(axis=0) for c in range(3)])
